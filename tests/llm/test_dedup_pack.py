@@ -149,7 +149,7 @@ def test_packing(spark, odd_docs):
             at += length
         assert at <= 4096
         pad += packing.padding(at)
-    assert pad < 0.02 * sum(sums.values())
+    assert pad < 4096 + 0.01 * sum(sums.values())  # the last sequence, and little else
     odd = packing.pack(odd_docs, queries.tokenizer_path()).toPandas()
     assert (odd[odd.doc_id.isin([3, 4])].length == 1).all() and odd.groupby("sequence_id").length.sum().max() <= 4096
     assert packing.pack(odd_docs.limit(0), queries.tokenizer_path()).count() == 0
