@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cuckoo, packing, parity, quality, warc
+from . import cuckoo, language, packing, parity, quality, toxicity, warc
 from .common import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,15 +33,23 @@ def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity.similar_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_warc, op5_parity_join, op7_packing, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_warc, op5_parity_join, op6_language, op7_packing, op8_toxicity, op9_exact_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
