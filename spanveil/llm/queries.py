@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import cuckoo, language, packing, parity, quality, toxicity, warc
+from . import cuckoo, decontam, language, packing, parity, pii, quality, toxicity, warc
 from .common import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +30,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated_windows(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity.similar_components(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_warc, op5_parity_join, op6_language, op7_packing, op8_toxicity, op9_exact_dedup)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.personal_spans(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+QUERIES = {f.__name__: f for f in (op2_quality, op3_warc, op4_decontamination, op5_parity_join, op6_language, op7_packing, op8_toxicity, op9_exact_dedup, op10_pii)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
