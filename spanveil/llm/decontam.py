@@ -115,6 +115,3 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
     both = both.join(_by_size(weights, n), "item_id").withColumn("similarity", F.col("shared") / (F.col("total") + F.col("item_total") - F.col("shared")))
     best = both.where(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.least("doc_words", "item_words").alias("n_words"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("start"), F.col("best.n_words").alias("n_words"))
-
-
-__all__ = ["contaminated_windows", "fingerprints", "hamming_blocks", "shingle_hashes", "word_hashes"]

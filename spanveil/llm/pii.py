@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,7 +131,8 @@ class TermFilter:
 
     @staticmethod
     def place(term: str) -> int:
-        return int.from_bytes(hashlib.blake2b(term.encode(), digest_size=4).digest(), "little") & (TermFilter.BITS - 1)
+        """Spark's xxhash64 of the term, cut to the bits."""
+        return xxhash.xxh64_intdigest(term.encode(), 42) & (TermFilter.BITS - 1)
 
 
 def _count_texts(places):
@@ -170,8 +172,8 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, least: int = LEAST_CONTEX
     both = near.select("entity", "term", "mark").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     both = materialise(both.where(F.col("n_both") >= least), "pairs")
     held = TermFilter()
-    place = F.udf(TermFilter.place, "int")
-    for batch in both.select("term").distinct().select(place("term").alias("at")).distinct().toArrow().to_batches():
+    place = F.xxhash64("term").bitwiseAND(F.lit(TermFilter.BITS - 1)).cast("int")
+    for batch in both.select("term").distinct().select(place.alias("at")).distinct().toArrow().to_batches():
         held.held[batch.column(0).to_numpy()] = True
     places = spark.sparkContext.broadcast(np.packbits(held.held).tobytes())
     texts = docs.select(F.col("text").cast("string").alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cuckoo, decontam, language, packing, parity, pii, quality, toxicity, warc
+from . import cuckoo, decontam, language, packing, parity, pii, quality, rlindex, toxicity, warc
 from .common import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlindex.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -59,7 +63,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_warc, op4_decontamination, op5_parity_join, op6_language, op7_packing, op8_toxicity, op9_exact_dedup, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_warc, op4_decontamination, op5_parity_join, op6_language, op7_packing, op8_toxicity, op9_exact_dedup, op10_pii)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -28,6 +28,9 @@ LEAST_TEXTS, LEAST_RATIO = 5, 12.0
 STEM = range(4, 9)
 #: Entries of at least so many letters are also met with one edit.
 FUZZY_LENGTH, EDITS = 5, 1
+#: A misspelled hit counts as this share of its entry.
+FUZZY_SHARE = 0.8
+FEATURES = 6
 WINDOW = 8
 CACHE_WORDS = 400_000
 
@@ -69,8 +72,8 @@ class LevenshteinAutomaton:
 class LexiconTrie:
     """Entries (whole words, or stems that any ending may follow) with weights."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]):
-        self.words, self.stems = words, stems
+    def __init__(self, words: dict[str, float], stems: dict[str, float], plain: frozenset[str] = frozenset()):
+        self.words, self.stems, self.plain = words, stems, plain
         self.root: dict = {}
         for entry in words:
             if len(entry) >= FUZZY_LENGTH:
@@ -96,8 +99,10 @@ class LexiconTrie:
                 return "stem", weight
         if len(word) not in self.sizes or not (any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)):
             return None
+        if word in self.plain:
+            return None
         entry = self.near(word)
-        return entry and ("fuzzy", self.words[entry])
+        return entry and ("fuzzy", FUZZY_SHARE * self.words[entry])
 
     def near(self, word: str, edits: int = EDITS) -> str | None:
         """The entry of fewest edits from ``word``, of those within ``edits``; ties go to the first in order."""
@@ -115,24 +120,27 @@ class LexiconTrie:
 
 
 class ToxicityModel:
-    """Lexicon, weights and the scorer; plain data, so executors get it whole."""
+    """Lexicon, weights and the scorer; plain data, so executors get it whole.
+
+    ``plain`` holds ordinary words that happen to be near an entry.
+    """
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]):
-        self.words, self.stems = words, stems
-        self.weights = np.zeros(7)
+    def __init__(self, words: dict[str, float], stems: dict[str, float], plain: frozenset[str] = frozenset()):
+        self.words, self.stems, self.plain = words, stems, plain
+        self.weights = np.zeros(FEATURES)
         self._ready = None
 
     def __getstate__(self):
-        return self.words, self.stems, self.weights
+        return self.words, self.stems, self.plain, self.weights
 
     def __setstate__(self, state):
-        self.words, self.stems, self.weights = state
+        self.words, self.stems, self.plain, self.weights = state
         self._ready = None
 
     def hits(self, text: str) -> list[tuple[int, str, float]]:
         """(start, kind, weight) of the lexicon's hits in a text."""
         if self._ready is None or len(self._ready[1]) > CACHE_WORDS:
-            self._ready = LexiconTrie(self.words, self.stems), {}
+            self._ready = LexiconTrie(self.words, self.stems, self.plain), {}
         trie, cache = self._ready
         low = text.lower()
         found = set(_WORD.findall(low))
@@ -142,8 +150,8 @@ class ToxicityModel:
         return [(m.start(), *found[m[0]]) for m in _WORD.finditer(low) if m[0] in found] if found else []
 
     def features(self, text: str) -> np.ndarray:
-        out = np.zeros(7)
-        out[6] = 1
+        out = np.zeros(FEATURES)
+        out[5] = 1
         if hits := self.hits(text):
             low = text.lower()
             for start, kind, weight in hits:
@@ -151,15 +159,15 @@ class ToxicityModel:
                 near = [*_WORD.findall(before)[-WINDOW:], *_WORD.findall(after)[1 : WINDOW + 1]]
                 quoted = (len(_QUOTES.findall(before)) % 2 == 1 and _QUOTES.search(after) is not None) + any(w in _REPORTING for w in near)
                 abuse = any(w in _ADDRESS for w in near) + ("!" in after[:24])
-                out["exact stem fuzzy".split().index(kind)] += weight
-                out[3] += quoted > 0
-                out[4] += abuse > 0
-            out[:5] = np.log1p(out[:5])
-            out[5] = min(1.0, sum(w for _, _, w in hits) / 6)
+                out[kind == "stem"] += weight
+                out[2] += quoted > 0
+                out[3] += abuse > 0
+            out[:4] = np.log1p(out[:4])
+            out[4] = min(1.0, sum(w for _, _, w in hits) / 6)
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x = np.array([self.features(t) for t in texts]).reshape(-1, 7) @ self.weights
+        x = np.array([self.features(t) for t in texts]).reshape(-1, FEATURES) @ self.weights
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
@@ -182,13 +190,15 @@ def fit(texts: list[str], labels: np.ndarray) -> ToxicityModel:
         if a >= 2 * LEAST_TEXTS and r >= LEAST_RATIO and not any(stem[:n] in stems for n in STEM):
             stems[stem] = math.log(r)
     lexicon = {w: v for w, v in lexicon.items() if not any(w[:n] in stems for n in STEM)}
-    model = ToxicityModel(lexicon, stems)
+    trie = LexiconTrie(lexicon, stems)
+    clean = set().union(*(own for own, y in zip(words, labels, strict=True) if not y))
+    model = ToxicityModel(lexicon, stems, frozenset(w for w in clean if (hit := trie.find(w)) and hit[0] == "fuzzy"))
     if len(texts):
         x = np.array([model.features(t) for t in texts])
-        w = np.zeros(7)
+        w = np.zeros(FEATURES)
         for _ in range(30):  # Newton steps of ridge logistic regression
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(7)
+            h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(FEATURES)
             w -= np.linalg.solve(h, x.T @ (p - labels) + 0.1 * w)
         model.weights = w
     return model
