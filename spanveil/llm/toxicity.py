@@ -26,8 +26,8 @@ FIT_ROWS = 6000
 #: Texts that must have a term or stem, and how many times likelier toxic ones must have it.
 LEAST_TEXTS, LEAST_RATIO = 5, 12.0
 STEM = range(4, 9)
-#: Entries of at least so many letters are also met with one edit.
-FUZZY_LENGTH, EDITS = 5, 1
+#: Entries of at least so many letters that at least so many toxic texts have are also met with one edit, by words as long.
+FUZZY_LENGTH, FUZZY_TEXTS, EDITS = 5, 20, 1
 #: A misspelled hit counts as this share of its entry.
 FUZZY_SHARE = 0.8
 FEATURES = 6
@@ -72,23 +72,22 @@ class LevenshteinAutomaton:
 class LexiconTrie:
     """Entries (whole words, or stems that any ending may follow) with weights."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], plain: frozenset[str] = frozenset()):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], firm: frozenset[str], plain: frozenset[str] = frozenset()):
         self.words, self.stems, self.plain = words, stems, plain
         self.root: dict = {}
-        for entry in words:
-            if len(entry) >= FUZZY_LENGTH:
-                node = self.root
-                for c in entry:
-                    node = node.setdefault(c, {})
-                node[""] = entry
+        long = [w for w in words if len(w) >= FUZZY_LENGTH and w in firm]
+        for entry in long:
+            node = self.root
+            for c in entry:
+                node = node.setdefault(c, {})
+            node[""] = entry
         # one edit leaves the first or the last half of an entry as it was
-        long = [w for w in words if len(w) >= FUZZY_LENGTH]
         self.heads = {w[: len(w) // 2] for w in long}
         self.tails = {w[len(w) // 2 :] for w in long}
         self.head_sizes = sorted({len(h) for h in self.heads})
         self.tail_sizes = sorted({len(t) for t in self.tails})
         self.stem_sizes = sorted({len(s) for s in stems})
-        self.sizes = range(min(map(len, long), default=0) - EDITS, max(map(len, long), default=0) + EDITS + 1)
+        self.sizes = range(FUZZY_LENGTH, max(map(len, long), default=0) + EDITS + 1)
 
     def find(self, word: str) -> tuple[str, float] | None:
         """(kind, weight) of a lower-cased word: exact, stem or fuzzy."""
@@ -122,25 +121,26 @@ class LexiconTrie:
 class ToxicityModel:
     """Lexicon, weights and the scorer; plain data, so executors get it whole.
 
-    ``plain`` holds ordinary words that happen to be near an entry.
+    ``firm`` holds the entries met with edits too, ``plain`` ordinary words that
+    happen to be near one.
     """
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], plain: frozenset[str] = frozenset()):
-        self.words, self.stems, self.plain = words, stems, plain
+    def __init__(self, words: dict[str, float], stems: dict[str, float], firm: frozenset[str], plain: frozenset[str] = frozenset()):
+        self.words, self.stems, self.firm, self.plain = words, stems, firm, plain
         self.weights = np.zeros(FEATURES)
         self._ready = None
 
     def __getstate__(self):
-        return self.words, self.stems, self.plain, self.weights
+        return self.words, self.stems, self.firm, self.plain, self.weights
 
     def __setstate__(self, state):
-        self.words, self.stems, self.plain, self.weights = state
+        self.words, self.stems, self.firm, self.plain, self.weights = state
         self._ready = None
 
     def hits(self, text: str) -> list[tuple[int, str, float]]:
         """(start, kind, weight) of the lexicon's hits in a text."""
         if self._ready is None or len(self._ready[1]) > CACHE_WORDS:
-            self._ready = LexiconTrie(self.words, self.stems, self.plain), {}
+            self._ready = LexiconTrie(self.words, self.stems, self.firm, self.plain), {}
         trie, cache = self._ready
         low = text.lower()
         found = set(_WORD.findall(low))
@@ -182,7 +182,8 @@ def _ratios(texts: list[set[str]], labels: np.ndarray) -> dict[str, tuple[int, f
 def fit(texts: list[str], labels: np.ndarray) -> ToxicityModel:
     """Lexicon and weights of labelled texts (1: toxic)."""
     words = [set(_WORD.findall(t.lower())) for t in texts]
-    lexicon = {t: math.log(r) for t, (_, r) in _ratios(words, labels).items() if r >= LEAST_RATIO and len(t) >= 3}
+    ratios = _ratios(words, labels)
+    lexicon = {t: math.log(r) for t, (_, r) in ratios.items() if r >= LEAST_RATIO and len(t) >= 3}
     # stems: short openings of words outside the lexicon, the shortest that tells
     openings = [{w[:n] for w in own if w not in lexicon for n in STEM if len(w) > n} for own in words]
     stems: dict[str, float] = {}
@@ -190,9 +191,10 @@ def fit(texts: list[str], labels: np.ndarray) -> ToxicityModel:
         if a >= 2 * LEAST_TEXTS and r >= LEAST_RATIO and not any(stem[:n] in stems for n in STEM):
             stems[stem] = math.log(r)
     lexicon = {w: v for w, v in lexicon.items() if not any(w[:n] in stems for n in STEM)}
-    trie = LexiconTrie(lexicon, stems)
+    firm = frozenset(w for w in lexicon if ratios[w][0] >= FUZZY_TEXTS)
+    trie = LexiconTrie(lexicon, stems, firm)
     clean = set().union(*(own for own, y in zip(words, labels, strict=True) if not y))
-    model = ToxicityModel(lexicon, stems, frozenset(w for w in clean if (hit := trie.find(w)) and hit[0] == "fuzzy"))
+    model = ToxicityModel(lexicon, stems, firm, frozenset(w for w in clean if (hit := trie.find(w)) and hit[0] == "fuzzy"))
     if len(texts):
         x = np.array([model.features(t) for t in texts])
         w = np.zeros(FEATURES)

@@ -152,13 +152,13 @@ def test_levenshtein_automaton_matches_distance():
 
     rng = random.Random(7)
     lexicon = {"".join(rng.choice("abc") for _ in range(rng.randrange(5, 9))): 1.0 for _ in range(60)}
-    trie = toxicity.LexiconTrie(lexicon, {})
+    trie = toxicity.LexiconTrie(lexicon, {}, frozenset(lexicon))
     for _ in range(500):
         word = "".join(rng.choice("abc") for _ in range(rng.randrange(3, 10)))
         near = [w for w in lexicon if distance(word, w) <= 1]
         best = min(near, key=lambda w: (distance(word, w), w), default=None)
         assert trie.near(word) == best
-        assert (trie.find(word) is not None) == (best is not None)
+        assert (trie.find(word) is not None) == (best is not None and (len(word) >= toxicity.FUZZY_LENGTH or word in lexicon))
 
 
 def test_toxicity_held_out_misspelled_and_odd(spark, odd_docs):
