@@ -1,0 +1,75 @@
+"""Known values met exactly, misspelled or misheard, by blocked joins of token windows."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import despoken_email, fuzzy_match, matches, normalize, phonetic_key, similarity, tokens
+from ..plans.policy import TAXONOMY, Config
+
+#: Titles, alike for comparison; and words too general to stand for a value.
+HONORIFICS = {"mr": "TITLE", "ms": "TITLE", "mrs": "TITLE", "miss": "TITLE", "dr": "TITLE_DR", "doctor": "TITLE_DR", "prof": "TITLE_DR", "nurse": "TITLE_DR"}
+GENERIC = "school primary secondary academy college nursery club team the of and united town city street road".split()
+NAME_LIKE = "_NAME|WORKPLACE|SCHOOL|DAYCARE|TEAM|CLUB"
+DICTATED = ["EMAIL", "SOCIAL_HANDLE", "ONLINE_USERNAME", "URL"]
+LONGEST = 5
+
+
+def check_labels(known: DataFrame) -> DataFrame:
+    """Stops at a label outside the taxonomy."""
+    return known.withColumn("entity", F.when(F.col("entity").isin(list(TAXONOMY)), F.col("entity")).otherwise(F.raise_error(F.lit("known value with an unknown label"))))
+
+
+def known_tokens(known: DataFrame) -> DataFrame:
+    """(conv_id, entity, value, n, norm, partial): whole values, and telling components of names."""
+    rows = check_labels(known).select("conv_id", "entity", "value", tokens(F.col("value")).alias("t")).where("size(t) > 0")
+    whole = rows.select("conv_id", "entity", "value", F.size("t").alias("n"), F.array_join("t", " ").alias("norm"), F.lit(False).alias("partial"))
+    parts = rows.where(F.col("entity").rlike(NAME_LIKE) & (F.size("t") > 1)).select("conv_id", "entity", "value", F.explode("t").alias("norm"))
+    parts = parts.where((F.length("norm") >= 4) & ~F.col("norm").isin([*HONORIFICS, *GENERIC]))
+    return whole.unionByName(parts.select("conv_id", "entity", "value", F.lit(1).alias("n"), "norm", F.lit(True).alias("partial"))).where(F.col("n") <= LONGEST).distinct()
+
+
+def token_windows(convs: DataFrame, most: int = LONGEST) -> DataFrame:
+    """(conv_id, n, start, end, norm): windows of up to ``most`` tokens."""
+    rows = convs.select("conv_id", F.posexplode(matches(F.col("text"), r"[\p{L}\p{N}_][\p{L}\p{M}\p{N}_'’-]*")).alias("k", "m"))
+    rows = rows.select("conv_id", "k", F.col("m.start").cast("int").alias("start"), F.col("m.end").cast("int").alias("end"), normalize(F.col("m.surface")).alias("norm"))
+    order = Window.partitionBy("conv_id").orderBy("k")
+    later = F.collect_list(F.struct("norm", "end")).over(order.rowsBetween(0, most - 1))
+    rows = rows.withColumn("w", later)
+    sizes = F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.struct(n.alias("n"), F.array_join(F.transform(F.slice("w", F.lit(1), n), lambda x: x["norm"]), " ").alias("norm"), F.get("w", n - 1)["end"].alias("end")))
+    return rows.select("conv_id", "start", F.inline(sizes))
+
+
+def detect_known(convs: DataFrame, known: DataFrame | None, config: Config = Config()) -> DataFrame | None:
+    """Detections of ``known`` (conv_id or null for all, entity, value) in ``convs`` (conv_id, text).
+
+    Windows and values meet where they are equal, or share a phonetic key, or
+    share the first or the last three letters: misspellings within the threshold
+    change one end at most.
+    """
+    if known is None:
+        return None
+    values = known_tokens(known)
+    windows = token_windows(convs)
+    keys = lambda c: F.array_distinct(F.array(F.concat(F.lit("="), c), F.concat(F.lit("~"), phonetic_key(c)), F.concat(F.lit("^"), F.substring(c, 1, 3)), F.concat(F.lit("$"), F.right(c, F.lit(3)))))
+    # one comparison for each pair of distinct forms, however often they stand
+    forms = windows.select("norm", "n").distinct().select("norm", "n", F.explode(keys(F.col("norm"))).alias("key"))
+    wanted = values.select(F.col("norm").alias("want"), "n", "entity", "partial").distinct().select("want", "n", "entity", "partial", F.explode(keys(F.col("want"))).alias("key"))
+    pairs = forms.join(wanted, ["n", "key"]).select("norm", "want", "entity", "partial").distinct()
+    f = fuzzy_match(F.col("norm"), F.col("want"), config.fuzzy_threshold, config.phonetic)
+    pairs = pairs.withColumn("m", f).where("m.matched")
+    near = (F.col("m.channel") == "exact") | (F.least(F.length("norm"), F.length("want")) >= config.min_token)
+    named = F.col("entity").contains("_NAME") | (F.col("m.channel") != "phonetic")
+    pairs = pairs.where(near & named).select("norm", "want", "entity", "partial", F.col("m.channel").alias("channel"))
+    found = windows.join(pairs, "norm").join(values.withColumnRenamed("conv_id", "own").withColumnRenamed("norm", "want").drop("n"), ["want", "entity", "partial"]).where("own is null or own = conv_id")
+    score = F.create_map(*[F.lit(x) for kv in {"exact": 1.0, "fuzzy": 0.95, "phonetic": 0.9}.items() for x in kv])[F.col("channel")]
+    score = F.when(F.col("partial"), F.least(score, F.lit(0.97))).otherwise(score)
+    out = found.select("conv_id", F.lit("known_values").alias("detector"), F.col("value").alias("raw_label"), "entity", "start", "end", score.alias("score"), "channel", "partial")
+    said = convs.select("conv_id", F.explode(matches(F.col("text"), r"(?i)[a-z0-9]+(?:\s+(?:at|dot|underscore|dash|hyphen)\s+[a-z0-9]+)+")).alias("m"))
+    said = said.join(check_labels(known).where(F.col("entity").isin(DICTATED)).withColumnRenamed("conv_id", "own"), F.col("own").isNull() | (F.col("own") == F.col("conv_id")))
+    said = said.where(similarity(despoken_email(F.col("m.surface")), F.col("value")) >= 0.88)
+    said = said.select("conv_id", F.lit("known_values").alias("detector"), F.col("value").alias("raw_label"), "entity", F.col("m.start").cast("int").alias("start"), F.col("m.end").cast("int").alias("end"), F.lit(1.0).alias("score"), F.lit("despoken").alias("channel"), F.lit(False).alias("partial"))
+    return reduce(DataFrame.unionByName, [out, said]).distinct()
