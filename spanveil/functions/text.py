@@ -5,8 +5,10 @@ Java's plain ``\\w``, ``\\d`` and ``\\s`` are ASCII, so patterns spell Unicode c
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,33 +58,56 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length of normalised strings."""
-    x, y = normalize(a), normalize(b)
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def _alike(x: Column, y: Column) -> Column:
     longer = F.greatest(F.length(x), F.length(y))
     return F.when(longer == 0, 1.0).when((x == "") | (y == ""), 0.0).otherwise(1 - F.levenshtein(x, y) / longer)
 
 
+def similarity(a: Column, b: Column) -> Column:
+    """1 - edit distance / longer length of normalised strings."""
+    return let(F.struct(normalize(a).alias("x"), normalize(b).alias("y")), lambda s: _alike(s["x"], s["y"]))
+
+
 def phonetic_key(c: Column) -> Column:
     """Consonant skeleton: digraphs, vowel only at the onset, no repeats, voiced and voiceless alike."""
-    x = F.regexp_replace(normalize(c), r"[^a-z]", "")
-    x = reduce(lambda s, kv: F.regexp_replace(s, kv[0], kv[1]), DIGRAPHS, x)
-    onset = F.when(x.rlike("^[aeiouy]"), F.lit("A")).otherwise(F.lit(""))
-    x = F.translate(F.regexp_replace(x, "[aeiouyh]", ""), *CONSONANTS)
-    return F.concat(onset, F.regexp_replace(F.translate(x, *FOLDED), r"(.)\1+", "$1"))
+    letters = F.regexp_replace(normalize(c), r"[^a-z]", "")
 
+    def key(x: Column) -> Column:
+        onset = F.when(x.rlike("^[aeiouy]"), F.lit("A")).otherwise(F.lit(""))
+        rest = F.translate(F.regexp_replace(x, "[aeiouyh]", ""), *CONSONANTS)
+        return F.concat(onset, F.regexp_replace(F.translate(rest, *FOLDED), r"(.)\1+", "$1"))
 
-def phonetic_match(a: Column, b: Column) -> Column:
-    x, y = phonetic_key(a), phonetic_key(b)
+    return let(reduce(lambda s, kv: F.regexp_replace(s, kv[0], kv[1]), DIGRAPHS, letters), key)
+
+
+def keys_match(x: Column, y: Column) -> Column:
     return (x != "") & ((x == y) | ((F.length(x) >= 4) & (F.length(y) >= 4) & (F.levenshtein(x, y) <= 1)))
 
 
+def phonetic_match(a: Column, b: Column) -> Column:
+    return let(F.struct(phonetic_key(a).alias("x"), phonetic_key(b).alias("y")), lambda s: keys_match(s["x"], s["y"]))
+
+
+def fuzzy_forms(x: Column, y: Column, keys: Column, threshold: float = 0.82) -> Column:
+    """As ``fuzzy_match``, of forms that are normalised; ``keys`` tells whether they sound alike."""
+
+    def told(s: Column) -> Column:
+        channel = F.when(s["same"], "exact").when(s["score"] >= threshold, "fuzzy").when(s["keys"], "phonetic").otherwise("none")
+        score = F.when((s["score"] < threshold) & s["keys"], F.lit(threshold)).otherwise(s["score"])
+        return F.struct((channel != "none").alias("matched"), score.alias("score"), channel.alias("channel"))
+
+    return let(F.struct((x == y).alias("same"), _alike(x, y).alias("score"), keys.alias("keys")), told)
+
+
 def fuzzy_match(a: Column, b: Column, threshold: float = 0.82, phonetic: bool = True) -> Column:
     """Struct of matched, score and channel: exact, fuzzy, phonetic or none."""
-    score = similarity(a, b)
-    alike = phonetic_match(a, b) if phonetic else F.lit(False)
-    channel = F.when(normalize(a) == normalize(b), "exact").when(score >= threshold, "fuzzy").when(alike, "phonetic").otherwise("none")
-    return F.struct((channel != "none").alias("matched"), F.when(channel == "phonetic", F.greatest(score, F.lit(threshold))).otherwise(score).alias("score"), channel.alias("channel"))
+    keys = phonetic_match(a, b) if phonetic else F.lit(False)
+    return let(F.struct(normalize(a).alias("x"), normalize(b).alias("y"), keys.alias("k")), lambda s: fuzzy_forms(s["x"], s["y"], s["k"], threshold))
 
 
 def spoken_digits(words: Column) -> Column:
@@ -110,7 +135,7 @@ def despoken_email(c: Column) -> Column:
 
 def luhn_ok(c: Column) -> Column:
     digits = F.regexp_replace(c, "[^0-9]", "")
-    return (F.length(digits) >= 13) & F.luhn_check(digits)
+    return (F.length(digits) >= 13) & F.call_function("luhn_check", digits)
 
 
 def is_capitalised(c: Column) -> Column:
@@ -159,17 +184,37 @@ PLACEHOLDER = r"<[A-Z][A-Z0-9_]{1,96}>"
 
 
 def matches(text: Column, rx: str, lead: bool = False) -> Column:
-    """Array of (start, end, surface) of the non-overlapping, non-empty matches; with ``lead``, of group 2 after group 1."""
-    whole = F.regexp_extract_all(text, F.lit(rx), F.lit(0))
-    gaps = F.split(text, rx, -1)
-    before = F.regexp_extract_all(text, F.lit(rx), F.lit(1)) if lead else None
-    inner = F.regexp_extract_all(text, F.lit(rx), F.lit(2)) if lead else whole
-    sizes = F.transform(whole, lambda m, k: F.length(F.get(gaps, k)) + F.length(m))
-
-    def place(m: Column, k: Column) -> Column:
-        start = F.aggregate(F.slice(sizes, 1, k), F.lit(0), lambda s, x: s + x) + F.length(F.get(gaps, k))
-        if lead:
-            start = start + F.length(F.get(before, k))
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("surface"))
-
-    return F.transform(inner, place)
+    """Array of (start, end, surface) of the non-overlapping, non-empty matches; with ``lead``, of group 2 after group 1.
+
+    For patterns with few matches a text; ``word_offsets`` is for all words.
+    """
+    group = lambda k: F.regexp_extract_all(text, F.lit(rx), F.lit(k))
+    found = F.struct(group(0).alias("whole"), F.split(text, rx, -1).alias("gaps"), group(1 if lead else 0).alias("before"), group(2 if lead else 0).alias("inner"))
+
+    def sized(f: Column) -> Column:
+        sizes = F.transform(f["whole"], lambda m, k: F.length(F.get(f["gaps"], k)) + F.length(m))
+
+        def placed(size: Column) -> Column:
+            def place(m: Column, k: Column) -> Column:
+                start = F.aggregate(F.slice(size, F.lit(1), k), F.lit(0), lambda s, x: s + x) + F.length(F.get(f["gaps"], k))
+                if lead:
+                    start = start + F.length(F.get(f["before"], k))
+                return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("surface"))
+
+            return F.transform(f["inner"], place)
+
+        return let(sizes, placed)
+
+    return let(found, sized)
+
+
+def word_offsets(text: Column, pattern: str) -> Column:
+    """Array of (start, end, surface) of every match of a Python pattern, however many a text has."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string())]))
+
+    @F.arrow_udf("array<struct<start: int, end: int, surface: string>>")
+    def scan(texts: pa.Array) -> pa.Array:
+        find = re.compile(pattern).finditer
+        return pa.array([[{"start": m.start(), "end": m.end(), "surface": m[0]} for m in find(t or "")] for t in texts.to_pylist()], kind)
+
+    return scan(text)

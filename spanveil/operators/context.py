@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import NOT_AFTER_WORD as B
 from ..functions.text import NOT_BEFORE_WORD as E
-from ..functions.text import matches
+from ..functions.text import matches, word_offsets
 
 #: Our own short list of first names.
 FIRST_NAMES = "adam aisha alice amir amy ana anna arthur ava ben carlos chloe clara daniel david diego elena ella emily emma eric eva fatima felix freya george grace hannah harry hugo ibrahim isla ivan jack james jan jose julia karim kate laura leo liam lily lucas lucy maria marie mark max maya mia mohammed nina noah nora oliver olivia omar oscar paul peter priya ravi rosa ruby sam sara sofia sophie theo thomas tom victor yusuf zara zoe".split()
@@ -54,11 +54,15 @@ ALL = [*PATTERNS, *_lookup("role", ROLES, 0.75), *_lookup("title", TITLES, 0.8)]
 
 def words_with_offsets(convs: DataFrame) -> DataFrame:
     """(conv_id, k, start, end, word) of the runs of letters of texts."""
-    runs = matches(F.col("text"), r"[\p{L}][\p{L}'’-]*")
+    runs = word_offsets(F.col("text"), r"[^\W\d_](?:[^\W\d_]|['’-])*")
     rows = convs.select("conv_id", F.posexplode(runs).alias("k", "m"))
     return rows.select("conv_id", "k", F.col("m.start").cast("int").alias("start"), F.col("m.end").cast("int").alias("end"), F.col("m.surface").alias("word"))
 
 
+def _named(rule: str, entity: str, score: float):
+    return lambda m: F.struct(F.lit(rule).alias("rule"), F.lit(entity).alias("entity"), m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end"), F.lit(score).alias("score"))
+
+
 def _capitals(convs: DataFrame) -> DataFrame:
     """Gazetteer names, and runs of up to three capitalised words, weaker where a sentence starts."""
     words = words_with_offsets(convs.select("conv_id", "text")).join(convs.select("conv_id", "text"), "conv_id")
@@ -84,7 +88,7 @@ def detect_context(convs: DataFrame, roles: DataFrame | None = None) -> DataFram
     for rule, entity, score, pattern, lead in ALL:
         rx = "(?iu)" + pattern
         found = F.when(F.col("text").rlike(rx), matches(F.col("text"), rx, lead))
-        parts.append(F.transform(found, lambda m, r=rule, e=entity, s=score: F.struct(F.lit(r).alias("rule"), F.lit(e).alias("entity"), m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end"), F.lit(s).alias("score"))))
+        parts.append(F.transform(found, _named(rule, entity, score)))
     none = F.expr("cast(array() as array<struct<rule: string, entity: string, start: int, end: int, score: double>>)")
     groups = [parts[k : k + 12] for k in range(0, len(parts), 12)]
     hits = reduce(DataFrame.unionByName, [convs.select("conv_id", "text", F.explode(F.concat(*[F.coalesce(p, none) for p in g])).alias("h")).select("conv_id", "h.*") for g in groups])

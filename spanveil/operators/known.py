@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import despoken_email, fuzzy_match, matches, normalize, phonetic_key, similarity, tokens
+from ..functions.text import despoken_email, fuzzy_forms, keys_match, matches, normalize, phonetic_key, similarity, tokens, word_offsets
 from ..plans.policy import TAXONOMY, Config
 
 #: Titles, alike for comparison; and words too general to stand for a value.
@@ -34,7 +34,7 @@ def known_tokens(known: DataFrame) -> DataFrame:
 
 def token_windows(convs: DataFrame, most: int = LONGEST) -> DataFrame:
     """(conv_id, n, start, end, norm): windows of up to ``most`` tokens."""
-    rows = convs.select("conv_id", F.posexplode(matches(F.col("text"), r"[\p{L}\p{N}_][\p{L}\p{M}\p{N}_'’-]*")).alias("k", "m"))
+    rows = convs.select("conv_id", F.posexplode(word_offsets(F.col("text"), r"\w[\w'’-]*")).alias("k", "m"))
     rows = rows.select("conv_id", "k", F.col("m.start").cast("int").alias("start"), F.col("m.end").cast("int").alias("end"), normalize(F.col("m.surface")).alias("norm"))
     order = Window.partitionBy("conv_id").orderBy("k")
     later = F.collect_list(F.struct("norm", "end")).over(order.rowsBetween(0, most - 1))
@@ -54,13 +54,15 @@ def detect_known(convs: DataFrame, known: DataFrame | None, config: Config = Con
         return None
     values = known_tokens(known)
     windows = token_windows(convs)
-    keys = lambda c: F.array_distinct(F.array(F.concat(F.lit("="), c), F.concat(F.lit("~"), phonetic_key(c)), F.concat(F.lit("^"), F.substring(c, 1, 3)), F.concat(F.lit("$"), F.right(c, F.lit(3)))))
+    keys = lambda c, sound: F.array_distinct(F.array(F.concat(F.lit("="), c), F.concat(F.lit("~"), sound), F.concat(F.lit("^"), F.substring(c, 1, 3)), F.concat(F.lit("$"), F.right(c, F.lit(3)))))
     # one comparison for each pair of distinct forms, however often they stand
-    forms = windows.select("norm", "n").distinct().select("norm", "n", F.explode(keys(F.col("norm"))).alias("key"))
-    wanted = values.select(F.col("norm").alias("want"), "n", "entity", "partial").distinct().select("want", "n", "entity", "partial", F.explode(keys(F.col("want"))).alias("key"))
-    pairs = forms.join(wanted, ["n", "key"]).select("norm", "want", "entity", "partial").distinct()
-    f = fuzzy_match(F.col("norm"), F.col("want"), config.fuzzy_threshold, config.phonetic)
-    pairs = pairs.withColumn("m", f).where("m.matched")
+    forms = windows.select("norm", "n").distinct().withColumn("sound", phonetic_key(F.col("norm")))
+    forms = forms.select("norm", "n", "sound", F.explode(keys(F.col("norm"), F.col("sound"))).alias("key"))
+    wanted = values.select(F.col("norm").alias("want"), "n", "entity", "partial").distinct().withColumn("want_sound", phonetic_key(F.col("want")))
+    wanted = wanted.select("want", "n", "entity", "partial", "want_sound", F.explode(keys(F.col("want"), F.col("want_sound"))).alias("key"))
+    pairs = forms.join(wanted, ["n", "key"]).select("norm", "want", "entity", "partial", "sound", "want_sound").distinct()
+    alike = keys_match(F.col("sound"), F.col("want_sound")) if config.phonetic else F.lit(False)
+    pairs = pairs.withColumn("m", fuzzy_forms(F.col("norm"), F.col("want"), alike, config.fuzzy_threshold)).where("m.matched")
     near = (F.col("m.channel") == "exact") | (F.least(F.length("norm"), F.length("want")) >= config.min_token)
     named = F.col("entity").contains("_NAME") | (F.col("m.channel") != "phonetic")
     pairs = pairs.where(near & named).select("norm", "want", "entity", "partial", F.col("m.channel").alias("channel"))

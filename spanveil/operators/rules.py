@@ -109,15 +109,18 @@ RULES = [
 ]
 RULE_NAMES = [r.name for r in RULES]
 
-_NO_MATCH = "cast(array() as array<struct<start: int, end: int, surface: string>>)"
 _PLACE_WORDS = "(?i)(?<![a-z])(?:house|flat|home|town|village|city|country|street|same|big|small|nice)(?![a-z])"
 
 
+def _named(rule: Rule):
+    return lambda m: F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.entity).alias("entity"), F.lit(rule.score).alias("score"), m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end"), m["surface"].alias("surface"))
+
+
 def scan(text: Column, rules: list[Rule]) -> Column:
     """Array of (rule, entity, score, start, end, surface) of all rules' matches in a text."""
     found = []
     for r in rules:
-        hits = F.transform(matches(text, r.regex, r.lead), lambda m, r=r: F.struct(F.lit(r.name).alias("rule"), F.lit(r.entity).alias("entity"), F.lit(r.score).alias("score"), m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end"), m["surface"].alias("surface")))
+        hits = F.transform(matches(text, r.regex, r.lead), _named(r))
         none = F.expr("cast(array() as array<struct<rule: string, entity: string, score: double, start: int, end: int, surface: string>>)")
         found.append(F.when(text.rlike(r.gate or r.regex), hits).otherwise(none))
     return F.concat(*found) if len(found) > 1 else found[0]
