@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.text import PLACEHOLDER, mask_placeholders
 from ..operators import context, known, resolve, roles, rules
 from ..sources import loaders
-from .policy import Config, tier_of
+from .policy import TAXONOMY, Config, tier_of
+from .storage import stored
 
 _SOURCE = "struct<detector: string, entity: string, score: double, start: int, end: int, channel: string>"
 _SPAN = f"struct<start: int, end: int, entity: string, tier: string, score: double, action: string, replacement: string, risk: double, risk_reasons: array<string>, turn_idx: int, sources: array<{_SOURCE}>>"
@@ -60,19 +61,21 @@ class Engine:
 
     def resolved(self, turns: DataFrame, values: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
         """A row a conversation with spans, sanitised turns and the restricted pseudonym map."""
-        turns = roles.assign_roles(turns, overrides, values)
+        turns = stored(roles.assign_roles(turns, overrides, values), "turns")
         own = F.struct("turn_idx", "speaker", "role", "text", "char_start", "char_end")
         convs = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(own)).alias("turns"))
-        convs = convs.select("conv_id", F.array_join(F.transform("turns", lambda t: t["text"]), "\n").alias("text"), "turns")
+        convs = stored(convs.select("conv_id", F.array_join(F.transform("turns", lambda t: t["text"]), "\n").alias("text"), "turns"), "conversations")
         claims = self.detect(convs.select("conv_id", "text"), turns, values)
         claims = claims.groupBy("conv_id").agg(F.collect_list(F.struct("detector", "raw_label", "entity", "start", "end", "score", "channel", "partial")).alias("detections"))
         return convs.join(claims, "conv_id", "left").mapInPandas(_spread(self.config, self.key), RESOLVED)
 
     def deidentify(self, turns: DataFrame, values: DataFrame | None = None, overrides: DataFrame | None = None, language: str = "en") -> DataFrame:
         """conv_id, status, sanitized_text, turns, spans, findings, risk; the pseudonym map and surfaces stay out."""
+        turns = stored(turns, "loaded")
         done = self.resolved(turns, values, overrides)
         source = loaders.flat_text(turns).select("conv_id", F.col("text").alias("source_text"))
         done = done.withColumn("sanitized_text", F.array_join(F.transform("turns", lambda t: t["text"]), "\n")).join(source, "conv_id")
+        done = stored(done, "rewritten")
         checked = self.findings(done, values, language)
         grouped = checked.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("check", "severity"))).alias("findings"))
         out = done.join(grouped, "conv_id", "left").withColumn("findings", F.coalesce("findings", F.expr("cast(array() as array<struct<check: string, severity: string>>)")))
@@ -113,7 +116,7 @@ class Engine:
         c = self.config
         convs = done.select("conv_id", mask_placeholders(F.col("sanitized_text")).alias("text"))
         still = self.with_detectors("rules", "context").detect(convs)
-        limit = F.coalesce(F.create_map(*[F.lit(x) for e in _entities() for x in (e, c.threshold(e))])[F.col("entity")], F.lit(0.35))
+        limit = F.coalesce(F.create_map(*[F.lit(x) for e in TAXONOMY for x in (e, c.threshold(e))])[F.col("entity")], F.lit(0.35))
         still = still.where(F.col("score") >= limit).select("conv_id", "entity", tier_of(F.col("entity")).alias("tier")).groupBy("conv_id").agg(F.count_if(F.col("tier") == "direct").alias("direct"), F.count_if(F.col("tier") != "direct").alias("quasi"))
         direct = still.where("direct > 0").select("conv_id", F.lit("direct_entity_residual").alias("check"), F.when(F.col("direct") > c.max_residual_direct, self._severity("direct_entity_residual", "fail")).otherwise("warn").alias("severity"))
         quasi = still.where("quasi > 0").select("conv_id", F.lit("quasi_residual").alias("check"), F.lit("warn").alias("severity"))
@@ -131,12 +134,6 @@ class Engine:
         return loaders.load_texts(self.spark.createDataFrame([(conv_id, text)], "conv_id string, value string"), fmt)
 
 
-def _entities() -> list[str]:
-    from .policy import TAXONOMY
-
-    return list(TAXONOMY)
-
-
 def decide(findings: Column, fail_closed: bool = True) -> Column:
     """blocked on any failure (review if not fail-closed), review on any warning, else passed."""
     has = lambda s: F.exists(findings, lambda f: f["severity"] == s)
