@@ -114,7 +114,8 @@ class Engine:
     def _residual(self, done: DataFrame, values: DataFrame | None) -> DataFrame:
         """What the detectors still find in the output outside placeholders, and known values that are left."""
         c = self.config
-        convs = done.select("conv_id", mask_placeholders(F.col("sanitized_text")).alias("text"))
+        # stored, so that no rule computes the masked text again
+        convs = stored(done.select("conv_id", mask_placeholders(F.col("sanitized_text")).alias("text")), "masked")
         still = self.with_detectors("rules", "context").detect(convs)
         limit = F.coalesce(F.create_map(*[F.lit(x) for e in TAXONOMY for x in (e, c.threshold(e))])[F.col("entity")], F.lit(0.35))
         still = still.where(F.col("score") >= limit).select("conv_id", "entity", tier_of(F.col("entity")).alias("tier")).groupBy("conv_id").agg(F.count_if(F.col("tier") == "direct").alias("direct"), F.count_if(F.col("tier") != "direct").alias("quasi"))
