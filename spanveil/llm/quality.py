@@ -112,13 +112,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, column: str, most: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """At most ``most`` labelled texts outside the held-out fold, in the order of their ids' hashes."""
+def fit_labelled(docs: DataFrame, labels: DataFrame, column: str, most: int, function) -> bytes:
+    """What ``function`` makes, in one task, of at most ``most`` labelled texts outside the held-out fold, in the order of their ids' hashes."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(most)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    table = own.join(F.broadcast(known), "doc_id").orderBy("order", "text").limit(most).select("text", "label").toArrow()
-    return table.column(0).to_pylist(), table.column(1).to_numpy().astype(float)
+    rows = own.join(F.broadcast(known), "doc_id").orderBy("order", "text").limit(most).select("text", "label").coalesce(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, given = [], []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            given += b.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([function(texts, np.array(given, float))], pa.binary())], ["model"])
+
+    made = rows.mapInArrow(run, "model binary").first()
+    return bytes(made.model) if made else function([], np.zeros(0))
 
 
 class QualityModel:
@@ -134,8 +143,8 @@ class QualityModel:
         Rows without a label or id are left out; of several labels of one id
         the largest counts.  Without any labelled row every score is 0.5.
         """
-        texts, labels_ = training_rows(docs, labels, "quality", most)
-        return cls(fit(texts, labels_) if texts else np.zeros((1 << BITS) + 1))
+        made = fit_labelled(docs, labels, "quality", most, lambda texts, y: (fit(texts, y) if texts else np.zeros((1 << BITS) + 1)).tobytes())
+        return cls(np.frombuffer(made))
 
     def score(self, docs: DataFrame, text: str = "text") -> Column:
         return scorer(docs, self.weights, score_texts)(F.col(text).cast("string"))

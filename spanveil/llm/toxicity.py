@@ -10,6 +10,7 @@ verbs of reporting).  A logistic regression over the few sums scores the text.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality import held_out, scorer, training_rows
+from .quality import fit_labelled, held_out, scorer
 
 #: Labelled rows the fit takes at most, those of the smallest hashes of doc_id.
 FIT_ROWS = 6000
@@ -212,7 +213,7 @@ def _score(column: pa.Array, model: ToxicityModel) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> ToxicityModel:
     """Fits on at most ``most`` rows of ``labels`` (doc_id, toxic) outside the held-out fold; without any, every score is 0.5."""
-    return fit(*training_rows(docs, labels, "toxic", most))
+    return pickle.loads(fit_labelled(docs, labels, "toxic", most, lambda texts, y: pickle.dumps(fit(texts, y))))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> Column:
