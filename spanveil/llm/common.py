@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step handles, save for a single longer text.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
