@@ -2,16 +2,17 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers found by
 fixed patterns.  Each distinct value is a protected entity.  How strongly a
-term near an entity reveals it is estimated from the corpus: with n(t, e) the
-contexts that hold both and n(t) the texts that hold the term, a term discloses
-the share of the entity's information I(t; e) / I(e) = 1 - log p(e|t) / log p(e).
-Terms at or over the disclosure threshold are spans too, wherever they stand
-near that entity, and are generalised or removed with it.
+term of an entity's texts reveals it is estimated from the corpus: with n(t, e)
+the texts that hold both and n(t) those that hold the term, a term discloses the
+share of the entity's information I(t; e) / I(e) = 1 - log p(e|t) / log p(e).
+Terms at or over the disclosure threshold are spans too, wherever they stand in
+a text with that entity, and are generalised or removed with it.  No least number
+of texts is asked: a term that stands in the one text of an entity and nowhere
+else discloses it whole.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,10 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Words on either side of an entity that are its context.
-WINDOW = 8
-#: Distinct contexts that must hold term and entity together, and texts that must hold the term.
-LEAST_CONTEXTS = 3
 #: Share of the entity's information from which a term discloses it.
 DISCLOSURE = 0.9
 TERM = re.compile(r"[^\W\d_]{3,}")
@@ -86,39 +83,33 @@ def _entity(kind: int, surface: str) -> str:
     return f"{KINDS[kind]}:{surface.lower() if kind == 0 else surface if kind == 1 else _digits(surface)}"
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, list[tuple[str, int, int]]]]:
-    """(entity, hash of the context, [(term, start, end)]) of each base span; terms never touch a base span."""
-    reach = 24 * WINDOW
-    for start, kind, end in spans:
-        lo = max(0, start - reach)
-        cut = text.find(" ", lo, start) if lo else 0
-        before = [m.span() for m in TERM.finditer(text, max(lo, cut), start)][-WINDOW:]
-        after = []
-        for m in TERM.finditer(text, end, end + reach):
-            if len(after) == WINDOW:
-                break
-            after.append(m.span())
-        near = [(text[a:b].lower(), a, b) for a, b in before + after if not any(a < e and s < b for s, _, e in spans)]
-        mark = hashlib.blake2b(" ".join(t for t, _, _ in near).encode(), digest_size=8).digest()
-        yield _entity(kind, text[start:end]), int.from_bytes(mark, "little", signed=True), near
+def held_terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of a text's terms in order; start is -1 for one that touches a base span."""
+    k, past = 0, -1  # the furthest end of the base spans that start before the term ends
+    for m in TERM.finditer(text):
+        a, b = m.span()
+        while k < len(spans) and spans[k][0] < b:
+            past = max(past, spans[k][2])
+            k += 1
+        yield (m[0].lower(), -1 if a < past else a, b)
 
 
-_NEAR = "array<struct<entity: string, mark: bigint, term: string, start: int, end: int>>"
-_FOUND = f"doc_id long, row long, spans array<struct<start: int, kind: int, end: int>>, near {_NEAR}"
+_TERMS = "array<struct<term: string, start: int, end: int>>"
+_FOUND = f"doc_id long, spans array<struct<start: int, kind: int, end: int>>, entities array<string>, terms {_TERMS}"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("mark", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    terms_type = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     for b in batches:
-        spans, near, rows = [], [], []
+        spans, entities, terms = [], [], []
         for text in b.column(1):
             text = text.as_py() or ""
             own = base_spans(text)
             spans.append([{"start": s, "kind": k, "end": e} for s, k, e in own])
-            near.append([{"entity": e, "mark": m, "term": t, "start": a, "end": z} for e, m, some in contexts(text, own) for t, a, z in some] if own else [])
-            rows.append(int.from_bytes(hashlib.blake2b(repr(own).encode(), digest_size=8).digest(), "little", signed=True) if own else 0)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.int64()), pa.array(spans, spans_type), pa.array(near, near_type)], ["doc_id", "row", "spans", "near"])
+            entities.append(sorted({_entity(k, text[s:e]) for s, k, e in own}))
+            terms.append([{"term": t, "start": a, "end": z} for t, a, z in held_terms(text, own)] if own else [])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, spans_type), pa.array(entities, pa.list_(pa.string())), pa.array(terms, terms_type)], ["doc_id", "spans", "entities", "terms"])
 
 
 class TermFilter:
@@ -148,7 +139,7 @@ def _count_texts(places):
 
         for b in batches:
             for text in b.column(0):
-                found = set(TERM.findall((text.as_py() or "").lower()))
+                found = {t.lower() for t in set(TERM.findall(text.as_py() or ""))}
                 if len(known) > 400_000:
                     known = {}
                 for t in found.difference(known):
@@ -162,51 +153,50 @@ def _count_texts(places):
     return run
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, least: int = LEAST_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term, n_both, n_texts, disclosed) of terms that disclose an entity over the whole corpus.
+def disclosing_terms(docs: DataFrame, entities: DataFrame, terms: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(row, term) of the terms of a row that disclose an entity of that row over the whole corpus.
 
-    ``near`` has a row (entity, mark, term) for each term near an entity.
-    Contexts with the same terms count once, so copies of a text prove nothing.
+    ``entities`` (row, entity) and ``terms`` (row, term) have each entity of a
+    row, and each term of the rows with entities, once.
     """
     spark = docs.sparkSession
-    both = near.select("entity", "term", "mark").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    both = materialise(both.where(F.col("n_both") >= least), "pairs")
     held = TermFilter()
     place = F.xxhash64("term").bitwiseAND(F.lit(TermFilter.BITS - 1)).cast("int")
-    for batch in both.select("term").distinct().select(place.alias("at")).distinct().toArrow().to_batches():
+    for batch in terms.select(place.alias("at")).distinct().toArrow().to_batches():
         held.held[batch.column(0).to_numpy()] = True
     places = spark.sparkContext.broadcast(np.packbits(held.held).tobytes())
     texts = docs.select(F.col("text").cast("string").alias("text"))
     counts = texts.mapInArrow(_count_texts(places), "term string, n_texts long").groupBy("term").agg(F.sum("n_texts").alias("n_texts"))
     total = docs.count()
-    entities = near.select("entity", "mark").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    told = both.join(counts, "term").join(entities, "entity")
-    given = F.least(F.lit(1.0), F.col("n_both") / F.col("n_texts"))
     alone = F.least(F.lit(0.5), F.col("n_entity") / F.lit(float(max(total, 2))))
-    told = told.withColumn("disclosed", 1 - F.log(given) / F.log(alone))
-    return told.where(F.col("disclosed") >= disclosure).select("entity", "term", "n_both", "n_texts", "disclosed")
+    # p(e|t) is at most n(e) / n(t), so terms of many more texts than any entity of the row has disclose none
+    told = lambda both: 1 - F.log(F.least(F.lit(1.0), both / F.col("n_texts"))) / F.log(alone) >= disclosure - 1e-12
+    named = materialise(entities.join(entities.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity"), "entities")
+    pairs = terms.join(counts, "term").join(named, "row").where(told(F.col("n_entity")))
+    pairs = materialise(pairs.select("row", "entity", "term", "n_entity", "n_texts"), "pairs")
+    known = pairs.groupBy("entity", "term", "n_entity", "n_texts").agg(F.count("*").alias("n_both")).where(told(F.col("n_both")))
+    return pairs.join(known.select("entity", "term"), ["entity", "term"], "left_semi").select("row", "term").distinct()
 
 
-def personal_spans(docs: DataFrame, least: int = LEAST_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
+def personal_spans(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base, spans.
 
     ``base`` and ``spans`` are strings of kind:start:end in code points, comma-joined
     by start and then kind (email, ip, card, phone, term); ``spans`` adds the
-    terms that disclose an entity near which they stand.  A null or empty text
-    has no spans.  Rows with a null or repeated doc_id are kept singly; rows that
-    share id and base spans share their terms.  An empty table gives an empty
-    result; other columns are ignored.
+    terms that disclose an entity of their text.  A null or empty text has no
+    spans.  Rows with a null or repeated doc_id are kept and judged singly.  An
+    empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialise(rows.mapInArrow(_find, _FOUND), "spans")
-    near = found.where("size(near) > 0").select("doc_id", "row", F.inline("near"))
-    told = disclosing_terms(rows, near, least, disclosure)
-    terms = near.join(told.select("entity", "term"), ["entity", "term"], "left_semi").select("doc_id", "row", F.struct("start", F.lit(len(KINDS)).alias("kind"), "end").alias("span"))
-    terms = terms.groupBy("doc_id", "row").agg(F.collect_set("span").alias("terms"))
-    terms = terms.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "terms")
+    found = materialise(rows.mapInArrow(_find, _FOUND).withColumn("row", F.monotonically_increasing_id()), "spans")
+    some = found.where("size(spans) > 0")
+    placed = some.select("row", F.inline("terms"))
+    told = disclosing_terms(rows, some.select("row", F.explode("entities").alias("entity")), placed.select("row", "term").distinct(), disclosure)
+    terms = placed.where("start >= 0").join(told, ["row", "term"], "left_semi").select("row", F.struct("start", F.lit(len(KINDS)).alias("kind"), "end").alias("span"))
+    terms = terms.groupBy("row").agg(F.collect_list("span").alias("terms"))
     # only rows with spans can have terms, so the others need no join
     plain = found.where("size(spans) = 0").select("doc_id", "spans", F.expr("cast(null as array<struct<start: int, kind: int, end: int>>)").alias("terms"))
-    some = found.where("size(spans) > 0").join(terms, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left").select("doc_id", "spans", "terms")
+    some = some.drop("terms").join(terms, "row", "left").select("doc_id", "spans", "terms")
     out = plain.unionByName(some)
     names = F.array(*[F.lit(k) for k in (*KINDS, "term")])
     joined = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")

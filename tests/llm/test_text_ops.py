@@ -215,3 +215,13 @@ def test_pii_terms_disclose(spark, odd_docs):
     assert "<TERM> <TERM>" in clean[0] and "<EMAIL>" in clean[0] and "zanzibar" not in clean[0] and clean[7] == dict(docs)[7]
     assert "<TERM>" not in {r.sanitised for r in pii.sanitise(df, remove_terms=True).collect()}.pop()
     assert pii.personal_spans(odd_docs).count() == 10 and pii.personal_spans(odd_docs.limit(0)).count() == 0
+
+
+def test_pii_terms_of_entities_in_one_or_two_texts(spark):
+    rng = random.Random(11)
+    filler = lambda n: " ".join(f"common{chr(97 + rng.randrange(20))}" for _ in range(n))
+    docs = [(0, f"Zanzibar {filler(60)} jo@x.org {filler(60)} clockmaker zanzibar"), (1, f"{filler(50)} lighthouse {filler(20)} 10.1.2.3 {filler(30)}"), (2, f"10.1.2.3 {filler(70)} lighthouse"), (3, f"{filler(40)} saddler@y.org saddler")]
+    docs += [(k, filler(40)) for k in range(4, 60)]
+    got = {r.doc_id: r for r in pii.personal_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    terms = {d: [text[int(s) : int(e)] for k, s, e in (x.split(":") for x in filter(None, got[d].spans.split(","))) if k == "term"] for d, text in docs}
+    assert terms == {d: {0: ["Zanzibar", "clockmaker", "zanzibar"], 1: ["lighthouse"], 2: ["lighthouse"], 3: ["saddler"]}.get(d, []) for d, _ in docs}
