@@ -27,8 +27,8 @@ FIT_ROWS = 6000
 #: Texts that must have a term or stem, and how many times likelier toxic ones must have it.
 LEAST_TEXTS, LEAST_RATIO = 5, 12.0
 STEM = range(4, 9)
-#: Entries of at least so many letters that at least so many toxic texts have are also met with one edit, by words as long.
-FUZZY_LENGTH, FUZZY_TEXTS, EDITS = 5, 20, 1
+#: Entries of so many letters that this share of the labelled toxic texts have, or so many of them, are also met with edits, by words of so many letters.
+FUZZY_ENTRY, FUZZY_TOXIC, FUZZY_TEXTS, FUZZY_LENGTH, EDITS = 4, 0.05, 20, 3, 1
 #: A misspelled hit counts as this share of its entry.
 FUZZY_SHARE = 0.8
 FEATURES = 6
@@ -76,7 +76,7 @@ class LexiconTrie:
     def __init__(self, words: dict[str, float], stems: dict[str, float], firm: frozenset[str], plain: frozenset[str] = frozenset()):
         self.words, self.stems, self.plain = words, stems, plain
         self.root: dict = {}
-        long = [w for w in words if len(w) >= FUZZY_LENGTH and w in firm]
+        long = [w for w in words if len(w) >= FUZZY_ENTRY and w in firm]
         for entry in long:
             node = self.root
             for c in entry:
@@ -192,7 +192,7 @@ def fit(texts: list[str], labels: np.ndarray) -> ToxicityModel:
         if a >= 2 * LEAST_TEXTS and r >= LEAST_RATIO and not any(stem[:n] in stems for n in STEM):
             stems[stem] = math.log(r)
     lexicon = {w: v for w, v in lexicon.items() if not any(w[:n] in stems for n in STEM)}
-    firm = frozenset(w for w in lexicon if ratios[w][0] >= FUZZY_TEXTS)
+    firm = frozenset(w for w in lexicon if ratios[w][0] >= min(FUZZY_TEXTS, FUZZY_TOXIC * labels.sum()))
     trie = LexiconTrie(lexicon, stems, firm)
     clean = set().union(*(own for own, y in zip(words, labels, strict=True) if not y))
     model = ToxicityModel(lexicon, stems, firm, frozenset(w for w in clean if (hit := trie.find(w)) and hit[0] == "fuzzy"))

@@ -225,3 +225,12 @@ def test_pii_terms_of_entities_in_one_or_two_texts(spark):
     got = {r.doc_id: r for r in pii.personal_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     terms = {d: [text[int(s) : int(e)] for k, s, e in (x.split(":") for x in filter(None, got[d].spans.split(","))) if k == "term"] for d, text in docs}
     assert terms == {d: {0: ["Zanzibar", "clockmaker", "zanzibar"], 1: ["lighthouse"], 2: ["lighthouse"], 3: ["saddler"]}.get(d, []) for d, _ in docs}
+
+
+def test_toxicity_misspelled_terms_of_a_small_table(spark):
+    docs, table = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, table)
+    assert {"trash", "idiot", "scum", "clown"} <= model.firm
+    assert [[(k, kind) for k, kind, _ in model.hits(t)] for t in ("you idiott", "a clwn", "you scumm", "scm", "the thing")] == [[(4, "fuzzy")], [(2, "fuzzy")], [(4, "fuzzy")], [(0, "fuzzy")], []]
+    bad, clean = model.scores(["you pathetc idiott", "the thing on the other"])
+    assert bad > 0.5 > clean
