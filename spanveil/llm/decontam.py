@@ -1,9 +1,9 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
 Texts and items become words (runs of letters and digits, lower-cased) and
-five-word shingles.  A window as long as an item is a candidate where it holds
-at least the share of the item's shingles that the similarity demands; no other
-window can reach it.  Each candidate gets a 64-bit SimHash of its weighted
+five-word shingles.  A window as long as an item is a candidate where the item's shingles
+it holds have at least the share of the item's weight that the similarity
+demands: the shared weight is at most theirs, so no other window can reach it.  Each candidate gets a 64-bit SimHash of its weighted
 shingles.  Fingerprints within ``RADIUS`` agree in one of ``RADIUS`` + 1 blocks
 at least, so equality of a block finds them all; Hamming distance and then the
 exact weighted Jaccard similarity of the shingles decide.
@@ -73,16 +73,16 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("words")).where("item_id is not null and size(words) > 0")
     items = items.select("item_id", F.size("words").alias("item_words"), F.explode(shingle_hashes("words")).alias("shingle"))
     items = materialise(items.groupBy("item_id", "item_words", "shingle").agg(F.count("*").alias("weight")), "items")
-    sizes = items.groupBy("item_id", "item_words").agg(F.count("*").alias("item_shingles"))
+    sizes = items.groupBy("item_id", "item_words").agg(F.sum("weight").alias("item_total"))
     n = items.count()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("words")).where("doc_id is not null and size(words) > 0")
-    seeds = rows.select("doc_id", F.posexplode(shingle_hashes("words")).alias("place", "shingle")).join(_by_size(items.select("item_id", "shingle"), n), "shingle")
-    # a window as similar as asked holds that share of the item's distinct shingles
-    seeds = materialise(seeds.select("doc_id", "item_id", "shingle", "place"), "seeds")
-    held = seeds.groupBy("doc_id", "item_id").agg(F.countDistinct("shingle").alias("n_held"), F.min("place").alias("low"), F.max("place").alias("high"))
-    held = held.join(_by_size(sizes, n), ["item_id"]).where(F.col("n_held") >= similarity * F.col("item_shingles"))
-    held = materialise(held.select("doc_id", "item_id", "item_words", "item_shingles"), "held")
+    seeds = rows.select("doc_id", F.posexplode(shingle_hashes("words")).alias("place", "shingle")).join(_by_size(items.select("item_id", "shingle", "weight"), n), "shingle")
+    # a window as similar as asked holds shingles of that share of the item's weight
+    seeds = materialise(seeds.select("doc_id", "item_id", "shingle", "weight", "place"), "seeds")
+    held = seeds.select("doc_id", "item_id", "shingle", "weight").distinct().groupBy("doc_id", "item_id").agg(F.sum("weight").alias("held"))
+    held = held.join(_by_size(sizes, n), ["item_id"]).where(F.col("held") >= similarity * F.col("item_total"))
+    held = materialise(held.select("doc_id", "item_id", "item_words", "item_total"), "held")
 
     named = held.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(named, "doc_id", "left_semi")
@@ -90,11 +90,11 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
     texts = materialise(texts.select("doc_id", F.size("words").alias("doc_words"), shingle_hashes("words").alias("shingles")).distinct(), "texts")
 
     # every start at which the window holds enough seeds of the item
-    kept = seeds.join(held, ["doc_id", "item_id"]).select("doc_id", "item_id", "item_words", "item_shingles", "place", "shingle")
+    kept = seeds.join(held, ["doc_id", "item_id"]).select("doc_id", "item_id", "item_words", "item_total", "place", "shingle", "weight")
     reach = F.greatest(F.col("item_words") - SHINGLE, F.lit(0))
-    starts = kept.select("doc_id", "item_id", "item_words", "item_shingles", "shingle", F.explode(F.sequence(F.greatest(F.col("place") - reach, F.lit(0)), F.col("place"))).alias("start"))
-    starts = starts.groupBy("doc_id", "item_id", "item_words", "item_shingles", "start").agg(F.countDistinct("shingle").alias("n_held"))
-    starts = starts.where(F.col("n_held") >= similarity * F.col("item_shingles"))
+    starts = kept.select("doc_id", "item_id", "item_words", "item_total", "shingle", "weight", F.explode(F.sequence(F.greatest(F.col("place") - reach, F.lit(0)), F.col("place"))).alias("start"))
+    starts = starts.distinct().groupBy("doc_id", "item_id", "item_words", "item_total", "start").agg(F.sum("weight").alias("held"))
+    starts = starts.where(F.col("held") >= similarity * F.col("item_total"))
     windows = starts.select("doc_id", "item_words", "start").distinct().join(texts, "doc_id")
     span = F.greatest(F.col("item_words") - SHINGLE + 1, F.lit(1))
     # past the end a window would be another's part; the last whole one has those shingles

@@ -234,3 +234,12 @@ def test_toxicity_misspelled_terms_of_a_small_table(spark):
     assert [[(k, kind) for k, kind, _ in model.hits(t)] for t in ("you idiott", "a clwn", "you scumm", "scm", "the thing")] == [[(4, "fuzzy")], [(2, "fuzzy")], [(4, "fuzzy")], [(0, "fuzzy")], []]
     bad, clean = model.scores(["you pathetc idiott", "the thing on the other"])
     assert bad > 0.5 > clean
+
+
+def test_decontamination_of_items_that_repeat_a_phrase(spark):
+    item = "one two three four five " * 6 + "red green blue white black grey pink gold teal plum"
+    own = item.split()
+    docs = [(1, " ".join(["tail"] * 30 + own[:-4] + ["w1", "w2", "w3", "w4"])), (2, " ".join(own)), (3, " ".join(own[:12] + ["x"] * 28))]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {(r.doc_id, r.similarity, r.start) for r in decontam.contaminated_windows(*frames).collect()}
+    assert got == {(1, 32 / 40, 26), (2, 1.0, 0)}
