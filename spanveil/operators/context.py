@@ -64,7 +64,7 @@ def _named(rule: str, entity: str, score: float):
 
 
 def _capitals(convs: DataFrame) -> DataFrame:
-    """Gazetteer names, and runs of up to three capitalised words, weaker where a sentence starts."""
+    """Gazetteer names, and capitalised words in runs of up to three, weaker where a sentence starts."""
     words = words_with_offsets(convs.select("conv_id", "text")).join(convs.select("conv_id", "text"), "conv_id")
     low = F.lower("word")
     known = low.isin(FIRST_NAMES)
@@ -76,8 +76,11 @@ def _capitals(convs: DataFrame) -> DataFrame:
     words = words.withColumn("new", (~F.coalesce(F.lag("capital").over(order), F.lit(False)) | (gap > 1) | F.col("initial")).cast("int")).withColumn("island", F.sum("new").over(order))
     lower_too = words.where(~F.col("capital")).select("conv_id", F.lower("word").alias("low")).distinct()
     gazetteer = words.where(F.col("known") & (F.length("word") >= 3)).select("conv_id", F.lit("gazetteer").alias("rule"), "start", "end", F.lit(0.45).alias("score"))
-    runs = words.where("capital").groupBy("conv_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.min_by("known", "k").alias("known"), F.min_by("initial", "k").alias("initial"), F.lower(F.min_by("word", "k")).alias("low"))
-    runs = runs.join(lower_too.withColumn("elsewhere", F.lit(True)), ["conv_id", "low"], "left").where("n <= 3 and not (n = 1 and initial and elsewhere is not null)")
+    # a longer run is cut into threes
+    turn = F.row_number().over(Window.partitionBy("conv_id", "island").orderBy("k"))
+    words = words.where("capital").withColumn("third", F.floor((turn - 1) / 3))
+    runs = words.groupBy("conv_id", "island", "third").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.min_by("known", "k").alias("known"), F.min_by("initial", "k").alias("initial"), F.lower(F.min_by("word", "k")).alias("low"))
+    runs = runs.join(lower_too.withColumn("elsewhere", F.lit(True)), ["conv_id", "low"], "left").where("not (n = 1 and initial and elsewhere is not null)")
     score = F.when((F.col("n") == 1) & F.col("initial"), F.when(F.col("known"), 0.45).otherwise(0.24)).when(F.col("known"), 0.5).when(F.col("n") > 1, 0.38).otherwise(0.3)
     return gazetteer.unionByName(runs.select("conv_id", F.lit("capitalised").alias("rule"), "start", "end", score.alias("score")))
 

@@ -79,3 +79,11 @@ def test_combination_generalise_and_errors():
     assert resolve.pii_word_errors("a b c".split(), "a x x c".split(), {1}) == (1, 1)
     with pytest.raises(ValueError):
         resolve.Allocator(Config(style="hmac"), "c", b"short")
+
+
+def test_long_runs_of_capitalised_words_are_cut_in_threes(spark):
+    from spanveil.operators.context import detect_context
+
+    text = "we met Orla Quill Bram Stoyan Teodor Vexler Nyx there"
+    found = detect_context(spark.createDataFrame([("1", text)], "conv_id string, text string")).where("raw_label = 'capitalised'").collect()
+    assert sorted((r.start, r.surface) for r in found) == [(7, "Orla Quill Bram"), (23, "Stoyan Teodor Vexler"), (44, "Nyx")]
