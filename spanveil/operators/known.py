@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import despoken_email, fuzzy_forms, keys_match, matches, normalize, phonetic_key, similarity, tokens, word_offsets
@@ -15,7 +15,8 @@ HONORIFICS = {"mr": "TITLE", "ms": "TITLE", "mrs": "TITLE", "miss": "TITLE", "dr
 GENERIC = "school primary secondary academy college nursery club team the of and united town city street road".split()
 NAME_LIKE = "_NAME|WORKPLACE|SCHOOL|DAYCARE|TEAM|CLUB"
 DICTATED = ["EMAIL", "SOCIAL_HANDLE", "ONLINE_USERNAME", "URL"]
-LONGEST = 5
+#: Least similarity of values whose words are merged or split, spaces removed.
+MERGED = 0.9
 
 
 def check_labels(known: DataFrame) -> DataFrame:
@@ -29,45 +30,86 @@ def known_tokens(known: DataFrame) -> DataFrame:
     whole = rows.select("conv_id", "entity", "value", F.size("t").alias("n"), F.array_join("t", " ").alias("norm"), F.lit(False).alias("partial"))
     parts = rows.where(F.col("entity").rlike(NAME_LIKE) & (F.size("t") > 1)).select("conv_id", "entity", "value", F.explode("t").alias("norm"))
     parts = parts.where((F.length("norm") >= 4) & ~F.col("norm").isin([*HONORIFICS, *GENERIC]))
-    return whole.unionByName(parts.select("conv_id", "entity", "value", F.lit(1).alias("n"), "norm", F.lit(True).alias("partial"))).where(F.col("n") <= LONGEST).distinct()
+    return whole.unionByName(parts.select("conv_id", "entity", "value", F.lit(1).alias("n"), "norm", F.lit(True).alias("partial"))).distinct()
 
 
-def token_windows(convs: DataFrame, most: int = LONGEST) -> DataFrame:
-    """(conv_id, n, start, end, norm): windows of up to ``most`` tokens."""
+def token_windows(convs: DataFrame, sizes: list[int]) -> DataFrame:
+    """(conv_id, n, start, end, norm): windows of ``sizes`` tokens."""
     rows = convs.select("conv_id", F.posexplode(word_offsets(F.col("text"), r"\w[\w'’-]*")).alias("k", "m"))
     rows = rows.select("conv_id", "k", F.col("m.start").cast("int").alias("start"), F.col("m.end").cast("int").alias("end"), normalize(F.col("m.surface")).alias("norm"))
     order = Window.partitionBy("conv_id").orderBy("k")
-    later = F.collect_list(F.struct("norm", "end")).over(order.rowsBetween(0, most - 1))
+    later = F.collect_list(F.struct("norm", "end")).over(order.rowsBetween(0, max(sizes, default=1) - 1))
     rows = rows.withColumn("w", later)
-    sizes = F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.struct(n.alias("n"), F.array_join(F.transform(F.slice("w", F.lit(1), n), lambda x: x["norm"]), " ").alias("norm"), F.get("w", n - 1)["end"].alias("end")))
+    some = F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= F.size("w"))
+    sizes = F.transform(some, lambda n: F.struct(n.alias("n"), F.array_join(F.transform(F.slice("w", F.lit(1), n), lambda x: x["norm"]), " ").alias("norm"), F.get("w", n - 1)["end"].alias("end")))
     return rows.select("conv_id", "start", F.inline(sizes))
 
 
+def near_forms(forms: DataFrame, wanted: DataFrame, threshold: float) -> DataFrame:
+    """(form, want) that may be similar to ``threshold``, of forms (form, n) and values (want, n); none that are is lost.
+
+    So many edits leave one of a value's pieces, one more than the edits, as it
+    was, and move it by no more places than the edits.
+    """
+    long = F.floor(F.length("want") / F.lit(threshold) + 1e-9)
+    pieces = wanted.select("want", "n").distinct().where("want <> ''").withColumn("d", F.floor(F.lit(1 - threshold) * long + 1e-9).cast("int")).withColumn("long", long)
+    cuts = lambda k: F.floor(F.length("want") * k / (F.col("d") + 1)).cast("int")
+    pieces = pieces.select("want", "n", "d", "long", F.explode(F.transform(F.sequence(F.lit(0), F.col("d")), lambda k: F.struct(cuts(k).alias("at"), F.substring("want", cuts(k) + 1, cuts(k + 1) - cuts(k)).alias("piece")))).alias("p"))
+    pieces = pieces.select("want", "n", "d", "long", "p.at", "p.piece")
+    lengths = [r[0] for r in pieces.select(F.length("piece")).distinct().collect() if r[0]]
+    places = lambda n: F.when(F.length("form") >= n, F.sequence(F.lit(0), F.length("form") - n)).otherwise(F.array().cast("array<int>"))
+    cut = lambda n: lambda k: F.struct(k.alias("place"), F.substring("form", k + 1, F.lit(n)).alias("piece"))
+    grams = [F.transform(places(n), cut(n)) for n in lengths]
+    if not grams:
+        return forms.crossJoin(wanted.select("want")).select("form", "want").limit(0)
+    grams = forms.select("form", "n", F.inline(F.concat(*grams)))
+    both = pieces.join(grams, ["n", "piece"]).where((F.abs(F.col("at") - F.col("place")) <= F.col("d")) & (F.length("form") <= F.col("long")))
+    return both.select("form", "want").distinct()
+
+
+def _near_sounds(sound: Column) -> Column:
+    """Keys of which sounds one edit apart share one: the sound, and it less one letter."""
+    less = F.transform(F.sequence(F.lit(1), F.length(sound)), lambda k: F.concat(F.substring(sound, F.lit(1), k - 1), F.substring(sound, k + 1, F.length(sound))))
+    return F.when(F.length(sound) >= 4, F.array_distinct(F.concat(F.array(sound), less))).when(sound != "", F.array(sound))
+
+
 def detect_known(convs: DataFrame, known: DataFrame | None, config: Config = Config()) -> DataFrame | None:
     """Detections of ``known`` (conv_id or null for all, entity, value) in ``convs`` (conv_id, text).
 
-    Windows and values meet where they are equal, or share a phonetic key, or
-    share the first or the last three letters: misspellings within the threshold
-    change one end at most.
+    A window is compared with values of as many words that it may be within the
+    threshold of, or that sound within one edit of it; and, spaces removed, with
+    values of one word more or less that are as long.
     """
     if known is None:
         return None
     values = known_tokens(known)
-    windows = token_windows(convs)
-    keys = lambda c, sound: F.array_distinct(F.array(F.concat(F.lit("="), c), F.concat(F.lit("~"), sound), F.concat(F.lit("^"), F.substring(c, 1, 3)), F.concat(F.lit("$"), F.right(c, F.lit(3)))))
+    counts = sorted(r[0] for r in values.select("n").distinct().collect())
+    windows = token_windows(convs, sorted({m for n in counts for m in (n - 1, n, n + 1) if m}))
     # one comparison for each pair of distinct forms, however often they stand
-    forms = windows.select("norm", "n").distinct().withColumn("sound", phonetic_key(F.col("norm")))
-    forms = forms.select("norm", "n", "sound", F.explode(keys(F.col("norm"), F.col("sound"))).alias("key"))
-    wanted = values.select(F.col("norm").alias("want"), "n", "entity", "partial").distinct().withColumn("want_sound", phonetic_key(F.col("want")))
-    wanted = wanted.select("want", "n", "entity", "partial", "want_sound", F.explode(keys(F.col("want"), F.col("want_sound"))).alias("key"))
-    pairs = forms.join(wanted, ["n", "key"]).select("norm", "want", "entity", "partial", "sound", "want_sound").distinct()
+    forms = windows.select("norm", "n").distinct()
+    wanted = values.select(F.col("norm").alias("want"), "n", "entity", "partial").distinct()
+    wants = wanted.select("want", "n").distinct()
+    pairs = near_forms(forms.withColumnRenamed("norm", "form"), wants, config.fuzzy_threshold).withColumnRenamed("form", "norm")
+    if config.phonetic:
+        sounding = lambda df, c: df.select(c, "n", F.explode(_near_sounds(phonetic_key(F.col(c)))).alias("key"))
+        pairs = pairs.union(sounding(forms, "norm").join(sounding(wants, "want"), ["n", "key"]).select("norm", "want")).distinct()
+    pairs = pairs.withColumn("sound", phonetic_key(F.col("norm"))).withColumn("want_sound", phonetic_key(F.col("want")))
     alike = keys_match(F.col("sound"), F.col("want_sound")) if config.phonetic else F.lit(False)
-    pairs = pairs.withColumn("m", fuzzy_forms(F.col("norm"), F.col("want"), alike, config.fuzzy_threshold)).where("m.matched")
-    near = (F.col("m.channel") == "exact") | (F.least(F.length("norm"), F.length("want")) >= config.min_token)
-    named = F.col("entity").contains("_NAME") | (F.col("m.channel") != "phonetic")
-    pairs = pairs.where(near & named).select("norm", "want", "entity", "partial", F.col("m.channel").alias("channel"))
+    pairs = pairs.withColumn("m", fuzzy_forms(F.col("norm"), F.col("want"), alike, config.fuzzy_threshold)).where("m.matched").select("norm", "want", F.col("m.channel").alias("channel"))
+    # words merged or split: the same letters but for the edits allowed
+    least = max(config.fuzzy_threshold, MERGED)
+    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    loose = forms.select("norm", bare("norm").alias("form"), "n")
+    shifted = wants.select(F.col("want").alias("whole"), bare("want").alias("want"), F.explode(F.array(F.col("n") - 1, F.col("n") + 1)).alias("n"))
+    merged = near_forms(loose.select("form", "n").distinct(), shifted, least).where(F.length("form") == F.length("want"))
+    merged = merged.where(1 - F.levenshtein("form", "want") / F.length("want") >= least)
+    merged = merged.join(shifted, "want").join(loose, ["form", "n"]).select("norm", F.col("whole").alias("want"), F.lit("merged").alias("channel"))
+    pairs = pairs.union(merged).distinct().join(wanted.drop("n"), "want")
+    near = (F.col("channel") == "exact") | (F.least(F.length("norm"), F.length("want")) >= config.min_token)
+    named = F.col("entity").contains("_NAME") | (F.col("channel") != "phonetic")
+    pairs = pairs.where(near & named).select("norm", "want", "entity", "partial", "channel").distinct()
     found = windows.join(pairs, "norm").join(values.withColumnRenamed("conv_id", "own").withColumnRenamed("norm", "want").drop("n"), ["want", "entity", "partial"]).where("own is null or own = conv_id")
-    score = F.create_map(*[F.lit(x) for kv in {"exact": 1.0, "fuzzy": 0.95, "phonetic": 0.9}.items() for x in kv])[F.col("channel")]
+    score = F.create_map(*[F.lit(x) for kv in {"exact": 1.0, "fuzzy": 0.95, "merged": 0.92, "phonetic": 0.9}.items() for x in kv])[F.col("channel")]
     score = F.when(F.col("partial"), F.least(score, F.lit(0.97))).otherwise(score)
     out = found.select("conv_id", F.lit("known_values").alias("detector"), F.col("value").alias("raw_label"), "entity", "start", "end", score.alias("score"), "channel", "partial")
     said = convs.select("conv_id", F.explode(matches(F.col("text"), r"(?i)[a-z0-9]+(?:\s+(?:at|dot|underscore|dash|hyphen)\s+[a-z0-9]+)+")).alias("m"))

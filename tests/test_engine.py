@@ -87,3 +87,12 @@ def test_long_runs_of_capitalised_words_are_cut_in_threes(spark):
     text = "we met Orla Quill Bram Stoyan Teodor Vexler Nyx there"
     found = detect_context(spark.createDataFrame([("1", text)], "conv_id string, text string")).where("raw_label = 'capitalised'").collect()
     assert sorted((r.start, r.surface) for r in found) == [(7, "Orla Quill Bram"), (23, "Stoyan Teodor Vexler"), (44, "Nyx")]
+
+
+def test_known_values_long_merged_and_misspelled_at_both_ends(spark):
+    from spanveil.operators.known import detect_known
+
+    known = spark.createDataFrame([(None, "SCHOOL_NAME", v) for v in ("Saint Mary of the Green Hill School", "Greenfield", "Da Silva", "Wolfenbuttel")], "conv_id string, entity string, value string")
+    texts = ["at saint mary of the green hill school now", "the green field gate", "mr dasilva left", "in wilfenbuttol then", "a green hill"]
+    found = detect_known(spark.createDataFrame(list(enumerate(texts)), "conv_id string, text string"), known).where("not partial").collect()
+    assert sorted((r.conv_id, r.raw_label, r.start, r.end, r.channel) for r in found) == [("0", "Saint Mary of the Green Hill School", 3, 38, "exact"), ("1", "Greenfield", 4, 15, "merged"), ("2", "Da Silva", 3, 10, "merged"), ("3", "Wolfenbuttel", 3, 15, "fuzzy")]
