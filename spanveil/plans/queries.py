@@ -156,7 +156,7 @@ def normalized_tokens(spark, d):
 
 def _known(spark, d):
     """Known values: the distinct capitalised openings of conversations."""
-    first = _read(spark, d, "conversations").select(F.regexp_extract("text", r"^(\p{Lu}[\p{L}]{5,12})", 1).alias("value")).where("value <> ''").groupBy("value").count().orderBy(F.desc("count"), "value").limit(20)
+    first = _read(spark, d, "conversations").select(F.regexp_extract("text", r"^(\p{Lu}[\p{L}]{5,12})", 1).alias("value")).where("value <> ''").select("value").distinct()
     return first.select(F.lit(None).cast("string").alias("conv_id"), F.lit("CHILD_NAME").alias("entity"), "value")
 
 

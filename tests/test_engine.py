@@ -96,3 +96,12 @@ def test_known_values_long_merged_and_misspelled_at_both_ends(spark):
     texts = ["at saint mary of the green hill school now", "the green field gate", "mr dasilva left", "in wilfenbuttol then", "a green hill"]
     found = detect_known(spark.createDataFrame(list(enumerate(texts)), "conv_id string, text string"), known).where("not partial").collect()
     assert sorted((r.conv_id, r.raw_label, r.start, r.end, r.channel) for r in found) == [("0", "Saint Mary of the Green Hill School", 3, 38, "exact"), ("1", "Greenfield", 4, 15, "merged"), ("2", "Da Silva", 3, 10, "merged"), ("3", "Wolfenbuttel", 3, 15, "fuzzy")]
+
+
+def test_known_value_query_takes_every_value(spark):
+    from spanveil.plans import queries
+
+    sf = "/root/testdata/sf0.01"
+    first = spark.read.parquet(f"{sf}/conversations.parquet").select(F.regexp_extract("text", r"^(\p{Lu}[\p{L}]{5,12})", 1).alias("value")).where("value <> ''")
+    got = [r.value for r in queries._known(spark, sf).collect()]
+    assert len(got) == len(set(got)) > 20 and set(got) == {r.value for r in first.collect()}
