@@ -11,113 +11,39 @@ the rank of a piece among those of its length.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, materialise, utf8
 
 SEQUENCE = 4096
+#: Text bytes whose runs are told apart at once.
+WORD_BYTES = 1 << 22
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: Rows of one length that one sorting task should rank.
 RANK_ROWS = 1_000_000
 
 
-class Merges:
-    """Byte-pair merges of many parts at once: one vectorised round makes each part's best merge."""
-
-    LONGEST = 48
-    BITS = 18
-
-    def __init__(self, vocab: dict[str, int], merges: list[list[str]]):
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        chars = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
-        self.inner = np.array([vocab[chars[b]] for b in range(256)], np.int64)
-        self.last = np.array([vocab[chars[b] + "</w>"] for b in range(256)], np.int64)
-        keys = np.array([vocab[a] << 20 | vocab[b] for a, b in merges], np.int64)
-        made = np.array([vocab[a + b] for a, b in merges], np.int64)
-        size = 1 << self.BITS
-        self.keys, self.rank, self.made = np.full(size, -1, np.int64), np.full(size, 1 << 30, np.int64), np.zeros(size, np.int64)
-        left, at = np.arange(len(keys)), self._home(keys)
-        while len(left):  # open addressing: the first to claim a free place gets it
-            free = left[self.keys[at] < 0]
-            self.keys[at[self.keys[at] < 0][::-1]] = keys[free[::-1]]
-            own = self.keys[at] == keys[left]
-            self.rank[at[own]], self.made[at[own]] = left[own], made[left[own]]
-            left, at = left[~own], (at[~own] + 1) & (size - 1)
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
-
-    def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Places in the table; those of pairs that don't merge have no rank."""
-        keys = a << 20 | b
-        at = self._home(keys)
-        todo = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] >= 0))
-        while len(todo):
-            at[todo] = (at[todo] + 1) & (len(self.keys) - 1)
-            todo = todo[(self.keys[at[todo]] != keys[todo]) & (self.keys[at[todo]] >= 0)]
-        return at
-
-    def __call__(self, parts: list[bytes]) -> list[np.ndarray]:
-        out: list = [None] * len(parts)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        for size in np.unique(sizes):
-            own = np.flatnonzero(sizes == size)
-            raw = np.frombuffer(b"".join([parts[k] for k in own]), np.uint8).reshape(len(own), size)
-            ids = self.inner[raw]
-            ids[:, -1] = self.last[raw[:, -1]]
-            self._merge(ids, own, out)
-        return out
-
-    def _merge(self, ids: np.ndarray, own: np.ndarray, out: list) -> None:
-        at = self._find(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), -1)
-        while ids.shape[1] > 1:
-            rank = self.rank[at]
-            j = rank.argmin(1)
-            rows = np.arange(len(ids))
-            go = rank[rows, j] < 1 << 30
-            for k in np.flatnonzero(~go):
-                out[own[k]] = ids[k]
-            ids, at, own, j = ids[go], at[go], own[go], j[go]
-            if not len(ids):
-                return
-            rows = rows[: len(ids)]
-            ids[rows, j] = self.made[at[rows, j]]
-            keep = np.ones(ids.shape, bool)
-            keep[rows, j + 1] = False
-            width = ids.shape[1] - 1
-            ids = ids[keep].reshape(-1, width)
-            if width == 1:
-                break
-            keep = np.ones(at.shape, bool)
-            keep[rows, j] = False
-            at = at[keep].reshape(-1, width - 1)
-            right = np.flatnonzero(j < width - 1)
-            at[right, j[right]] = self._find(ids[right, j[right]], ids[right, j[right] + 1])
-            left = np.flatnonzero(j > 0)
-            at[left, j[left] - 1] = self._find(ids[left, j[left] - 1], ids[left, j[left]])
-        for k, row in zip(own, ids, strict=True):
-            out[k] = row
-
-
 class WordIds:
     """Token ids of texts, found once for each distinct run between ASCII spaces.
 
     White space becomes a boundary that no id crosses, so the ids of a text are
     those of its runs in turn.  A run of composed Latin letters and signs is
-    split here by the tokenizer file's own pattern, and its parts are merged by
-    the file's merges; any other run goes through the whole tokenizer.
+    split here by the tokenizer file's own pattern, and the tokenizer's model
+    finds each distinct part's ids; any other run goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -127,88 +53,110 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            file = json.load(f)
-        self.merges = Merges(file["model"]["vocab"], file["model"]["merges"])
-        self.parts = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+            pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.parts = regex.compile(pattern).findall
         self.plain = regex.compile("[!-~\u00a1-\u024f]*").fullmatch
+        # a byte-level vocabulary writes a byte that is no visible character as one past 255
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = (b for b in range(256) if b not in printable)
+        self.byte_chars = {b: chr(256 + k) for k, b in enumerate(others)}
         self._forget()
 
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.part: dict[str, np.ndarray] = {}
+        self.part: dict[str, bytes] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)  # ends[k]: past the ids of run k-1
 
-    def _split(self, run: str) -> list[str] | None:
-        if not self.plain(run):
-            return None
-        run = run.lower()
-        if run.isalpha():
-            return [run]
-        if run[:-1].isalpha() and run[-1] in ".,;:!?":
-            return [run[:-1], run[-1]]
-        return self.parts(run)
+    def _whole(self, run: str) -> bytes:
+        return array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        split = [self._split(run) for run in new]
-        known = self.part
-        fresh = [p for p in dict.fromkeys(p for s in split if s for p in s) if p not in known]
-        coded = [p.encode() for p in fresh]
-        short = [k for k, p in enumerate(coded) if len(p) <= Merges.LONGEST]
-        known.update(zip([fresh[k] for k in short], self.merges([coded[k] for k in short]), strict=True))
-        if len(short) < len(fresh):
-            known.update((p, np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.int64)) for p, c in zip(fresh, coded, strict=True) if len(c) > Merges.LONGEST)
-        lists = [np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, np.int64) if s is None else known[s[0]] if len(s) == 1 else np.concatenate([known[p] for p in s]) if s else _NONE for run, s in zip(new, split, strict=True)]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        known, tokenize, parts, plain = self.part, self.tokenizer.model.tokenize, self.parts, self.plain
+        lists = []
+        for run in new:
+            if not plain(run):
+                lists.append(self._whole(run))
+                continue
+            low = run.lower()
+            ids = b""
+            for part in (low,) if low.isalpha() else parts(low):
+                if (own := known.get(part)) is None:
+                    spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.byte_chars)
+                    own = known[part] = array("I", [t.id for t in tokenize(spelled)]).tobytes()
+                ids += own
+            lists.append(ids)
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
         k, total = len(self.at), int(sizes.sum())
         start = int(self.ends[k])
         while start + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while k + len(new) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[start : start + total] = np.concatenate(lists)
+        self.flat[start : start + total] = np.frombuffer(b"".join(lists), np.uint32)
         self.ends[k + 1 : k + 1 + len(new)] = start + np.cumsum(sizes)
         self.at.update(zip(new, range(k, k + len(new)), strict=True))
-        if len(known) > CACHE_WORDS:
-            self.part = {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.at) > CACHE_WORDS:
-            self._forget()
-        split = []
-        for t in texts:
-            for c in "\t\n\v\f\r":
-                if c in t:
-                    t = t.replace(c, " ")
-            split.append(t.split(" "))
-        at = self.at
-        if new := set().union(*split).difference(at):
-            self._learn(list(new))
-        out = []
-        for s in split:
-            k = np.fromiter(map(at.__getitem__, s), np.int64, len(s))
-            start, size = self.ends[k], self.ends[k + 1] - self.ends[k]
-            first = np.cumsum(size) - size
-            out.append(self.flat[np.repeat(start - first, size) + np.arange(int(size.sum()))])
-        return out
-
-
-_NONE = np.zeros(0, np.int64)
+
+    def _shrink(self, k: np.ndarray, distinct: list[str]) -> None:
+        """Forgets the runs but ``distinct``, whose places are ``k``."""
+        first, size = self.ends[k], self.ends[k + 1] - self.ends[k]
+        past = np.cumsum(size)
+        flat = self.flat[np.repeat(first - past + size, size) + np.arange(int(size.sum()))]
+        self._forget()
+        self.flat, self.ends = flat, np.concatenate([[0], past])
+        self.at = dict(zip(distinct, range(len(distinct)), strict=True))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and their len+1 offsets."""
+        split = pc.ascii_split_whitespace(texts)
+        runs = split.flatten().dictionary_encode()
+        distinct = runs.dictionary.to_pylist()
+        own = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(new := np.flatnonzero(own < 0)):
+            own[new] = len(self.at) + np.arange(len(new))
+            self._learn([distinct[k] for k in new.tolist()])
+        k = own[runs.indices.to_numpy()] if len(distinct) else own
+        first, size = self.ends[k], self.ends[k + 1] - self.ends[k]
+        past = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(first - past[:-1], size) + np.arange(past[-1])]
+        counts = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
+        if len(self.at) > CACHE_WORDS or len(self.part) > CACHE_WORDS:
+            self._shrink(own, distinct)
+        return ids, past[counts]
+
+
+#: The ids that a worker has found, for its later tasks too; one tokenizer at a time.
+_WORKER: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _WORKER:
+        _WORKER.clear()
+        _WORKER[path] = WordIds(path)
+    return _WORKER[path]
+
+
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def _pieces(tokenizer: str, end_id: int, sequence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer)
+        ids_of, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
         for b in batches:
+            texts = pc.fill_null(b.column(1).cast(pa.large_string()), "")
             out: list[list] = [[], [], [], [], []]
-            for lo, hi, _, _ in chunks(*utf8(b.column(1))):
-                texts = [t or "" for t in b.column(1)[lo:hi].to_pylist()]
-                for doc_id, ids in zip(b.column(0)[lo:hi].to_pylist(), ids_of(texts), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for start in range(0, len(ids), sequence):
-                        piece = ids[start : start + sequence]
-                        for column, x in zip(out, (doc_id, start, len(piece), zlib.crc32(piece), len(ids)), strict=True):
+            for lo, hi, _, _ in chunks(*utf8(texts), size=WORD_BYTES):
+                ids, at = ids_of(texts[lo:hi])
+                ids = ids.astype("<u4", copy=False)
+                for doc_id, first, past in zip(b.column(0)[lo:hi].to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    total = past - first + 1
+                    for start in range(0, total, sequence):
+                        length = min(sequence, total - start)
+                        last = start + length == total
+                        check = zlib.crc32(ids[first + start : first + start + length - last])
+                        if last:
+                            check = zlib.crc32(end, check)
+                        for column, x in zip(out, (doc_id, start, length, check, total), strict=True):
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
@@ -251,18 +199,22 @@ def pack_histogram(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[
 
 
 def _slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, tuple[np.ndarray, ...]]:
-    """By length: the first rank, first sequence, sequences and offset of each run of places."""
+    """By length: the first rank, first sequence, sequences and offset of each run of places.
+
+    However many pieces there are, a length opens one pattern and splits one at
+    most, and a pattern holds under 91 distinct lengths (they add up to the
+    sequence): at most 750,000 runs, 24 MB, and some ten thousand in practice.
+    """
     by: dict[int, list[tuple[int, int, int, int]]] = {}
     ranks: dict[int, int] = {}
     sequence = 0
     for often, pattern in patterns:
         offset = 0
         for length, many in pattern:
-            for _ in range(many):
-                rank = ranks.get(length, 0)
-                by.setdefault(length, []).append((rank, sequence, often, offset))
-                ranks[length] = rank + often
-                offset += length
+            rank = ranks.get(length, 0)
+            by.setdefault(length, []).append((rank, sequence, often, offset))
+            ranks[length] = rank + often * many
+            offset += length * many
         sequence += often
     return {k: tuple(np.array(c, np.int64) for c in zip(*v, strict=True)) for k, v in by.items()}
 
@@ -277,9 +229,10 @@ def _place(slots):
             cuts = np.flatnonzero(np.diff(length[order], prepend=-1))
             for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
                 own = order[lo:hi]
-                first, base, _, at = table[int(length[own[0]])]
+                first, base, often, at = table[int(length[own[0]])]
                 k = np.searchsorted(first, rank[own], "right") - 1
-                sequence[own], offset[own] = base[k] + rank[own] - first[k], at[k]
+                turn, place = np.divmod(rank[own] - first[k], often[k])
+                sequence[own], offset[own] = base[k] + place, at[k] + turn * length[own]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], [*b.schema.names[:5], "sequence_id", "offset"])
 
     return run
