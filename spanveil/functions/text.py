@@ -1,136 +1,90 @@
-"""Text functions over Columns: normalisation, fuzzy and phonetic comparison, spoken forms, match offsets.
+"""Text functions over Columns: those of ``plain`` a batch at a time through Arrow, and what built-in functions can say.
 
-Java's plain ``\\w``, ``\\d`` and ``\\s`` are ASCII, so patterns spell Unicode classes out.
+Null in gives null out.
 """
 
 from __future__ import annotations
 
-import re
-from functools import reduce
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-#: Invisible format characters.
-FORMAT_CHARS = "­​‌‍⁠﻿"
-#: Composed Latin letters and their base letters.
-ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-BASE = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+from . import plain
 
-WORD = r"[\p{L}\p{N}_]"
-NOT_AFTER_WORD, NOT_BEFORE_WORD = rf"(?<!{WORD})", rf"(?!{WORD})"
+PLACEHOLDER = r"<[A-Z][A-Z0-9_]{1,96}>"
+
+
+def _of_one(c: Column, kind: str, f: Callable) -> Column:
+    arrow = to_arrow_type(DataType.fromDDL(kind))
 
-#: Spoken digits and their homophones, teens, tens, multipliers.
-DIGIT_WORDS = {"zero": "0", "oh": "0", "o": "0", "nought": "0", "one": "1", "two": "2", "to": "2", "too": "2", "three": "3", "four": "4", "for": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "ate": "8", "nine": "9"}
-TEEN_WORDS = {"ten": "10", "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14", "fifteen": "15", "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19"}
-TENS_WORDS = {"twenty": "20", "thirty": "30", "forty": "40", "fifty": "50", "sixty": "60", "seventy": "70", "eighty": "80", "ninety": "90"}
-TIMES_WORDS = {"double": 2, "triple": 3, "treble": 3}
-#: The phonetic key's rewrites, in this order, and its consonants.
-DIGRAPHS = [("sch", "S"), ("sh", "S"), ("ch", "S"), ("tch", "S"), ("ph", "F"), ("gh", "G"), ("kn", "N"), ("wr", "R"), ("wh", "W"), ("ck", "K"), ("qu", "K"), ("x", "KS"), ("th", "T"), ("dg", "J")]
-CONSONANTS = ("bcdfgjklmnpqrstvwz", "BKDFGJKLMNPKRSTVWS")
-FOLDED = ("ZDGV", "STKF")
+    @F.arrow_udf(kind)
+    def run(a: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else f(x) for x in a.to_pylist()], arrow)
 
+    return run(c)
 
-def _map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
+def _of_two(a: Column, b: Column, kind: str, f: Callable) -> Column:
+    arrow = to_arrow_type(DataType.fromDDL(kind))
 
-def strip_format_chars(c: Column) -> Column:
-    return F.translate(c, FORMAT_CHARS, "")
+    @F.arrow_udf(kind)
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([None if p is None or q is None else f(p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], arrow)
+
+    return run(a, b)
 
 
 def strip_accents(c: Column) -> Column:
-    """Base letters of composed Latin letters; combining marks go."""
-    return F.regexp_replace(F.translate(c, ACCENTED + ACCENTED.upper(), BASE + BASE.upper()), r"\p{M}", "")
+    return _of_one(c, "string", plain.strip_accents)
 
 
 def normalize(c: Column) -> Column:
-    plain = F.lower(strip_accents(strip_format_chars(c)))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, rf"[^\p{{L}}\p{{N}}_\s']", " "), r"\s+", " "))
+    return _of_one(c, "string", plain.normalize_text)
 
 
 def tokens(c: Column) -> Column:
     return F.filter(F.split(normalize(c), " "), lambda w: w != "")
 
 
-def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
-
-
-def _alike(x: Column, y: Column) -> Column:
-    longer = F.greatest(F.length(x), F.length(y))
-    return F.when(longer == 0, 1.0).when((x == "") | (y == ""), 0.0).otherwise(1 - F.levenshtein(x, y) / longer)
-
-
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length of normalised strings."""
-    return let(F.struct(normalize(a).alias("x"), normalize(b).alias("y")), lambda s: _alike(s["x"], s["y"]))
+    return _of_two(a, b, "double", plain.similarity)
 
 
 def phonetic_key(c: Column) -> Column:
-    """Consonant skeleton: digraphs, vowel only at the onset, no repeats, voiced and voiceless alike."""
-    letters = F.regexp_replace(normalize(c), r"[^a-z]", "")
-
-    def key(x: Column) -> Column:
-        onset = F.when(x.rlike("^[aeiouy]"), F.lit("A")).otherwise(F.lit(""))
-        rest = F.translate(F.regexp_replace(x, "[aeiouyh]", ""), *CONSONANTS)
-        return F.concat(onset, F.regexp_replace(F.translate(rest, *FOLDED), r"(.)\1+", "$1"))
-
-    return let(reduce(lambda s, kv: F.regexp_replace(s, kv[0], kv[1]), DIGRAPHS, letters), key)
-
-
-def keys_match(x: Column, y: Column) -> Column:
-    return (x != "") & ((x == y) | ((F.length(x) >= 4) & (F.length(y) >= 4) & (F.levenshtein(x, y) <= 1)))
+    return _of_one(c, "string", plain.phonetic_key)
 
 
 def phonetic_match(a: Column, b: Column) -> Column:
-    return let(F.struct(phonetic_key(a).alias("x"), phonetic_key(b).alias("y")), lambda s: keys_match(s["x"], s["y"]))
-
-
-def fuzzy_forms(x: Column, y: Column, keys: Column, threshold: float = 0.82) -> Column:
-    """As ``fuzzy_match``, of forms that are normalised; ``keys`` tells whether they sound alike."""
-
-    def told(s: Column) -> Column:
-        channel = F.when(s["same"], "exact").when(s["score"] >= threshold, "fuzzy").when(s["keys"], "phonetic").otherwise("none")
-        score = F.when((s["score"] < threshold) & s["keys"], F.lit(threshold)).otherwise(s["score"])
-        return F.struct((channel != "none").alias("matched"), score.alias("score"), channel.alias("channel"))
-
-    return let(F.struct((x == y).alias("same"), _alike(x, y).alias("score"), keys.alias("keys")), told)
+    return _of_two(a, b, "boolean", plain.sounds_like)
 
 
 def fuzzy_match(a: Column, b: Column, threshold: float = 0.82, phonetic: bool = True) -> Column:
     """Struct of matched, score and channel: exact, fuzzy, phonetic or none."""
-    keys = phonetic_match(a, b) if phonetic else F.lit(False)
-    return let(F.struct(normalize(a).alias("x"), normalize(b).alias("y"), keys.alias("k")), lambda s: fuzzy_forms(s["x"], s["y"], s["k"], threshold))
 
+    def met(x: str, y: str) -> dict:
+        channel = plain.fuzzy(x, y, threshold, phonetic)
+        score = 1.0 if channel == "exact" else plain.similarity(x, y)
+        return {"matched": channel is not None, "score": max(score, threshold) if channel == "phonetic" else score, "channel": channel or "none"}
 
-def spoken_digits(words: Column) -> Column:
-    """Digits of an array of words; "double seven" repeats, teens and tens give two, other words reset the repeat."""
-    one, two, times = _map(DIGIT_WORDS), _map({**TEEN_WORDS, **TENS_WORDS}), _map(TIMES_WORDS)
+    return _of_two(a, b, "struct<matched: boolean, score: double, channel: string>", met)
 
-    def step(state: Column, w: Column) -> Column:
-        digit = F.coalesce(one[w], F.when(w.rlike("^[0-9]+$"), w), two[w])
-        return F.struct(F.concat(state["out"], F.when(digit.isNotNull(), F.repeat(digit, state["times"])).otherwise("")).alias("out"), F.coalesce(times[w], F.lit(1)).alias("times"))
 
-    return F.aggregate(words, F.struct(F.lit("").alias("out"), F.lit(1).alias("times")), step, lambda s: s["out"])
+def spoken_digits(words: Column) -> Column:
+    """Digits of an array of words."""
+    return _of_one(words, "string", lambda ws: plain.spoken_digits([w for w in ws if w is not None]))
 
 
-def spoken_cardinal(words: Column) -> Column:
-    """The number that tens, teens and digit words say; null if another word is among them or there are none."""
-    value = _map({k: int(v) for k, v in {**DIGIT_WORDS, **TEEN_WORDS, **TENS_WORDS}.items()})
-    return F.when(F.size(words) > 0, F.aggregate(words, F.lit(0), lambda s, w: s + value[w]))
+def spoken_cardinal(c: Column) -> Column:
+    return _of_one(c, "int", plain.spoken_cardinal)
 
 
 def despoken_email(c: Column) -> Column:
-    for rx, sign in ((r"\s+at\s+", "@"), (r"\s+(?:dot|point)\s+", "."), (r"\s+underscore\s+", "_"), (r"\s+(?:dash|hyphen)\s+", "-")):
-        c = F.regexp_replace(c, "(?i)" + rx, sign)
-    return c
+    return _of_one(c, "string", plain.despoken_email)
 
 
 def luhn_ok(c: Column) -> Column:
@@ -138,23 +92,11 @@ def luhn_ok(c: Column) -> Column:
     return (F.length(digits) >= 13) & F.call_function("luhn_check", digits)
 
 
-def is_capitalised(c: Column) -> Column:
-    return (F.length(c) > 1) & c.rlike(r"^\p{Lu}") & ~c.rlike(r"^[\p{Lu}\P{L}]+$")
-
-
 def age_bucket(age: Column, size: int = 3) -> Column:
     low = F.floor(age / size) * size
     return F.format_string("<AGE_%d_%d>", low, low + (size - 1))
 
 
-def first_int(c: Column) -> Column:
-    return F.try_to_number(F.nullif(F.regexp_extract(c, r"(\d{1,3})", 1), F.lit("")), F.lit("999")).cast("int")
-
-
-def first_year(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(c, r"((?:19|20)\d{2})", 1), F.lit(""))
-
-
 def daypart(c: Column) -> Column:
     """Band of a clock time: without am or pm, hours up to seven are afternoon ones; null where no time is read."""
     low = F.lower(c)
@@ -168,53 +110,7 @@ def stable_offset(c: Column) -> Column:
     return F.conv(F.substring(F.sha2(c, 256), 1, 6), 16, 10).cast("long")
 
 
-def trim_bounds(surface: Column) -> tuple[Column, Column]:
-    """How many characters of space, signs, brackets and quotes lead and trail."""
-    signs = r"[\s,.;:!?()\[\]{}\"'“”‘’«»–—-]*"
-    return F.length(F.regexp_extract(surface, "^" + signs, 0)), F.length(F.regexp_extract(surface, signs + "$", 0))
-
-
 def mask_placeholders(c: Column) -> Column:
     """Placeholders blanked by as many spaces, so offsets hold."""
     parts, marks = F.split(c, PLACEHOLDER, -1), F.regexp_extract_all(c, F.lit(PLACEHOLDER), F.lit(0))
     return F.array_join(F.transform(parts, lambda p, k: F.concat(p, F.repeat(F.lit(" "), F.coalesce(F.length(F.get(marks, k)), F.lit(0))))), "")
-
-
-PLACEHOLDER = r"<[A-Z][A-Z0-9_]{1,96}>"
-
-
-def matches(text: Column, rx: str, lead: bool = False) -> Column:
-    """Array of (start, end, surface) of the non-overlapping, non-empty matches; with ``lead``, of group 2 after group 1.
-
-    For patterns with few matches a text; ``word_offsets`` is for all words.
-    """
-    group = lambda k: F.regexp_extract_all(text, F.lit(rx), F.lit(k))
-    found = F.struct(group(0).alias("whole"), F.split(text, rx, -1).alias("gaps"), group(1 if lead else 0).alias("before"), group(2 if lead else 0).alias("inner"))
-
-    def sized(f: Column) -> Column:
-        sizes = F.transform(f["whole"], lambda m, k: F.length(F.get(f["gaps"], k)) + F.length(m))
-
-        def placed(size: Column) -> Column:
-            def place(m: Column, k: Column) -> Column:
-                start = F.aggregate(F.slice(size, F.lit(1), k), F.lit(0), lambda s, x: s + x) + F.length(F.get(f["gaps"], k))
-                if lead:
-                    start = start + F.length(F.get(f["before"], k))
-                return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("surface"))
-
-            return F.transform(f["inner"], place)
-
-        return let(sizes, placed)
-
-    return let(found, sized)
-
-
-def word_offsets(text: Column, pattern: str) -> Column:
-    """Array of (start, end, surface) of every match of a Python pattern, however many a text has."""
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string())]))
-
-    @F.arrow_udf("array<struct<start: int, end: int, surface: string>>")
-    def scan(texts: pa.Array) -> pa.Array:
-        find = re.compile(pattern).finditer
-        return pa.array([[{"start": m.start(), "end": m.end(), "surface": m[0]} for m in find(t or "")] for t in texts.to_pylist()], kind)
-
-    return scan(text)

@@ -1,105 +1,158 @@
-"""Context detector: names and places told by the words around them, as native patterns."""
+"""Context detector: names and places told by the words around them, without any model."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from ..functions.text import NOT_AFTER_WORD as B
-from ..functions.text import NOT_BEFORE_WORD as E
-from ..functions.text import matches, word_offsets
-
-#: Our own short list of first names.
-FIRST_NAMES = "adam aisha alice amir amy ana anna arthur ava ben carlos chloe clara daniel david diego elena ella emily emma eric eva fatima felix freya george grace hannah harry hugo ibrahim isla ivan jack james jan jose julia karim kate laura leo liam lily lucas lucy maria marie mark max maya mia mohammed nina noah nora oliver olivia omar oscar paul peter priya ravi rosa ruby sam sara sofia sophie theo thomas tom victor yusuf zara zoe".split()
-#: Words that open sentences and are no names.
-STOP_CAPS = "a about after all also am an and any are as at be because been before but by can could did do does for from good great had has have he hello her here hi him his how i if in is it its just let may me might monday my no not now of oh ok okay on one or our please right she should so some sunday tell thank thanks that the their them then there these they this to today tuesday wednesday thursday friday saturday us very was we well were what when where which who why will with would yeah yes yesterday you your".split()
-#: Words of kin and role, and titles, with the entity of the name that follows.
-ROLES = {"son": "CHILD_NAME", "daughter": "CHILD_NAME", "child": "CHILD_NAME", "kid": "CHILD_NAME", "mum": "PARENT_NAME", "mom": "PARENT_NAME", "mother": "PARENT_NAME", "dad": "PARENT_NAME", "father": "PARENT_NAME", "brother": "SIBLING_NAME", "sister": "SIBLING_NAME", "aunt": "RELATIVE_NAME", "uncle": "RELATIVE_NAME", "cousin": "RELATIVE_NAME", "grandma": "RELATIVE_NAME", "grandpa": "RELATIVE_NAME", "teacher": "TEACHER_NAME", "tutor": "TEACHER_NAME", "therapist": "THERAPIST_NAME", "counsellor": "THERAPIST_NAME", "doctor": "DOCTOR_NAME", "coach": "COACH_NAME", "friend": "FRIEND_NAME", "classmate": "FRIEND_NAME"}
-TITLES = {"dr": "DOCTOR_NAME", "doctor": "DOCTOR_NAME", "nurse": "DOCTOR_NAME", "prof": "TEACHER_NAME", "mr": "PERSON_NAME", "mrs": "PERSON_NAME", "ms": "PERSON_NAME", "miss": "TEACHER_NAME", "sir": "TEACHER_NAME", "coach": "COACH_NAME", "aunt": "RELATIVE_NAME", "auntie": "RELATIVE_NAME", "uncle": "RELATIVE_NAME", "granny": "RELATIVE_NAME"}
-
-_STOP = "|".join(STOP_CAPS)
-NAME = rf"(?-i:(?!(?i:{_STOP}){E})\p{{Lu}}[\p{{L}}'’-]+(?:\s+(?!(?i:{_STOP}){E})\p{{Lu}}[\p{{L}}'’-]+){{0,2}})"
-ANY_NAME = rf"(?!(?:{_STOP}){E})[\p{{L}}'’-]{{2,}}"
-
-#: (rule, entity or None for a looked-up one, score, pattern, lead)
-PATTERNS = [
-    ("introduction", "PERSON_NAME", 0.8, rf"({B}(?:my name is|my name's|i'?m called|call me|this is|i am|i'?m)\s+)({NAME})", True),
-    ("introduction_low", "PERSON_NAME", 0.55, rf"({B}(?:my name is|my name's|i'?m called)\s+)({ANY_NAME}){E}", True),
-    ("vocative", "PERSON_NAME", 0.5, rf"(,\s+)({NAME})(?=[.!?])", True),
-    ("vocative_first", "PERSON_NAME", 0.5, rf"((?:^|[.!?\n]\s*))({NAME})(?=[,!])", True),
-    ("works_at", "PARENT_WORKPLACE", 0.65, rf"({B}works?\s+(?:at|for|in)\s+(?:the\s+)?)({NAME}|(?:[\p{{L}}']+\s+){{1,2}}(?:bank|shop|office|factory|hospital|restaurant|garage|bakery))", True),
-    ("owns", "PARENT_WORKPLACE", 0.55, rf"({B}(?:owns|runs|manages)\s+(?:the\s+)?)({NAME})", True),
-    ("in_place", "NEIGHBORHOOD", 0.45, rf"({B}(?:in|from)\s+)({NAME})", True),
-    ("near_place", "LOCAL_LANDMARK", 0.45, rf"({B}(?:near|around|opposite|next to|behind|by)\s+(?:the\s+)?)({NAME})", True),
-    ("unique_event", "UNIQUE_EVENT", 0.5, rf"{B}(?:the only|one of the only|the first|the youngest|the oldest|the best)\s+[^.!?\n]{{4,60}}", False),
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+
+from ..functions.lexicon import FIRST_NAMES, NAME_ENDS, PARTICLES, ROLE_ENTITY, STOP_CAPS, TITLE_ENTITY, VENUES, gazetteer
+from ..functions.plain import is_capitalised, normalize
+from .claims import Claim
+from .rules import detections
+
+WORD = re.compile(r"[^\W\d_][\w'’­​‌‍⁠﻿-]*")
+_NAME = rf"(?!(?:{'|'.join(NAME_ENDS)})\b){WORD.pattern}"
+NAMES = rf"(?P<name>{_NAME}(?:\s+{_NAME}){{0,2}})"
+_LONGEST_FIRST = lambda words: "|".join(sorted(words, key=len, reverse=True))
+
+#: The words that announce a name, a workplace, a place or what is unique.
+ROLE_IS = re.compile(rf"\b(?:my|our|his|her|their|your|the)\s+(?P<role>{_LONGEST_FIRST(ROLE_ENTITY)})(?:'s\s+name\s+is|\s*,\s*|\s+is\s+called\s+|\s+is\s+|\s+named\s+|\s+){NAMES}", re.I)
+TITLED = re.compile(rf"\b(?P<title>{_LONGEST_FIRST(TITLE_ENTITY)})\.?\s+{NAMES}", re.I)
+INTRODUCED = re.compile(rf"\b(?:my\s+name\s+is|i'?m|i\s+am|this\s+is|that'?s|call\s+me|it'?s|here\s+with|joined\s+by|speaking\s+to)\s+{NAMES}", re.I)
+OWN_INTRODUCTION = {"my", "i'm", "im", "i"}
+CALLED = [(re.compile(rf"(?:^|[.!?]\s+)(?P<name>{WORD.pattern})\s*[,!](?=\s)"), "vocative"), (re.compile(rf",\s*(?P<name>{WORD.pattern})\s*[.!?]"), "vocative_tail")]
+WORKPLACES = [
+    (re.compile(r"\b(?:works?|working|worked|job|shift|office)\s+(?:at|for|in)\s+(?:the\s+)?((?:[\w'&-]+\s?){1,4})", re.I), 0.65),
+    (re.compile(r"\b(?:owns?|owned|runs?|manages?)\s+(?:the\s+|a\s+|his\s+|her\s+|their\s+)?((?:[\w'&-]+\s?){1,4})", re.I), 0.55),
 ]
-
-
-def _lookup(kind: str, table: dict[str, str], score: float) -> list[tuple]:
-    by: dict[str, list[str]] = {}
-    for word, entity in table.items():
-        by.setdefault(entity, []).append(word)
-    out = []
-    for entity, words in by.items():
-        some = "|".join(words)
-        pattern = rf"({B}(?:my|our|his|her|their|your)\s+(?:{some})(?:\s+is|\s+named|,)?\s+)({NAME})" if kind == "role" else rf"{B}(?:{some})\.?\s+{NAME}"
-        out.append((kind, entity, score, pattern, kind == "role"))
-    return out
-
-
-ALL = [*PATTERNS, *_lookup("role", ROLES, 0.75), *_lookup("title", TITLES, 0.8)]
-
-
-def words_with_offsets(convs: DataFrame) -> DataFrame:
-    """(conv_id, k, start, end, word) of the runs of letters of texts."""
-    runs = word_offsets(F.col("text"), r"[^\W\d_](?:[^\W\d_]|['’-])*")
-    rows = convs.select("conv_id", F.posexplode(runs).alias("k", "m"))
-    return rows.select("conv_id", "k", F.col("m.start").cast("int").alias("start"), F.col("m.end").cast("int").alias("end"), F.col("m.surface").alias("word"))
-
-
-def _named(rule: str, entity: str, score: float):
-    return lambda m: F.struct(F.lit(rule).alias("rule"), F.lit(entity).alias("entity"), m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end"), F.lit(score).alias("score"))
-
-
-def _capitals(convs: DataFrame) -> DataFrame:
-    """Gazetteer names, and capitalised words in runs of up to three, weaker where a sentence starts."""
-    words = words_with_offsets(convs.select("conv_id", "text")).join(convs.select("conv_id", "text"), "conv_id")
-    low = F.lower("word")
-    known = low.isin(FIRST_NAMES)
-    capital = F.col("word").rlike(r"^\p{Lu}\p{Ll}") & (F.length("word") > 1) & ~low.isin(STOP_CAPS)
-    initial = F.substring("text", F.greatest(F.col("start") - 1, F.lit(1)), F.least(F.col("start"), F.lit(2))).rlike(r"^$|[.!?\n]\s?$") | (F.col("start") == 0)
-    order = Window.partitionBy("conv_id").orderBy("k")
-    words = words.select("conv_id", "k", "start", "end", "word", known.alias("known"), capital.alias("capital"), initial.alias("initial"))
-    gap = F.col("start") - F.lag("end").over(order)
-    words = words.withColumn("new", (~F.coalesce(F.lag("capital").over(order), F.lit(False)) | (gap > 1) | F.col("initial")).cast("int")).withColumn("island", F.sum("new").over(order))
-    lower_too = words.where(~F.col("capital")).select("conv_id", F.lower("word").alias("low")).distinct()
-    gazetteer = words.where(F.col("known") & (F.length("word") >= 3)).select("conv_id", F.lit("gazetteer").alias("rule"), "start", "end", F.lit(0.45).alias("score"))
-    # a longer run is cut into threes
-    turn = F.row_number().over(Window.partitionBy("conv_id", "island").orderBy("k"))
-    words = words.where("capital").withColumn("third", F.floor((turn - 1) / 3))
-    runs = words.groupBy("conv_id", "island", "third").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.min_by("known", "k").alias("known"), F.min_by("initial", "k").alias("initial"), F.lower(F.min_by("word", "k")).alias("low"))
-    runs = runs.join(lower_too.withColumn("elsewhere", F.lit(True)), ["conv_id", "low"], "left").where("not (n = 1 and initial and elsewhere is not null)")
-    score = F.when((F.col("n") == 1) & F.col("initial"), F.when(F.col("known"), 0.45).otherwise(0.24)).when(F.col("known"), 0.5).when(F.col("n") > 1, 0.38).otherwise(0.3)
-    return gazetteer.unionByName(runs.select("conv_id", F.lit("capitalised").alias("rule"), "start", "end", score.alias("score")))
-
-
-def detect_context(convs: DataFrame, roles: DataFrame | None = None) -> DataFrame:
-    """Detections of ``convs`` (conv_id, text[, turns with roles]) by context."""
-    parts = []
-    for rule, entity, score, pattern, lead in ALL:
-        rx = "(?iu)" + pattern
-        found = F.when(F.col("text").rlike(rx), matches(F.col("text"), rx, lead))
-        parts.append(F.transform(found, _named(rule, entity, score)))
-    none = F.expr("cast(array() as array<struct<rule: string, entity: string, start: int, end: int, score: double>>)")
-    groups = [parts[k : k + 12] for k in range(0, len(parts), 12)]
-    hits = reduce(DataFrame.unionByName, [convs.select("conv_id", "text", F.explode(F.concat(*[F.coalesce(p, none) for p in g])).alias("h")).select("conv_id", "h.*") for g in groups])
-    if roles is not None:  # who introduces themself has the speaker's role
-        turns = roles.select("conv_id", F.col("role"), "char_start", "char_end")
-        own = hits.where("rule like 'introduction%'").join(turns, "conv_id").where("start >= char_start and start <= char_end")
-        said = own.select("conv_id", "rule", F.when(F.col("role") == "child", "CHILD_NAME").when(F.col("role") == "parent", "PARENT_NAME").otherwise(F.col("entity")).alias("entity"), "start", "end", "score")
-        hits = hits.where("rule not like 'introduction%'").unionByName(said)
-    names = _capitals(convs).select("conv_id", "rule", F.lit("PERSON_NAME").alias("entity"), "start", "end", "score")
-    every = hits.unionByName(names).where("end - start >= 2").join(convs.select("conv_id", "text"), "conv_id")
-    return every.select("conv_id", F.lit("context").alias("detector"), F.col("rule").alias("raw_label"), "entity", "start", "end", "score", F.lit("context").alias("channel"), F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("surface"))
+PLACES = re.compile(r"\b(in|from|near|around|opposite|next\s+to|behind|by)\s+(?-i:([A-Z][\w'-]+(?:\s+[A-Z][\w'-]+){0,2}))", re.I)
+UNIQUE = re.compile(r"\b(?:the\s+only|one\s+of\s+the\s+only|the\s+first|the\s+youngest|the\s+oldest|the\s+best)\s+([^.,;!?\n]{4,60})", re.I)
+
+
+@dataclass(frozen=True)
+class Context:
+    """Settings of the detector; ``first_names`` and ``stops`` are sets of normalised words."""
+
+    first_names: frozenset[str] = FIRST_NAMES
+    stops: frozenset[str] = STOP_CAPS
+    cap_score: float = 0.3
+    initial_score: float = 0.24
+    sweep: bool = True
+    use_names: bool = True
+    detector: str = "context"
+
+    @classmethod
+    def of(cls, spec: dict) -> Context:
+        """From a detector's settings; ``gazetteer_path`` names a file of first names that takes the place of the short list."""
+        names = FIRST_NAMES
+        if spec.get("gazetteer_path"):
+            with open(spec["gazetteer_path"], encoding="utf-8") as f:
+                names = gazetteer(f.read().splitlines())
+        stops = STOP_CAPS | {normalize(w) for w in spec.get("stopwords") or ()}
+        return cls(names, stops, float(spec.get("cap_score", 0.3)), float(spec.get("sentence_initial_score", 0.24)), bool(spec.get("cap_sweep", True)), bool(spec.get("gazetteer", True)), spec.get("name", "context"))
+
+    # -- pieces -------------------------------------------------------
+
+    def _stop(self, word: str) -> bool:
+        return normalize(word) in self.stops
+
+    def _core(self, text: str, lo: int, hi: int) -> tuple[int, int] | None:
+        """The first run of words within bounds that are no stop words."""
+        run = []
+        for m in WORD.finditer(text, lo, hi):
+            if not self._stop(m[0]):
+                run.append(m)
+            elif run:
+                break
+        return (run[0].start(), run[-1].end()) if run else None
+
+    def _named(self, text: str, lo: int, hi: int, entity: str, score: float, label: str) -> Iterator[Claim]:
+        core = self._core(text, lo, hi)
+        if core and core[1] - core[0] >= 2:
+            yield Claim(*core, entity, score, self.detector, label)
+
+    def _announced(self, text: str, role_at) -> Iterator[Claim]:
+        for m in ROLE_IS.finditer(text):
+            if not self._stop(m["name"]):
+                yield from self._named(text, *m.span("name"), ROLE_ENTITY[normalize(m["role"])], 0.75, "role_is")
+        for m in TITLED.finditer(text):
+            if not self._stop(m["name"].split()[0]):
+                yield from self._named(text, *m.span(), TITLE_ENTITY[normalize(m["title"])], 0.8, "title_name")
+        for m in INTRODUCED.finditer(text):
+            first = normalize(m["name"].split()[0])
+            if first in self.stops and first not in self.first_names:
+                continue
+            role = role_at(m.start("name")) if normalize(m[0].split()[0]) in OWN_INTRODUCTION else None
+            entity = {"child": "CHILD_NAME", "parent": "PARENT_NAME"}.get(role, "PERSON_NAME")
+            strong = m["name"][0].isupper() or first in self.first_names
+            yield from self._named(text, *m.span("name"), entity, 0.8 if strong else 0.55, "introduction")
+        for rx, label in CALLED:
+            for m in rx.finditer(text):
+                known = normalize(m["name"]) in self.first_names
+                if not self._stop(m["name"]) and (known or m["name"][0].isupper()):
+                    yield from self._named(text, *m.span("name"), "PERSON_NAME", 0.5, label)
+
+    def _places(self, text: str) -> Iterator[Claim]:
+        for rx, score in WORKPLACES:
+            for m in rx.finditer(text):
+                core = self._core(text, *m.span(1))
+                words = [normalize(w) for w in WORD.findall(m[1])]
+                if not core or len(normalize(text[slice(*core)])) < 3 or words[0] in PARTICLES:
+                    continue
+                if VENUES.intersection(words) or any(map(is_capitalised, WORD.findall(text[slice(*core)]))):
+                    yield Claim(*core, "PARENT_WORKPLACE", score, self.detector, "workplace")
+        for m in PLACES.finditer(text):
+            if not self._stop(m[2].split()[0]):
+                entity = "NEIGHBORHOOD" if m[1].lower() in ("in", "from") else "LOCAL_LANDMARK"
+                yield Claim(*m.span(2), entity, 0.45, self.detector, "place_trigger")
+        for m in UNIQUE.finditer(text):
+            yield Claim(*m.span(), "UNIQUE_EVENT", 0.5, self.detector, "uniqueness_phrase")
+
+    def _capitals(self, text: str, words: list[re.Match]) -> Iterator[Claim]:
+        """Runs of up to three capitalised words; one that opens a sentence says little."""
+        common = {m[0] for m in words if m[0].islower()}
+        run: list[re.Match] = []
+        for m in [*words, None]:
+            if run and not (m and len(run) < 3 and is_capitalised(m[0]) and text[run[-1].end() : m.start()].strip() in ("", "-")):
+                yield from self._run(text, run, common)
+                run = []
+            if m and is_capitalised(m[0]):
+                run.append(m)
+
+    def _run(self, text: str, run: list[re.Match], common: set[str]) -> Iterator[Claim]:
+        core = self._core(text, run[0].start(), run[-1].end())
+        if not core:
+            return
+        own = text[slice(*core)].split()
+        score = 0.5 if normalize(own[0]) in self.first_names else 0.38 if len(own) > 1 else self.cap_score
+        before = text[max(0, run[0].start() - 64) : run[0].start()].rstrip() or text[: run[0].start()].rstrip()
+        if len(run) == 1 and (not before or before[-1] in ".!?\n"):
+            known = normalize(run[0][0]) in self.first_names
+            if not known and run[0][0].lower() in common:
+                return
+            score = 0.45 if known else self.initial_score
+        yield Claim(*core, "PERSON_NAME", score, self.detector, "capitalised_span")
+
+    # -- all ----------------------------------------------------------
+
+    def claims(self, text: str, role_at=lambda at: None) -> list[Claim]:
+        """Claims on a text; ``role_at`` tells the role of who speaks at a place."""
+        words = list(WORD.finditer(text))
+        out = [*self._announced(text, role_at), *self._places(text)]
+        if self.use_names:
+            for m in words:
+                n = normalize(m[0])
+                if len(n) >= 3 and n in self.first_names and n not in self.stops:
+                    out.append(Claim(*m.span(), "PERSON_NAME", 0.45, self.detector, "gazetteer_first_name"))
+        if self.sweep:
+            out += self._capitals(text, words)
+        return out
+
+
+def detect_context(convs: DataFrame, spec: dict | None = None) -> DataFrame:
+    """Detections of ``convs`` (conv_id, text) by context, without roles of speakers."""
+    own = Context.of(spec or {})
+    return detections(convs, own.claims)

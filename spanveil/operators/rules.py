@@ -1,33 +1,78 @@
-"""Pattern detector: rules as native regular expressions over flat texts.
+"""Pattern detector: one pass of all rules over a text, with each rule's own check of what it met.
 
-A rule's pattern has, with ``lead``, the words that announce a value as group 1
-and the value as group 2.  ``gate`` is a cheap test that every match passes, so
-that texts without a chance skip the rule.
+A rule's pattern may capture the value itself as group 1, after the words that
+announce it.  ``needs`` holds literals of which every match has one, so that a
+text without any skips the rule; "0" stands for a digit.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import NOT_AFTER_WORD, NOT_BEFORE_WORD, luhn_ok, matches, spoken_digits
-
-B, E = NOT_AFTER_WORD, NOT_BEFORE_WORD
-MONTH = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
-SAID = "(?:zero|oh|nought|one|two|three|four|five|six|seven|eight|nine)"
-TENS = "(?:ten|eleven|twelve|(?:thir|four|fif|six|seven|eigh|nine)teen|(?:twen|thir|for|fif|six|seven|eigh|nine)ty)"
-NUMBER = rf"(?:{TENS}(?:[ -]{SAID})?|{SAID})"
-ORDINAL = "(?:first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|eleventh|twelfth|(?:thir|four|fif|six|seven|eigh|nine)teenth|twentieth|twenty[ -](?:first|second|third|fourth|fifth|sixth|seventh|eighth|ninth)|thirtieth|thirty[ -]first)"
-STREET = "(?:street|road|avenue|lane|drive|close|court|crescent|way|place|terrace|gardens?|grove|square|hill|boulevard)"
-CAPS = r"(?-i:\p{Lu}[\p{L}'’-]+)"
-SCHOOL = "(?:school|academy|college|primary|secondary|kindergarten|nursery)"
-TEAM = "(?:fc|united|rovers|tigers|lions|wanderers|athletic|rangers|eagles|sharks)"
-OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+from ..functions.plain import DIGIT_WORDS, TIMES_WORDS, luhn_ok, normalize, spoken_cardinal, spoken_digits
+from ..plans.storage import spread
+from .claims import DETECTION, Claim
+
+
+def either(words: str) -> str:
+    """An alternative of words, in their order; an underscore is any white space."""
+    return "(?:" + "|".join(w.replace("_", r"\s+") for w in words.split()) + ")"
+
+
+#: Parts of the patterns.
+MONTH = "(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" for m in "january february march april june july august october november december".split()) + "|may|sep(?:t|tember)?)"
+STREETS = "street st road rd avenue ave lane ln drive dr close court ct crescent way place pl terrace grove gardens? park hill row square sq boulevard blvd parade walk mews rise view circle cir highway hwy route apartment apt flat unit"
+STREET = either(STREETS)
+UNIT = r"(?:flat|apt|apartment|unit|suite|no\.?|number|house)"
+DIGIT = either(r"zero oh nought naught one two three four five six seven eight nine double triple treble \d")
+ONES = either("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen")
+TENS = either("twenty thirty forty fourty fifty sixty seventy eighty ninety")
+NUMBER = rf"(?:{TENS}(?:[\s-]{ONES})?|{ONES})"
+ORDINAL = r"(?:(?:twenty|thirty)[\s-])?" + either("first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth thirtieth")
+YEAR_SAID = rf"(?:nineteen|twenty)(?:[\s-](?:hundred|and|oh|zero|{TENS}|{ONES})){{1,3}}"
+DATE_SAID = rf"(?:the\s+)?{ORDINAL}\s+of\s+{MONTH}(?:\s+(?:{YEAR_SAID}|\d{{4}}))?"
+DAY = r"(?:0?[1-9]|[12]\d|3[01])"
+NTH = "(?:st|nd|rd|th)?"
+OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+CAP = r"(?-i:[A-Z][\w'&-]*)"
+CODE = r"(?-i:[A-Z0-9][A-Z0-9-]{2,19})"
+AMPM = r"(?:am|pm|a\.m\.|p\.m\.)"
+IS = r"\s*(?:is|:|=)?"
+NUMBERED = r"(?:id|number|no\.?|#)"
+SIGN = either("dot underscore dash hyphen")
+PART = r"[A-Za-z0-9'-]"
+#: Head nouns of schools, teams, clubs and landmarks.
+SCHOOLS = r"School|Academy|College|Primary|Secondary|Nursery|Preschool|Pre-school|Kindergarten|Daycare|Day\s?Care|Montessori|Grammar|Elementary|Institute"
+SCHOOLS_LOW = "school academy primary secondary nursery college preschool pre-school kindergarten montessori daycare"
+TEAMS = r"FC|F\.C\.|United|Rovers|Tigers|Lions|Eagles|Hawks|Sharks|Dragons|Warriors|Panthers|Wolves|Bears|Colts|Cubs|Rangers|Athletic"
+CLUBS = "club society scouts guides brownies cubs troop squad academy"
+LANDMARKS = "park library mosque church chapel temple synagogue gurdwara station centre center hall bridge market square gardens? playground pool baths"
 #: Number words of several languages.
-NUMBERS_ABROAD = "cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|zéro|un|deux|trois|quatre|cinq|six|sept|huit|neuf|null|eins|zwei|zwo|drei|vier|fünf|sechs|sieben|acht|neun|due|quattro|cinque|sei|sette|otto|nove|nul|een|twee|drie|vijf|zes|zeven|negen|zero|um|dois|três|sete|oito|ноль|один|два|три|четыре|пять|шесть|семь|восемь|девять"
+NUMBERS_ABROAD = """
+zero oh one two three four five six seven eight nine cero uno dos tres cuatro cinco seis siete ocho nueve zéro un deux trois quatre cinq sept
+huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante null eins zwei drei vier fünf funf sechs
+sieben acht neun due tre quattro cinque sei sette otto nove nul een twee drie vijf zes zeven negen um dois três quatro sete oito ноль нуль
+один два три четыре пять шесть семь восемь девять
+"""
+#: Fixed values: "dot" and "at" of several languages, titles, and words at which a name has ended.
+DOTS, ATS = either("dot punto point punkt punt ponto точка"), either("at arroba arobase chiocciola apenstaartje собака")
+TITLES_ABROAD = either("señorita senyorita señor senyor señora senyora doctora madame monsieur docteur docteure frau herr doktor maestra maestro dottor dottoressa juf meester dokter doutor doutora professora")
+NAME_ABROAD = rf"(?!{either('and how is she he it the my your y e et und en es est elle il ist sie hij zij ela ele ha has')}\b)[\w'-]+"
+#: What the checks ask for around or within a match.
+PLACE_WORDS = frozenset("a an the town city village hamlet suburb area estate street road lane close avenue house home flat apartment bungalow maisonette caravan block council countryside country side centre center middle north south east west england scotland wales ireland uk britain here there nearby locally together alone school hospital".split())
+AFTER_PLACE = frozenset("last this next ago again now then when because and but so with for from before after during since while year years month months week weeks summer winter term".split())
+SCHOOL_MODIFIERS = frozenset("the a an my our his her their its big new old same another local little main that this other nearby usual".split())
+MAIL_HOSTS = re.compile("(?i)@(?:gmail|yahoo|hotmail|outlook|icloud)")
+NOT_AGE = re.compile(r"\s*(?:o'?clock|am|pm|p\.m|a\.m|minutes?|seconds?|hours?|pounds?|dollars?|percent|times?)")
+NOT_SCHOOL = re.compile(r"(?i)(?:the|a|an|my|our|his|her|school|bed|sleep|work)\b")
+
+Verdict = tuple[str, float, int] | None  # entity, score and end, or dropped
 
 
 @dataclass(frozen=True)
@@ -36,181 +81,237 @@ class Rule:
     entity: str
     score: float
     pattern: str
-    lead: bool = False
-    gate: str | None = None
+    needs: str = ""
+    value: bool = False
+    check: Callable[[str, int, int, str, float], Verdict] | None = None
+    ignore_case: bool = True
+    find: re.Pattern = field(init=False, compare=False)
+
+    def __post_init__(self):
+        object.__setattr__(self, "find", re.compile(self.pattern, re.I if self.ignore_case else 0))
+
+    def __reduce__(self):
+        return Rule, (self.name, self.entity, self.score, self.pattern, self.needs, self.value, self.check, self.ignore_case)
+
+
+def _before(text: str, at: int, size: int, words: str) -> bool:
+    return bool(re.search(rf"\b(?:{words})\b", text[max(0, at - size) : at].lower()))
+
+
+def _card(text, lo, hi, entity, score):
+    n = sum(map(str.isdecimal, text[lo:hi]))
+    if not 13 <= n <= 19:
+        return None
+    return (entity, 0.97, hi) if luhn_ok(text[lo:hi]) else ("ACCOUNT_ID", 0.5, hi)
+
+
+def _nhs(text, lo, hi, entity, score):
+    return (entity, 0.95, hi) if _before(text, lo, 40, "nhs|patient|medical|health") else ("PHONE", 0.6, hi)
+
+
+def _plate(text, lo, hi, entity, score):
+    return (entity, 0.9, hi) if _before(text, lo, 40, r"car|van|plate|registration|reg|vehicle|number\s?plate") else None
+
+
+def _zip(text, lo, hi, entity, score):
+    return (entity, 0.9, hi) if _before(text, lo, 30, r"zip|postcode|postal|post\s?code") else None
+
+
+def _digits(text, lo, hi, entity, score):
+    return (entity, score, hi) if sum(map(str.isdecimal, text[lo:hi])) >= 9 else None
+
+
+def _handle(text, lo, hi, entity, score):
+    return None if MAIL_HOSTS.match(text, lo) else (entity, score, hi)
+
+
+def _said_email(text, lo, hi, entity, score):
+    return (entity, score, hi) if " at " in text[lo:hi].lower() else None
+
 
-    @property
-    def regex(self) -> str:
-        return "(?iu)" + self.pattern
+def _age(text, lo, hi, entity, score):
+    age = spoken_cardinal(text[lo:hi])
+    after = text[hi : hi + 24].lower()
+    if age is None or age > 120 or NOT_AGE.match(after):
+        return None
+    if age <= 12 and re.search(r"\b(?:at|around|about|by|until|till)\s*$", text[max(0, lo - 40) : lo].lower()):
+        return None  # a time of day
+    return entity, 0.85 if re.match(r"\s*(?:years?\s*old|yrs?)", after) else score, hi
 
 
-def _code(words: str) -> str:
-    return rf"({B}(?:{words})(?:\s+(?:id|number|no\.?|code))?\s*(?:is|:|#)?\s+)((?=[a-z-]*\d)[a-z0-9][a-z0-9-]{{2,19}}){E}"
+def _named_street(text, lo, hi, entity, score):
+    return None if re.match(r"(?i)\s*(?:the|a|an|my|our|his|her)\b", text[lo:hi]) else (entity, score, hi)
+
+
+def _low_school(text, lo, hi, entity, score):
+    plain = SCHOOL_MODIFIERS | set(SCHOOLS_LOW.split())
+    return (entity, score, hi) if any(normalize(w) not in plain for w in text[lo:hi].split()) else None
+
+
+def _school_after(text, lo, hi, entity, score):
+    own = text[lo:hi].strip()
+    return None if len(own.split()) > 5 or NOT_SCHOOL.match(own) else (entity, 0.45, hi)
+
+
+def _city(text, lo, hi, entity, score):
+    words = list(re.finditer(r"[\w'-]+", text[lo:hi]))
+    if not 1 <= len(words) <= 2 or any(normalize(w[0]) in PLACE_WORDS for w in words):
+        return None
+    # "bradford last year": the place is the first word
+    return entity, score, lo + words[0].end() if normalize(words[-1][0]) in AFTER_PLACE and len(words) == 2 else hi
 
 
 RULES = [
-    Rule("email", "EMAIL", 0.99, r"[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,24}", gate="@"),
-    Rule("email_spoken", "EMAIL", 0.9, rf"{B}[a-z0-9]+(?:\s+(?:dot|underscore|dash)\s+[a-z0-9]+)*\s+at\s+[a-z0-9]+(?:\s+dot\s+[a-z]+)+{E}", gate=" dot "),
-    Rule("url", "URL", 0.97, r"(?:https?://|www\.)[^\s<>\"')]+", gate="(?i)https?://|www[.]"),
-    Rule("url_spoken", "URL", 0.85, rf"{B}www\s+dot(?:\s+[a-z0-9-]+)(?:\s+dot\s+[a-z]+)+{E}", gate="(?i)www "),
-    Rule("ipv4", "IP_ADDRESS", 0.97, rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])", gate="[0-9][.][0-9]"),
-    Rule("ipv6", "IP_ADDRESS", 0.95, rf"(?<![0-9a-f:])(?:[0-9a-f]{{1,4}}:){{7}}[0-9a-f]{{1,4}}(?![0-9a-f:])", gate=":"),
-    Rule("mac", "MAC_ADDRESS", 0.97, r"(?<![0-9a-f:-])[0-9a-f]{2}(?:[:-][0-9a-f]{2}){5}(?![0-9a-f:-])", gate="[:-]"),
-    Rule("iban", "IBAN", 0.9, rf"{B}(?-i:[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?){E}", gate="[A-Z]{2}[0-9]{2}"),
-    Rule("us_ssn", "NATIONAL_ID", 0.97, r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", gate="[0-9]-[0-9]"),
-    Rule("uk_nhs", "MEDICAL_ID", 0.55, r"(?<![0-9+])[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}(?![0-9])", gate="[0-9]{3}[ -][0-9]{3}"),
-    Rule("uk_ni", "NATIONAL_ID", 0.9, rf"{B}[a-ceghj-prs-tw-z][a-ceghj-nprs-tw-z] ?[0-9]{{2}} ?[0-9]{{2}} ?[0-9]{{2}} ?[a-d]{E}", gate="[0-9]{2}"),
-    Rule("passport", "PASSPORT", 0.9, rf"({B}passport(?:\s+(?:number|no\.?))?\s*(?:is|:)?\s+)([a-z0-9]{{6,9}}){E}", True, "(?i)passport"),
-    Rule("plate_uk", "LICENSE_PLATE", 0.6, rf"{B}[a-z]{{2}}[0-9]{{2}} ?[a-z]{{3}}{E}", gate="[0-9]{2}"),
-    Rule("card", "CREDIT_CARD", 0.55, r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", gate="[0-9]"),
-    Rule("secret", "SECRET", 0.9, rf"({B}(?:password|passcode|pin|api key|token)\s*(?:is|:|=)\s*)([^\s,;]{{3,}})", True, "(?i)pass|pin|key|token"),
-    Rule("phone_intl", "PHONE", 0.95, r"\+[0-9]{1,3}[ ().-]*(?:[0-9][ ().-]*){6,12}[0-9]", gate="[+][0-9]"),
-    Rule("phone_pairs", "PHONE", 0.9, r"(?<![0-9+])0[0-9](?:[ .-][0-9]{2}){4}(?![0-9])", gate="0[0-9]"),
-    Rule("phone_local", "PHONE", 0.9, r"(?<![0-9+])(?:\([0-9]{3}\) ?[0-9]{3}[ -][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|0[0-9]{2,4}[ -]?[0-9]{3}[ -]?[0-9]{3,4})(?![0-9])", gate="[0-9]{3}"),
-    Rule("handle", "SOCIAL_HANDLE", 0.9, r"(?<![a-z0-9._%+-])@[a-z0-9_][a-z0-9_.]{1,29}", gate="@"),
-    Rule("username_ctx", "ONLINE_USERNAME", 0.85, rf"({B}(?:user ?name|login|gamertag|screen name)\s*(?:is|:)?\s+)([a-z0-9_.-]*[0-9_.][a-z0-9_.-]*){E}", True, "(?i)user|login|gamertag|screen"),
-    Rule("username_spoken", "ONLINE_USERNAME", 0.85, rf"({B}(?:user ?name|login)\s*(?:is|:)?\s+)([a-z0-9]+(?:\s+(?:dot|underscore|dash)\s+[a-z0-9]+)+){E}", True, "(?i)user|login"),
-    Rule("handle_spoken", "SOCIAL_HANDLE", 0.7, rf"{B}at\s+[a-z0-9]+(?:\s+underscore\s+[a-z0-9]+)+{E}", gate="(?i)underscore"),
-    Rule("student_id", "STUDENT_ID", 0.9, _code("student|pupil|learner|candidate"), True, "(?i)student|pupil|learner|candidate"),
-    Rule("account_id", "ACCOUNT_ID", 0.88, _code("account|policy|customer|member(?:ship)?|reference|order"), True, "(?i)account|policy|customer|member|reference|order"),
-    Rule("medical_id", "MEDICAL_ID", 0.88, _code("nhs|mrn|patient|hospital|medical record"), True, "(?i)nhs|mrn|patient|hospital|medical"),
-    Rule("street_full", "STREET_ADDRESS", 0.85, rf"{B}[0-9]{{1,5}}[a-z]?,?\s+(?:{CAPS}\s+){{1,3}}{STREET}{E}", gate="[0-9]"),
-    Rule("street_spoken", "STREET_ADDRESS", 0.6, rf"{B}{NUMBER}(?:\s+{NUMBER})*\s+(?:[a-z]+\s+){{1,2}}{STREET}{E}"),
-    Rule("street_named", "STREET_ADDRESS", 0.5, rf"{B}(?:{CAPS}\s+){{1,3}}(?-i:(?:Street|Road|Avenue|Lane|Drive|Close|Court|Crescent|Terrace|Grove)){E}"),
-    Rule("postcode_uk", "POSTCODE", 0.92, rf"{B}[a-z]{{1,2}}[0-9][a-z0-9]? ?[0-9][a-z]{{2}}{E}", gate="[0-9]"),
-    Rule("postcode_us", "POSTCODE", 0.4, r"(?<![0-9-])[0-9]{5}(?:-[0-9]{4})?(?![0-9-])", gate="[0-9]{5}"),
-    Rule("postcode_ca", "POSTCODE", 0.85, rf"{B}[abceghj-nprstvxy][0-9][a-z] ?[0-9][a-z][0-9]{E}", gate="[0-9]"),
-    Rule("live_at", "HOME_ADDRESS", 0.6, rf"({B}(?:i|we)\s+live\s+(?:at|on|in)\s+)((?:[0-9]+\s+)?{CAPS}(?:\s+{CAPS}){{0,3}})", True, "(?i)live"),
-    Rule("date_numeric", "PRECISE_DATE", 0.9, r"(?<![0-9/.-])(?:0?[1-9]|[12][0-9]|3[01])[/.-](?:0?[1-9]|[12][0-9]|3[01])[/.-](?:[0-9]{4}|[0-9]{2})(?![0-9/-])", gate="[0-9][/.-][0-9]"),
-    Rule("date_iso", "PRECISE_DATE", 0.95, r"(?<![0-9-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])", gate="[0-9]-[0-9]"),
-    Rule("date_written", "PRECISE_DATE", 0.85, rf"{B}(?:[0-9]{{1,2}}(?:st|nd|rd|th)?\s+(?:of\s+)?{MONTH}(?:,?\s+[0-9]{{4}})?|{MONTH}\s+[0-9]{{1,2}}(?:st|nd|rd|th)?(?:,?\s+[0-9]{{4}})?){E}"),
-    Rule("dob_ctx", "DATE_OF_BIRTH", 0.92, rf"({B}(?:date of birth|dob|born(?:\s+on)?|birthday)\s*(?:is|:)?\s+(?:on\s+|the\s+)*)([0-9]{{1,2}}[/.-][0-9]{{1,2}}[/.-][0-9]{{2,4}}|[0-9]{{1,2}}(?:st|nd|rd|th)?\s+(?:of\s+)?{MONTH}(?:,?\s+[0-9]{{4}})?|{MONTH}\s+[0-9]{{1,2}}(?:,?\s+[0-9]{{4}})?|{ORDINAL}\s+(?:of\s+)?{MONTH}){E}", True, "(?i)birth|dob|born"),
-    Rule("date_spoken", "PRECISE_DATE", 0.8, rf"{B}{ORDINAL}\s+(?:of\s+)?{MONTH}(?:\s+(?:nineteen|twenty)(?:[ -]{NUMBER})+)?{E}"),
-    Rule("time_clock", "PRECISE_TIME", 0.85, rf"(?<![0-9:.])(?:[01]?[0-9]|2[0-3])[:.][0-5][0-9](?:\s*[ap]m)?(?![0-9:.]|[.:][0-9])", gate="[0-9][:.][0-9]"),
-    Rule("time_ampm", "PRECISE_TIME", 0.8, rf"{B}(?:1[0-2]|[1-9])\s*[ap]\.?m\.?{E}", gate="[0-9]"),
-    Rule("time_spoken", "PRECISE_TIME", 0.8, rf"{B}(?:half|quarter|(?:five|ten|twenty)(?:\s+minutes)?)\s+(?:past|to)\s+{NUMBER}{E}"),
-    Rule("age_digit", "EXACT_AGE", 0.7, rf"({B}(?:i'?m|i am|he'?s|she'?s|is|aged?|turn(?:ing|ed|s)?)\s+)([0-9]{{1,3}}){E}", True, "[0-9]"),
-    Rule("age_years", "EXACT_AGE", 0.9, rf"()((?<![0-9])[0-9]{{1,3}})(?=[ -]years?[ -]old{E})", True, "(?i)year"),
-    Rule("age_word", "EXACT_AGE", 0.6, rf"({B}(?:i'?m|i am|he'?s|she'?s|is|aged?|turn(?:ing|ed|s)?)\s+)({NUMBER}){E}", True),
-    Rule("year_group", "CLASS_NAME", 0.6, rf"{B}(?:(?:year|grade|class)\s+(?:[0-9]{{1,2}}[a-z]?|{SAID})|reception class){E}"),
-    Rule("school_named", "SCHOOL_NAME", 0.8, rf"{B}(?:(?-i:St\.?\s+))?(?:{CAPS}\s+){{1,3}}(?-i:(?:Primary |Secondary |High |Middle )?(?:School|Academy|College|Nursery)){E}"),
-    Rule("school_lower", "SCHOOL_NAME", 0.5, rf"({B}(?:at|to)\s+)((?:(?!the{E}|my{E}|our{E}|a{E}|his{E}|her{E})[\p{{L}}']+\s+){{1,3}}{SCHOOL}){E}", True, f"(?i){SCHOOL}"),
-    Rule("school_ctx", "SCHOOL_NAME", 0.4, rf"({B}(?:goes to|go to|attends?|went to)\s+)({CAPS}(?:\s+{CAPS}){{0,4}})", True, "(?i)go|attend|went"),
-    Rule("team_named", "SPORTS_TEAM", 0.7, rf"{B}(?:{CAPS}\s+){{1,2}}(?-i:FC|United|Rovers|Tigers|Lions|Wanderers|Athletic|Rangers|Eagles|Sharks){E}"),
-    Rule("team_ctx", "SPORTS_TEAM", 0.65, rf"({B}under[ -](?:[0-9]{{1,2}}|{NUMBER})s?\s+)({CAPS}(?:\s+{CAPS}){{0,2}})", True, "(?i)under"),
-    Rule("club_lower", "CLUB_NAME", 0.5, rf"({B}(?:joined|plays? for|member of|goes to)\s+(?:the\s+)?)((?:[\p{{L}}']+\s+){{1,3}}club){E}", True, "(?i)club"),
-    Rule("landmark_lower", "LOCAL_LANDMARK", 0.5, rf"({B}(?:near|opposite|next to|behind|by)\s+(?:the\s+)?)((?:[\p{{L}}']+\s+){{1,3}}(?:park|library|station|church|bridge|museum|mall|hospital|pool)){E}", True),
-    Rule("city_lower", "CITY", 0.5, rf"({B}(?:we|i|they)\s+live\s+in\s+)([\p{{L}}'-]+(?:\s+[\p{{L}}'-]+)?){E}", True, "(?i)live"),
-    Rule("bus_route", "BUS_ROUTE", 0.7, rf"{B}(?:(?:the\s+)?(?:number\s+)?[0-9]{{1,3}}[a-z]?\s+bus|(?:bus|route)\s+(?:number\s+)?[0-9]{{1,3}}[a-z]?){E}", gate="(?i)bus|route"),
-    Rule("multilingual_spoken_phone", "PHONE", 0.96, rf"{B}(?:{NUMBERS_ABROAD})(?:[\s,-]+(?:{NUMBERS_ABROAD})){{6,}}{E}"),
-    Rule("multilingual_spoken_email", "EMAIL", 0.96, rf"{B}[\p{{L}}0-9]+(?:\s+(?:dot|punto|point|punkt|ponto|punt|точка)\s+[\p{{L}}0-9]+)*\s+(?:at|arroba|arobase|klammeraffe|chiocciola|apenstaartje|собака)\s+[\p{{L}}0-9]+(?:\s+(?:dot|punto|point|punkt|ponto|punt|точка)\s+[\p{{L}}]+)+{E}"),
-    Rule("spoken_initial_name", "PERSON_NAME", 0.92, rf"{B}(?:mr|mrs|ms|miss|dr)\.?\s+[a-z]\.?\s+[\p{{L}}'-]{{2,}}{E}"),
-    Rule("multilingual_titled_name", "PERSON_NAME", 0.9, rf"{B}(?:señora?|senhora?|madame|monsieur|frau|herr|signora?|mevrouw|meneer|госпожа|господин)\s+{CAPS}(?:\s+{CAPS}){{0,2}}"),
+    Rule("email", "EMAIL", 0.99, r"\b[\w.!#$%&'*+/=?^`{|}~-]+@[\w-]+(?:\.[\w-]+)+\b", "@"),
+    Rule("email_spoken", "EMAIL", 0.9, rf"\b[\w.'-]+(?:\s+{SIGN}\s+[\w.'-]+)*\s+at\s+[\w-]+(?:\s+dot\s+[\w-]+)+\b", "dot", check=_said_email),
+    Rule("url", "URL", 0.97, r"\b(?:https?://|www\.)[^\s<>\"')]+", "http www."),
+    Rule("url_spoken", "URL", 0.85, r"\b(?:www|double\s+u\s+double\s+u\s+double\s+u)\s+dot\s+[\w-]+(?:\s+dot\s+[\w-]+)+\b", "dot"),
+    Rule("ipv4", "IP_ADDRESS", 0.97, rf"\b(?:{OCTET}\.){{3}}{OCTET}\b", "0"),
+    Rule("ipv6", "IP_ADDRESS", 0.95, r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b", ":"),
+    Rule("mac", "MAC_ADDRESS", 0.97, r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", ": -"),
+    Rule("iban", "IBAN", 0.9, r"(?-i:\b[A-Z]{2}\d{2}[ ]?(?:[A-Z0-9]{4}[ ]?){2,7}[A-Z0-9]{1,4}\b)", "0"),
+    Rule("us_ssn", "NATIONAL_ID", 0.97, r"\b\d{3}-\d{2}-\d{4}\b", "-"),
+    Rule("uk_nhs", "MEDICAL_ID", 0.55, r"\b\d{3}[ -]?\d{3}[ -]?\d{4}\b", "0", check=_nhs),
+    Rule("uk_ni", "NATIONAL_ID", 0.9, r"(?-i:\b[A-CEGHJ-PR-TW-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b)", "0"),
+    Rule("passport", "PASSPORT", 0.9, rf"\bpassport\s*(?:number|no\.?|#)?\s*[:=]?\s*({CODE})\b", "passport", True),
+    Rule("plate_uk", "LICENSE_PLATE", 0.6, r"(?-i:\b[A-Z]{2}\d{2}\s?[A-Z]{3}\b)", "0", check=_plate),
+    Rule("card", "CREDIT_CARD", 0.55, r"\b(?:\d[ -]?){13,19}\b", "0", check=_card),
+    Rule("secret", "SECRET", 0.9, r"\b(?:password|passcode|pin(?:\s*code)?|api[ _-]?key|secret|token)\s*(?:is|=|:)\s*[\"']?([^\s\"',.;]{3,64})", "pass pin key secret token", True),
+    Rule("phone_intl", "PHONE", 0.95, r"(?<![\w.])\+\d{1,3}[\s.-]?(?:\(?\d{1,4}\)?[\s.-]?){2,5}\d{2,4}(?![\w])", "+"),
+    Rule("phone_pairs", "PHONE", 0.9, r"(?<![\w.])0\d(?:[\s.-]\d{2}){4}(?![\w])", "0"),
+    Rule("phone_local", "PHONE", 0.9, r"(?<![\w.])(?:\(?0\d{2,4}\)?[\s.-]?\d{3,4}[\s.-]?\d{3,4}|\d{3}[\s.-]\d{3}[\s.-]\d{4}|\(\d{3}\)\s?\d{3}[\s.-]?\d{4})(?![\w])", "0", check=_digits),
+    Rule("handle", "SOCIAL_HANDLE", 0.9, r"(?<![\w@])@[A-Za-z][\w.]{2,29}\b", "@", check=_handle),
+    Rule("username_ctx", "ONLINE_USERNAME", 0.85, r"\b(?:username|user\s*name|handle|gamertag|screen\s*name|login|user\s*id)\s*(?:is|:|=)?\s+([A-Za-z0-9_.-]{3,32})\b", "user handle gamertag screen login", True),
+    Rule("username_spoken", "ONLINE_USERNAME", 0.85, rf"\b(?:username|user\s*name|gamertag|screen\s*name|login|user\s*id|account)\s*(?:is|:|=)?\s+({PART}{{2,32}}(?:\s+{SIGN}\s+{PART}{{1,32}})+)", "user gamertag screen login account", True),
+    Rule("handle_spoken", "SOCIAL_HANDLE", 0.7, rf"\bat\s+{PART}{{2,20}}(?:\s+(?:dot|dash)\s+{PART}{{2,20}})*(?:\s+underscore\s+{PART}{{2,20}})+(?:\s+(?:dot|dash|underscore)\s+{PART}{{2,20}})*", "underscore"),
+    Rule("student_id", "STUDENT_ID", 0.9, rf"\b(?:student|pupil|admission|enrol(?:l)?ment|roll|register|upn)\s*{NUMBERED}{IS}\s*([\w-]{{3,20}})\b", "student pupil admission enrol roll register upn", True),
+    Rule("account_id", "ACCOUNT_ID", 0.88, rf"\b(?:account|customer|reference|policy|case|member(?:ship)?|order|booking|ticket)\s*(?:id|number|no\.?|#|code){IS}\s*([\w-]{{3,24}})\b", "account customer reference policy case member order booking ticket", True),
+    Rule("medical_id", "MEDICAL_ID", 0.88, rf"\b(?:nhs|medicare|medicaid|patient|medical\s*record|mrn|chart|insurance)\s*{NUMBERED}{IS}\s*([\w-]{{3,20}})\b", "nhs medic patient mrn chart insurance", True),
+    Rule("street_full", "STREET_ADDRESS", 0.85, rf"\b(?:{UNIT}\s*\d+[a-z]?\s*,?\s*)?\d{{1,4}}[a-z]?\s+(?:{CAP}\s+){{0,3}}{STREET}\b\.?", "0"),
+    Rule("street_spoken", "STREET_ADDRESS", 0.6, rf"\b{NUMBER}\s+(?:[\w'-]+\s+){{0,2}}{STREET}\b"),
+    Rule("street_named", "STREET_ADDRESS", 0.5, rf"\b(?:{CAP}\s+){{1,3}}(?-i:{either(STREETS.title())})\b", check=_named_street),
+    Rule("postcode_uk", "POSTCODE", 0.92, r"(?-i:\b[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}\b)", "0"),
+    Rule("postcode_us", "POSTCODE", 0.4, r"\b\d{5}(?:-\d{4})?\b", "0", check=_zip),
+    Rule("postcode_ca", "POSTCODE", 0.85, r"(?-i:\b[A-Z]\d[A-Z]\s?\d[A-Z]\d\b)", "0"),
+    Rule("live_at", "HOME_ADDRESS", 0.6, rf"\b(?:we|i)\s+live\s+(?:at|on|in)\s+((?:{CAP}\s?){{1,4}}|\d{{1,4}}[^,.;\n]{{2,40}})", "live", True),
+    Rule("date_numeric", "PRECISE_DATE", 0.9, rf"\b{DAY}[/.-](?:0?[1-9]|1[0-2])[/.-](?:19|20)?\d{{2}}\b", "0"),
+    Rule("date_iso", "PRECISE_DATE", 0.95, r"\b(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])\b", "-"),
+    Rule("date_written", "PRECISE_DATE", 0.85, rf"\b(?:{DAY}{NTH}\s+(?:of\s+)?{MONTH}|{MONTH}\s+{DAY}{NTH})(?:,?\s+(?:19|20)\d{{2}})?\b", "0"),
+    Rule(
+        "dob_ctx",
+        "DATE_OF_BIRTH",
+        0.92,
+        rf"\b(?:date\s+of\s+birth|d\.?o\.?b\.?|born\s+on|birthday\s+is){IS}\s*"
+        rf"((?:\d{{1,2}}[/.-]\d{{1,2}}[/.-]\d{{2,4}})|(?:\d{{1,2}}{NTH}\s+(?:of\s+)?{MONTH}(?:,?\s+(?:19|20)?\d{{2}})?)|(?:{MONTH}\s+\d{{1,2}}{NTH}(?:,?\s+(?:19|20)?\d{{2}})?)|(?:(?:19|20)\d{{2}}-\d{{2}}-\d{{2}})|(?:{DATE_SAID}))",
+        "birth d o.b born",
+        True,
+    ),
+    Rule("date_spoken", "PRECISE_DATE", 0.8, rf"\b{DATE_SAID}\b", "of"),
+    Rule("time_clock", "PRECISE_TIME", 0.85, rf"\b(?:[01]?\d|2[0-3])[:.][0-5]\d\s?{AMPM}?\b", "0"),
+    Rule("time_ampm", "PRECISE_TIME", 0.8, rf"\b(?:1[0-2]|0?[1-9])\s?{AMPM}\b", "0"),
+    Rule("time_spoken", "PRECISE_TIME", 0.8, rf"\b{either('quarter half ten twenty five twenty-five')}\s+(?:past|to|after)\s+{either('one two three four five six seven eight nine ten eleven twelve')[:-1]}|\d{{1,2}})\b", "past to after"),
+    Rule("age_digit", "EXACT_AGE", 0.7, r"\b(?:(?:i'?m|im|i am|he'?s|she'?s|they'?re|is|was|aged?|turning|turns?)\s+)(\d{1,2})(?![\d/.:-])(?:\s*(?:years?\s*old|yrs?|y/?o))?\b", "0", True, _age),
+    Rule("age_years", "EXACT_AGE", 0.9, r"\b(\d{1,2})\s*(?:years?\s*old|yrs?\s*old|y/?o)\b", "0", True),
+    Rule("age_word", "EXACT_AGE", 0.6, rf"\b(?:(?:i'?m|im|i am|he'?s|she'?s|(?:\w+)\s+(?:is|was)|aged?|turning|turns?)\s+)((?:twenty[\s-])?(?:{ONES[3:-1]}|twenty))(?:\s*years?\s*old)?\b", "", True, _age),
+    Rule("year_group", "CLASS_NAME", 0.6, r"\b(?:year|grade|class|form)\s+(?:\d{1,2}|(?-i:[A-Z])\b|one|two|three|four|five|six)|\breception\s+class\b", "year grade class form"),
+    Rule("school_named", "SCHOOL_NAME", 0.8, rf"(?-i:\b(?:[A-Z][\w'&-]+\s+){{1,4}}(?:{SCHOOLS})\b)"),
+    Rule("school_lower", "SCHOOL_NAME", 0.5, rf"\b(?:at|to|from|in|attends?|enrolled\s+at)\s+((?:[\w'&-]+\s+){{1,3}}{either(SCHOOLS_LOW)})\b", SCHOOLS_LOW, True, _low_school),
+    Rule("school_ctx", "SCHOOL_NAME", 0.4, rf"\b(?:goes?\s+to|attends?|starts?\s+at|enrolled\s+(?:at|in)|transferred\s+to)\s+((?:{CAP}\s?){{1,4}})\b", "go attend start enrolled transferred", True, _school_after),
+    Rule("team_named", "SPORTS_TEAM", 0.7, rf"(?-i:\b(?:[A-Z][\w'-]+\s+){{1,2}}(?:{TEAMS})\b)"),
+    Rule("team_ctx", "SPORTS_TEAM", 0.65, rf"\b(?:under[\s-]?\d{{1,2}}|u\d{{1,2}})s?\s+((?:{CAP}\s?){{1,2}})", "0", True),
+    Rule("club_lower", "CLUB_NAME", 0.5, rf"\b(?:at|joins?|joined|goes?\s+to|attends?|plays?\s+for|member\s+of|training\s+at)\s+((?:the\s+)?(?:[\w'-]+\s+){{1,3}}{either(CLUBS)})\b", CLUBS, True),
+    Rule("landmark_lower", "LOCAL_LANDMARK", 0.5, rf"\b(?:near|opposite|behind|next\s+to|beside|across\s+from|by)\s+((?:the\s+)?(?:[\w'-]+\s+){{1,3}}{either(LANDMARKS)})\b", LANDMARKS.replace("?", "").replace("gardens", "garden"), True),
+    Rule("city_lower", "CITY", 0.5, r"\b(?:we|i|they|she|he)\s+(?:live|lives|lived|moved|grew\s+up)\s+(?:in|to|from|near)\s+((?:[\w'-]+)(?:\s+[\w'-]+)?)\b", "live moved grew", True, _city),
+    Rule("bus_route", "BUS_ROUTE", 0.7, r"\b(?:(?:the\s+)?(?:number\s+)?\d{1,3}\s+bus|bus\s+(?:number\s+)?\d{1,3}|route\s+\d{1,3})\b", "bus route"),
+    Rule("multilingual_spoken_phone", "PHONE", 0.96, rf"(?<!\w){either(NUMBERS_ABROAD)}(?:[ \t,-]+{either(NUMBERS_ABROAD)}){{6,}}(?!\w)"),
+    Rule("multilingual_spoken_email", "EMAIL", 0.96, rf"\b[\w.'-]+(?:[ \t]+{DOTS}[ \t]+[\w.'-]+)*[ \t]+{ATS}[ \t]+[\w-]+(?:[ \t]+{DOTS}[ \t]+[\w-]+)+\b", "dot punto point punkt punt ponto точка"),
+    Rule("spoken_initial_name", "PERSON_NAME", 0.92, r"\b(?:doctor|dr|mister|mr|miss|ms|mrs|professor)[ \t]+[a-z][ \t]+[a-z]{2,20}\b", "do dr mi mr ms pro"),
+    Rule("multilingual_titled_name", "PERSON_NAME", 0.9, rf"\b(?:(?:la|el|le|il|lo|a|o)[ \t]+)?{TITLES_ABROAD}[ \t]+{NAME_ABROAD}(?:[ \t]+{NAME_ABROAD}){{0,2}}", "señor senyor doctor madame monsieur docteur frau herr doktor maestr dottor juf meester dokter doutor professora"),
 ]
 RULE_NAMES = [r.name for r in RULES]
 
-_PLACE_WORDS = "(?i)(?<![a-z])(?:house|flat|home|town|village|city|country|street|same|big|small|nice)(?![a-z])"
-
-
-def _named(rule: Rule):
-    return lambda m: F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.entity).alias("entity"), F.lit(rule.score).alias("score"), m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end"), m["surface"].alias("surface"))
-
-
-def scan(text: Column, rules: list[Rule]) -> Column:
-    """Array of (rule, entity, score, start, end, surface) of all rules' matches in a text."""
-    found = []
-    for r in rules:
-        hits = F.transform(matches(text, r.regex, r.lead), _named(r))
-        none = F.expr("cast(array() as array<struct<rule: string, entity: string, score: double, start: int, end: int, surface: string>>)")
-        found.append(F.when(text.rlike(r.gate or r.regex), hits).otherwise(none))
-    return F.concat(*found) if len(found) > 1 else found[0]
-
-
-def adjust(hits: DataFrame, text: str = "text") -> DataFrame:
-    """Rules' own checks: matches dropped, relabelled or shortened by what they hold and what stands around them."""
-    before = lambda n: F.lower(F.substring(F.col(text), F.greatest(F.col("start") - n, F.lit(0)) + 1, F.least(F.col("start"), F.lit(n))))
-    after = lambda n: F.lower(F.substring(F.col(text), F.col("end") + 1, F.lit(n)))
-    around = lambda n: F.concat(before(n), F.lit(" "), after(n))
-    rule, surface = F.col("rule"), F.col("surface")
-    low, digits = F.lower(surface), F.regexp_replace(surface, "[^0-9]", "")
-    number = F.coalesce(F.expr("try_cast(surface as int)"), F.lit(1))
-    clock = after(24).rlike(r"^\s*(?:o'?clock|[ap]\.?m|minutes?|hours?|pounds?|dollars?|euros?|percent|%|times)")
-    at_time = before(12).rlike(r"(?:at|around|about|by|until|till)\s+(?:i'?m|is)?\s*$") & (number <= 12)
-    age = rule.isin("age_digit", "age_word")
-    drop = reduce(
-        lambda a, b: a | b,
-        [
-            (rule == "email_spoken") & ~low.contains(" at "),
-            (rule == "phone_local") & (F.length(digits) < 9),
-            (rule == "handle") & low.rlike("^@(?:gmail|hotmail|outlook|yahoo|icloud)"),
-            (rule == "plate_uk") & ~around(40).rlike("car|van|plate|registration|vehicle|drive"),
-            (rule == "postcode_us") & ~around(30).rlike("zip|post ?code|postal"),
-            (rule == "street_named") & low.rlike(r"^(?:the|this|that|my|our|a)\s"),
-            (rule == "school_ctx") & low.rlike(r"^(?:the|my|our|school|bed|sleep|work)(?:\s|$)"),
-            (rule == "school_lower") & low.rlike(r"^(?:new|old|big|same|primary|secondary|high|middle|nursery)\s+school$"),
-            (rule == "city_lower") & surface.rlike(_PLACE_WORDS),
-            age & ((number > 120) | clock | at_time),
-        ],
-        F.lit(False),
-    )
-    out = hits.where(~drop)
-    card, nhs = luhn_ok(surface), around(40).rlike("nhs|patient|hospital|medical|doctor")
-    entity = F.when((rule == "card") & ~card, "ACCOUNT_ID").when((rule == "uk_nhs") & ~nhs, "PHONE").otherwise(F.col("entity"))
-    score = (
-        F.when(rule == "card", F.when(card, 0.97).otherwise(0.5))
-        .when(rule == "uk_nhs", F.when(nhs, 0.95).otherwise(0.6))
-        .when(rule.isin("plate_uk", "postcode_us"), 0.9)
-        .when(rule == "school_ctx", 0.45)
-        .when(age & after(12).rlike(r"^\s*years? old"), 0.85)
-        .otherwise(F.col("score"))
-    )
-    tail = F.length(F.regexp_extract(surface, r"(?i)(\s+(?:now|today|since|for|with|because|and|but|at))$", 1))
-    end = F.when(rule == "city_lower", F.col("end") - tail).otherwise(F.col("end")).cast("int")
-    return out.select("conv_id", text, "rule", entity.alias("entity"), score.alias("score"), "start", end.alias("end"), F.substring(surface, F.lit(1), end - F.col("start")).alias("surface"))
-
-
-def _runs(text: Column) -> Column:
-    """Spoken digit runs and spelled codes, unadjusted."""
-    unit = rf"(?:{SAID}|{TENS}|double|triple|treble|[0-9])"
-    return F.concat(
-        F.transform(matches(text, rf"(?iu){B}{unit}(?:[\s,-]+{unit}){{5,}}{E}"), lambda m: F.struct(F.lit("digit_run").alias("rule"), m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end"), m["surface"].alias("surface"))),
-        F.transform(matches(text, rf"(?iu){B}(?:[a-z]|{SAID}|[0-9])(?:[\s-]+(?:[a-z]|{SAID}|[0-9])){{4,}}{E}"), lambda m: F.struct(F.lit("spelled_code").alias("rule"), m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end"), m["surface"].alias("surface"))),
-    )
-
-
-def spoken_runs(convs: DataFrame) -> DataFrame:
-    rows = convs.select("conv_id", "text", F.explode(_runs(F.col("text"))).alias("h")).select("conv_id", "text", "h.*")
-    words = F.filter(F.split(F.lower("surface"), r"[\s,-]+"), lambda w: w != "")
-    digits = F.length(spoken_digits(words))
-    cue = lambda n: F.lower(F.substring("text", F.greatest(F.col("start") - n, F.lit(0)) + 1, F.least(F.col("start"), F.lit(n))))
-    letters = F.size(F.filter(words, lambda w: w.rlike("^[a-z]$")))
-    run = (F.col("rule") == "digit_run") & (digits >= 6)
-    code = (F.col("rule") == "spelled_code") & (letters >= 2)
-    entity = (
-        F.when(run & cue(32).rlike("account|policy|reference|customer"), "ACCOUNT_ID")
-        .when(run, "PHONE")
-        .when(cue(60).rlike("post ?code|zip"), "POSTCODE")
-        .when(cue(60).rlike("student|pupil"), "STUDENT_ID")
-        .when(cue(60).rlike("nhs|patient|medical"), "MEDICAL_ID")
-        .otherwise("ACCOUNT_ID")
-    )
-    score = (
-        F.when(run & (entity == "ACCOUNT_ID"), 0.8)
-        .when(run & cue(32).rlike("phone|call|number|mobile|ring|text"), 0.9)
-        .when(run & (digits >= 9), 0.8)
-        .when(run, 0.75)
-        .when(cue(60).rlike("post ?code|zip|student|pupil|nhs|patient|medical|account"), 0.85)
-        .otherwise(0.6)
-    )
-    return rows.where(run | code).select("conv_id", "text", "rule", entity.alias("entity"), score.alias("score"), "start", "end", "surface")
-
-
-def detect_rules(convs: DataFrame, extra: tuple[tuple[str, str, str, float], ...] = (), rules: list[Rule] | None = None) -> DataFrame:
-    """Detections of ``convs`` (conv_id, text): conv_id, detector, raw_label, entity, start, end, score, channel, surface."""
-    chosen = [*(RULES if rules is None else rules), *(Rule(n, e, s, p) for n, p, e, s in extra)]
-    families = [chosen[k : k + 12] for k in range(0, len(chosen), 12)]
-    parts = [convs.select("conv_id", "text", F.explode(scan(F.col("text"), f)).alias("h")).select("conv_id", "text", "h.*") for f in families]
-    hits = adjust(reduce(DataFrame.unionByName, parts))
-    if rules is None:
-        hits = hits.unionByName(spoken_runs(convs))
-    return hits.where(F.col("end") > F.col("start")).select("conv_id", F.lit("rules").alias("detector"), F.col("rule").alias("raw_label"), "entity", "start", "end", "score", F.lit("pattern").alias("channel"), "surface")
+
+def _literals(text: str) -> str:
+    """Letters as a pattern without case takes them."""
+    low = text.casefold()
+    return low if low.isascii() else low.replace("i̇", "i").replace("ı", "i")
+
+
+def scan(text: str, rules: list[Rule], detector: str = "rules") -> Iterator[Claim]:
+    """Claims of ``rules`` on a text."""
+    low, digit = _literals(text), any(map(str.isdecimal, text))
+    for rule in rules:
+        needs = rule.needs.split()
+        if needs and not any(digit if x == "0" else x in low for x in needs):
+            continue
+        for m in rule.find.finditer(text):
+            own = 1 if rule.value and m.end(1) > m.start(1) else 0
+            lo, hi = m.span(own)
+            if not text[lo:hi].strip():
+                continue
+            verdict = rule.check(text, lo, hi, rule.entity, rule.score) if rule.check else (rule.entity, rule.score, hi)
+            if verdict and verdict[2] > lo:
+                yield Claim(lo, verdict[2], verdict[0], verdict[1], detector, rule.name)
+
+
+_DIGIT_RUN = re.compile(rf"\b{DIGIT}(?:[\s,-]+{DIGIT}){{5,}}\b", re.I)
+_CODE_UNIT = rf"(?:[a-z]|{NUMBER}|hundred|thousand|double|triple|oh|zero|nought|\d{{1,4}})"
+_CODE_RUN = re.compile(rf"\b{_CODE_UNIT}(?:[\s,-]+{_CODE_UNIT}){{4,}}\b", re.I)
+#: Words before a run and what they make of it.
+_RUN_CUES = [(r"\b(?:account|reference|policy|card|member|customer|order)\b", "ACCOUNT_ID", 0.8), (r"\b(?:number|phone|mobile|cell|call|reach|text)\b", "PHONE", 0.9)]
+_CODE_CUES = [(r"post\s*code|postal\s*code|zip", "POSTCODE", 0.85), (r"pupil|student|admission|enrol|upn|roll", "STUDENT_ID", 0.85), (r"nhs|patient|medical|hospital", "MEDICAL_ID", 0.85), (r"account|reference|policy|membership|booking|case", "ACCOUNT_ID", 0.85)]
+
+
+def _cued(text: str, at: int, size: int, cues: list, otherwise: tuple[str, float]) -> tuple[str, float]:
+    before = text[max(0, at - size) : at].lower()
+    return next(((entity, score) for cue, entity, score in cues if re.search(cue, before)), otherwise)
+
+
+def spoken_runs(text: str, detector: str = "rules") -> Iterator[Claim]:
+    """Numbers dictated digit by digit, and codes spelled letter by letter."""
+    for m in _DIGIT_RUN.finditer(text):
+        words = [w for w in re.split(r"[\s,-]+", m[0]) if w]
+        digits = len(spoken_digits(words))
+        said = sum(w.lower() in DIGIT_WORDS or w.lower() in TIMES_WORDS or w.isdigit() for w in words)
+        if said >= 6 and digits >= 6:
+            entity, score = _cued(text, m.start(), 32, _RUN_CUES, ("PHONE", 0.8 if digits >= 9 else 0.75))
+            yield Claim(m.start(), m.end(), entity, score, detector, "spoken_digits")
+    for m in _CODE_RUN.finditer(text):
+        words = re.findall(r"\w+", m[0])
+        if len(words) >= 5 and sum(len(w) == 1 and w.isalpha() for w in words) >= 2:
+            entity, score = _cued(text, m.start(), 60, _CODE_CUES, ("ACCOUNT_ID", 0.6))
+            yield Claim(m.start(), m.end(), entity, score, detector, "spelled_code")
+
+
+def user_rules(specs: list[dict]) -> list[Rule]:
+    """Rules of the settings: name, pattern, entity, score, ignore_case."""
+    return [Rule(s.get("name", "custom"), s["entity"], float(s.get("score", 0.9)), s["pattern"], ignore_case=bool(s.get("ignore_case"))) for s in specs or ()]
+
+
+def claims(text: str, extra: list[Rule] = (), detector: str = "rules") -> list[Claim]:
+    return [*scan(text, [*RULES, *extra], detector), *spoken_runs(text, detector)]
+
+
+def detections(convs: DataFrame, find: Callable[[str], list[Claim]]) -> DataFrame:
+    """A row for each claim of ``find`` on ``convs`` (conv_id, text); null texts have none."""
+    names = ["conv_id", "detector", "raw_label", "entity", "start", "end", "score", "channel", "surface"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.string()]
+        for b in batches:
+            rows = []
+            for conv_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows += [(conv_id, c.detector, c.label, c.entity, c.start, c.end, c.score, c.channel, text[c.start : c.end]) for c in find(text or "")]
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return spread(convs.select(F.col("conv_id").cast("string"), F.col("text").cast("string"))).mapInArrow(run, DETECTION)
+
+
+def detect_rules(convs: DataFrame, extra: list[dict] = (), names: list[str] | None = None) -> DataFrame:
+    """Detections of ``convs`` (conv_id, text) by the rules, or by those of ``names`` alone."""
+    if names is not None:
+        own = [r for r in RULES if r.name in names]
+        return detections(convs, lambda text: list(scan(text, own)))
+    more = user_rules(extra)
+    return detections(convs, lambda text: claims(text, more))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, intervals, roles, rules
+from ..functions.lexicon import CUES
+from ..operators import context, evaluate, intervals, known, roles, rules
 from ..sources import loaders
-from .engine import Engine, release_view, statistics
+from .engine import Engine, contributions, release_view, statistics
 from .policy import Config
 
 
@@ -46,8 +47,8 @@ def rendered_turns(spark, d):
 
 def role_cues(spark, d):
     turns = _turns(spark, d)
-    cue = lambda role: sum((F.regexp_count("text", F.lit(rx)) * w for rx, w in roles.CUES[role]), F.lit(0.0))
-    return turns.groupBy("conv_id", "speaker").agg(*[F.sum(cue(r)).alias(r) for r in roles.CUES])
+    cue = lambda role: sum((F.regexp_count("text", F.lit(rx)) * w for rx, w in CUES[role]), F.lit(0.0))
+    return turns.groupBy("conv_id", "speaker").agg(*[F.sum(cue(r)).alias(r) for r in CUES])
 
 
 def speaker_roles(spark, d):
@@ -55,15 +56,20 @@ def speaker_roles(spark, d):
 
 
 def rule_offsets(spark, d):
-    """Places of the matches of three rules in documents."""
-    found = _docs(spark, d).select("conv_id", F.explode(rules.scan(F.col("text"), [r for r in rules.RULES if r.name in ("email", "url", "phone_intl")])).alias("h"))
-    return found.select("conv_id", "h.rule", "h.start", "h.end", "h.surface")
+    """Places of the matches of four rules in documents."""
+    found = rules.detect_rules(_docs(spark, d), names=["email", "us_ssn", "date_iso", "phone_intl"])
+    return found.select("conv_id", F.col("raw_label").alias("rule"), "start", "end", "surface")
 
 
 def rule_counts(spark, d):
     return rules.detect_rules(_docs(spark, d)).groupBy("raw_label", "entity").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("n_docs"))
 
 
+def context_counts(spark, d):
+    flat = loaders.flat_text(_turns(spark, d)).select("conv_id", "text")
+    return context.detect_context(flat).groupBy("raw_label", "entity").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("n_convs"))
+
+
 def asof_turns(spark, d):
     turns = _turns(spark, d)
     ends = turns.groupBy("conv_id").agg(F.max("char_end").alias("n"))
@@ -102,10 +108,10 @@ def band_nearest(spark, d):
 
 
 def first_appearance_labels(spark, d):
-    """Pseudonym numbers by first appearance, where names are linked exactly."""
+    """Pseudonym numbers by first appearance, where names are linked exactly; ranks in two steps, so that a label with most rows is no one task's."""
     first = _events(spark, d).groupBy("entity", "conv_id").agg(F.min(F.struct("start", "ord")).alias("f"))
-    n = F.row_number().over(Window.partitionBy("entity").orderBy("f"))
-    return first.select("entity", "conv_id", F.format_string("<%s_%02d>", F.upper("entity"), n).alias("label"))
+    n = evaluate.rank_within(first, "entity", F.col("f.start"), "f")
+    return n.select("entity", "conv_id", F.format_string("<%s_%02d>", F.upper("entity"), F.col("rank")).alias("label"))
 
 
 def _gold_pred(spark, d):
@@ -128,7 +134,7 @@ def span_leakage(spark, d):
 
 
 def latency_percentiles(spark, d):
-    return _read(spark, d, "events").groupBy("event_type").agg(evaluate.percentile_at("value", 0.5).alias("p50"), evaluate.percentile_at("value", 0.95).alias("p95"))
+    return evaluate.percentiles(_read(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 def fuzzy_names(spark, d):
@@ -161,32 +167,49 @@ def _known(spark, d):
 
 
 def known_value_hits(spark, d):
-    from ..operators.known import detect_known
+    flat = loaders.flat_text(_turns(spark, d)).select("conv_id", "text")
+    return known.detect_known(flat, _known(spark, d)).groupBy("entity", "channel").agg(F.count("*").alias("n"))
 
+
+def known_value_exact(spark, d):
+    """Places where a known value stands exactly, accents and case aside."""
     flat = loaders.flat_text(_turns(spark, d)).select("conv_id", "text")
-    return detect_known(flat, _known(spark, d)).groupBy("entity", "channel").agg(F.count("*").alias("n"))
+    return known.detect_known(flat, _known(spark, d)).where("channel = 'exact'").select("conv_id", "start", "end", "surface")
+
+
+def _own_known(spark, d):
+    """Known values of each conversation: the capitalised openings of its own turns."""
+    first = _read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("conv_id"), F.regexp_extract("text", r"^(\p{Lu}[\p{L}]{5,12})", 1).alias("value"))
+    return first.where("value <> ''").distinct().select("conv_id", F.lit("CHILD_NAME").alias("entity"), "value")
+
+
+def _deidentified(spark, d, **settings):
+    return Engine(spark, Config().with_(**settings)).deidentify(_turns(spark, d), _own_known(spark, d))
 
 
 def deidentified(spark, d):
-    out = Engine(spark).deidentify(_turns(spark, d))
-    return release_view(out, allow_review=True)
+    return release_view(_deidentified(spark, d), allow_review=True)
 
 
 def deid_statistics(spark, d):
-    return statistics(Engine(spark).deidentify(_turns(spark, d)))
+    return statistics(_deidentified(spark, d))
 
 
 def deid_findings(spark, d):
-    out = Engine(spark).deidentify(_turns(spark, d))
+    out = _deidentified(spark, d)
     return out.select("status", F.explode_outer("findings").alias("f")).groupBy("status", "f.check", "f.severity").count()
 
 
+def detector_contribution(spark, d):
+    return contributions(_deidentified(spark, d))
+
+
 def pseudonym_inventory(spark, d):
-    out = Engine(spark, Config()).resolved(_turns(spark, d))
-    return out.select("conv_id", F.inline("pseudonyms")).groupBy("prefix").agg(F.countDistinct("conv_id", "label").alias("referents"))
+    out = _deidentified(spark, d).select("conv_id", F.explode("stats.pseudonym_pools").alias("prefix", "n"))
+    return out.groupBy("prefix").agg(F.sum("n").cast("long").alias("referents"))
 
 
-ALL = (turn_offsets, flat_texts, rendered_turns, role_cues, speaker_roles, rule_offsets, rule_counts, asof_turns, interval_clusters, merged_islands, interval_overlaps, containment_anti, interval_coverage, band_nearest, first_appearance_labels, exact_match_metrics, partial_match_metrics, span_leakage, latency_percentiles, fuzzy_names, age_buckets, dayparts, stable_offsets, normalized_tokens, known_value_hits, deidentified, deid_statistics, deid_findings, pseudonym_inventory)
+ALL = (turn_offsets, flat_texts, rendered_turns, role_cues, speaker_roles, rule_offsets, rule_counts, context_counts, asof_turns, interval_clusters, merged_islands, interval_overlaps, containment_anti, interval_coverage, band_nearest, first_appearance_labels, exact_match_metrics, partial_match_metrics, span_leakage, latency_percentiles, fuzzy_names, age_buckets, dayparts, stable_offsets, normalized_tokens, known_value_hits, known_value_exact, deidentified, deid_statistics, deid_findings, detector_contribution, pseudonym_inventory)
 QUERIES = {f.__name__: f for f in ALL}
 
 _TURNS = r"""turns AS (
@@ -197,8 +220,17 @@ _TURNS = r"""turns AS (
 _EVENTS = "e AS (SELECT user_id AS conv_id, CAST(floor(epoch(ts)) AS BIGINT) AS start, CAST(floor(epoch(ts)) AS BIGINT) + 600 AS \"end\", event_type AS entity, event_id AS ord, value FROM events)"
 
 
+#: What the four rules find, written for this engine: no look-around, and words in any script.
+_RULE_SQL = {
+    "email": r"[\p{L}\p{N}_.!#$%&''*+/=?^`{|}~-]*[\p{L}\p{N}_][.!#$%&''*+/=?^`{|}~-]*@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+",
+    "us_ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "date_iso": r"\b(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])\b",
+    "phone_intl": r"\+[0-9]{1,3}[\s.-]?(?:\(?[0-9]{1,4}\)?[\s.-]?){2,5}[0-9]{2,4}\b",
+}
+
+
 def _rule_sql(name: str) -> str:
-    rx = next(r for r in rules.RULES if r.name == name).pattern.replace("'", "''")
+    rx = _RULE_SQL[name]
     return f"""SELECT CAST(doc_id AS VARCHAR) AS conv_id, '{name}' AS rule, m, string_split_regex(coalesce(text, ''), '(?i){rx}') AS g
         FROM (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '(?i){rx}') AS m FROM documents) WHERE len(m) > 0"""
 
@@ -211,15 +243,35 @@ _RATES = """r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 E
     SELECT entity, tier, tp, fp, fn, round(pr, 4) AS precision, round(re, 4) AS recall,
         CASE WHEN pr + re > 0 THEN round(2 * pr * re / (pr + re), 4) ELSE 0.0 END AS f1,
         CASE WHEN 4 * pr + re > 0 THEN round(5 * pr * re / (4 * pr + re), 4) ELSE 0.0 END AS f2 FROM r"""
-_CUES = {r: " + ".join(f"len(regexp_extract_all(text, '{rx.replace(chr(39), chr(39) * 2)}')) * {w}" for rx, w in cues) for r, cues in roles.CUES.items()}
-_NORMAL = f"trim(regexp_replace(regexp_replace(lower(translate(n_name, '{T.ACCENTED}{T.ACCENTED.upper()}', '{T.BASE}{T.BASE.upper()}')), '[^\\p{{L}}\\p{{N}}_'' ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_CUES = {r: " + ".join(f"len(regexp_extract_all(text, '{rx.replace(chr(39), chr(39) * 2)}')) * {w}" for rx, w in cues) for r, cues in CUES.items()}
+#: Rewrites and codes of the sound key, and words of roles, restated for SQL.
+_SOUND = "regexp_replace(lower(n_name), '[ _]', '', 'g')"
+for _a, _b in (x.split(">") for x in "ough>F ph>F gh>K ck>K sch>SK sh>X ch>X tch>X th>0 wr>R kn>N gn>N wh>W qu>KW dg>J ee>I ea>I ie>I ei>I oo>U ou>U aa>A ah>A".split()):
+    _SOUND = f"replace({_SOUND}, '{_a}', '{_b}')"
+_SOUND = f"(CASE WHEN regexp_matches({_SOUND}, '^[aeiouyAIU]') THEN 'A' ELSE '' END || translate(regexp_replace({_SOUND}, '[aeiouyhAIU]', '', 'g'), 'bcdfgjklmnpqrstvwxz', 'BKTFKJKLMNPKRSTFW#S'))"
+for _a in "ABFJKLMNPRSTWX0":
+    _SOUND = f"regexp_replace({_SOUND}, '{_a}+', '{_a}', 'g')"
+_SOUND = f"replace({_SOUND}, '#', 'KS')"
 
 ORACLE_SQL = {
+    "speaker_roles": f"""WITH {_TURNS}, c AS (SELECT conv_id, speaker, {', '.join(f'sum({c}) AS {r}' for r, c in _CUES.items())} FROM turns GROUP BY 1, 2),
+        b AS (SELECT conv_id, speaker, CASE WHEN greatest(child, parent, clinician) < 2 THEN 'unknown' WHEN child >= parent AND child >= clinician THEN 'child' WHEN parent >= clinician THEN 'parent' ELSE 'clinician' END AS role FROM c),
+        o AS (SELECT *, count(*) OVER w AS n, CASE WHEN count(*) OVER w = 2 THEN list(role) OVER w END AS roles FROM b WINDOW w AS (PARTITION BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+        SELECT conv_id, speaker, CASE WHEN role = 'unknown' AND n = 2 AND list_contains(roles, 'child') THEN 'parent' WHEN role = 'unknown' AND n = 2 AND list_contains(roles, 'parent') THEN 'child' ELSE role END AS role FROM o""",
+    "fuzzy_names": f"""SELECT a.n_name, b.n_name AS other, round(1 - levenshtein(lower(a.n_name), lower(b.n_name)) / greatest(length(a.n_name), length(b.n_name)), 6) AS similarity, a.key
+        FROM (SELECT *, {_SOUND} AS key FROM nation) a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name""",
+    "span_leakage": f"""WITH {_GOLD}, r AS (SELECT *, max("end") OVER (PARTITION BY conv_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p),
+        c AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS i FROM r),
+        u AS (SELECT conv_id, min(start) AS s, max("end") AS t FROM c GROUP BY conv_id, i),
+        d AS (SELECT conv_id, count(*) AS n, sum(CASE WHEN EXISTS (SELECT 1 FROM u WHERE u.conv_id = g.conv_id AND u.s <= g.start AND g."end" <= u.t) THEN 0 ELSE 1 END) AS leaks FROM g WHERE entity <> 'CITY' GROUP BY 1)
+        SELECT CAST(sum(n) AS BIGINT) AS direct_spans, CAST(sum(leaks) AS BIGINT) AS leaked_spans, round(avg(CASE WHEN leaks > 0 THEN 1.0 ELSE 0.0 END), 4) AS conversation_leakage FROM d""",
+    "normalized_tokens": """WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS conv_id, trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^\\p{L}\\p{N}_\\s'']', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents)
+        SELECT conv_id, CASE WHEN t = '' THEN 0 ELSE CAST(length(t) - length(replace(t, ' ', '')) + 1 AS INTEGER) END AS n_tokens, sha256(t) AS sha256 FROM t""",
     "turn_offsets": f"WITH {_TURNS} SELECT conv_id, turn_idx, speaker, char_start, CAST(char_start + length(text) AS INTEGER) AS char_end FROM turns",
     "flat_texts": f"WITH {_TURNS} SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns, CAST(length(string_agg(text, chr(10) ORDER BY turn_idx)) AS INTEGER) AS n_chars, sha256(string_agg(text, chr(10) ORDER BY turn_idx)) AS text_sha256 FROM turns GROUP BY 1",
     "rendered_turns": f"WITH {_TURNS} SELECT conv_id, sha256(string_agg(speaker || ': ' || text, chr(10) ORDER BY turn_idx)) AS sha256 FROM turns GROUP BY 1",
     "role_cues": f"WITH {_TURNS} SELECT conv_id, speaker, {', '.join(f'CAST(sum({c}) AS DOUBLE) AS {r}' for r, c in _CUES.items())} FROM turns GROUP BY 1, 2",
-    "rule_offsets": f"""WITH f AS ({' UNION ALL '.join(map(_rule_sql, ('email', 'url', 'phone_intl')))}), k AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM f),
+    "rule_offsets": f"""WITH f AS ({' UNION ALL '.join(map(_rule_sql, _RULE_SQL))}), k AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM f),
         s AS (SELECT *, CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS INTEGER) AS start FROM k)
         SELECT conv_id, rule, start, CAST(start + length(m[k]) AS INTEGER) AS "end", m[k] AS surface FROM s""",
     "asof_turns": f"""WITH {_TURNS}, n AS (SELECT conv_id, max(char_start + length(text)) AS n FROM turns GROUP BY 1),
