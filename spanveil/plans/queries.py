@@ -249,7 +249,7 @@ _SOUND = "regexp_replace(lower(n_name), '[ _]', '', 'g')"
 for _a, _b in (x.split(">") for x in "ough>F ph>F gh>K ck>K sch>SK sh>X ch>X tch>X th>0 wr>R kn>N gn>N wh>W qu>KW dg>J ee>I ea>I ie>I ei>I oo>U ou>U aa>A ah>A".split()):
     _SOUND = f"replace({_SOUND}, '{_a}', '{_b}')"
 _SOUND = f"(CASE WHEN regexp_matches({_SOUND}, '^[aeiouyAIU]') THEN 'A' ELSE '' END || translate(regexp_replace({_SOUND}, '[aeiouyhAIU]', '', 'g'), 'bcdfgjklmnpqrstvwxz', 'BKTFKJKLMNPKRSTFW#S'))"
-for _a in "ABFJKLMNPRSTWX0":
+for _a in "ABFJKLMNPRSTWX0123456789":
     _SOUND = f"regexp_replace({_SOUND}, '{_a}+', '{_a}', 'g')"
 _SOUND = f"replace({_SOUND}, '#', 'KS')"
 
