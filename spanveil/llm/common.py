@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.storage import scratch_path
+
+#: Bytes that executors hand Python at once.
+BATCH_BYTES = 2 << 20
 #: Text bytes that one vectorised step handles, save for a single longer text.
 CHUNK_BYTES = 1 << 19
 
@@ -26,19 +29,26 @@ _INV = pow(_MULT, -1, 1 << 64)
 _powers = {1: np.ones(1, U64), -1: np.ones(1, U64)}
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; only where that is unset, in a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spanveil-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/spanveil/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Plans run within hand Python at most about ``size`` bytes at once; a single longer row goes alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared scratch folder and reads it back: lineage ends there, so lost executors cost no recomputation."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
