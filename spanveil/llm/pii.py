@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -67,10 +67,16 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _octet(part: str) -> bool:
+    """Whether digits, however many zeros lead them, say at most 255."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) of the base spans, in order."""
     out = [(s, 0, e) for s, e in _emails(text)]
-    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(_octet(p) for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m[0])) <= 19 and _luhn(d):
             out.append((m.start(), 2, m.end()))
@@ -109,7 +115,9 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append([{"start": s, "kind": k, "end": e} for s, k, e in own])
             entities.append(sorted({_entity(k, text[s:e]) for s, k, e in own}))
             terms.append([{"term": t, "start": a, "end": z} for t, a, z in held_terms(text, own)] if own else [])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, spans_type), pa.array(entities, pa.list_(pa.string())), pa.array(terms, terms_type)], ["doc_id", "spans", "entities", "terms"])
+        more = {"text_sha256": b.column(2)} if b.num_columns > 2 else {}
+        own = {"doc_id": b.column(0), "spans": pa.array(spans, spans_type), "entities": pa.array(entities, pa.list_(pa.string())), "terms": pa.array(terms, terms_type)}
+        yield pa.RecordBatch.from_pydict(own | more)
 
 
 class TermFilter:
@@ -178,37 +186,51 @@ def disclosing_terms(docs: DataFrame, entities: DataFrame, terms: DataFrame, dis
     return pairs.join(known.select("entity", "term"), ["entity", "term"], "left_semi").select("row", "term").distinct()
 
 
-def personal_spans(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+def _text_key() -> Column:
+    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+
+
+def personal_spans(docs: DataFrame, disclosure: float = DISCLOSURE, keyed: bool = False) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base, spans.
 
     ``base`` and ``spans`` are strings of kind:start:end in code points, comma-joined
     by start and then kind (email, ip, card, phone, term); ``spans`` adds the
     terms that disclose an entity of their text.  A null or empty text has no
     spans.  Rows with a null or repeated doc_id are kept and judged singly.  An
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns are ignored.  ``keyed`` adds
+    text_sha256, of which equal texts have one and the same spans.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialise(rows.mapInArrow(_find, _FOUND).withColumn("row", F.monotonically_increasing_id()), "spans")
+    if keyed:
+        rows = rows.withColumn("text_sha256", _text_key())
+    key, kind = (["text_sha256"], ", text_sha256 string") if keyed else ([], "")
+    found = materialise(rows.mapInArrow(_find, _FOUND + kind).withColumn("row", F.monotonically_increasing_id()), "spans")
     some = found.where("size(spans) > 0")
     placed = some.select("row", F.inline("terms"))
     told = disclosing_terms(rows, some.select("row", F.explode("entities").alias("entity")), placed.select("row", "term").distinct(), disclosure)
     terms = placed.where("start >= 0").join(told, ["row", "term"], "left_semi").select("row", F.struct("start", F.lit(len(KINDS)).alias("kind"), "end").alias("span"))
     terms = terms.groupBy("row").agg(F.collect_list("span").alias("terms"))
     # only rows with spans can have terms, so the others need no join
-    plain = found.where("size(spans) = 0").select("doc_id", "spans", F.expr("cast(null as array<struct<start: int, kind: int, end: int>>)").alias("terms"))
-    some = some.drop("terms").join(terms, "row", "left").select("doc_id", "spans", "terms")
+    plain = found.where("size(spans) = 0").select("doc_id", *key, "spans", F.expr("cast(null as array<struct<start: int, kind: int, end: int>>)").alias("terms"))
+    some = some.drop("terms").join(terms, "row", "left").select("doc_id", *key, "spans", "terms")
     out = plain.unionByName(some)
     names = F.array(*[F.lit(k) for k in (*KINDS, "term")])
     joined = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     every = F.concat("spans", F.coalesce("terms", F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)")))
-    return out.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], joined(F.col("spans")).alias("base"), joined(every).alias("spans"))
+    return out.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], joined(F.col("spans")).alias("base"), joined(every).alias("spans"), *key)
 
 
 def sanitise(docs: DataFrame, remove_terms: bool = False, **limits) -> DataFrame:
-    """``docs`` with its own columns and ``sanitised``: each span replaced by its class; with ``remove_terms``, disclosing terms dropped."""
-    spans = personal_spans(docs, **limits).where("spans <> ''").select(F.col("doc_id").alias("span_id"), F.col("spans").alias("span_list")).distinct()
+    """``docs`` with its own columns and ``sanitised``: each span replaced by its class; with ``remove_terms``, disclosing terms dropped.
+
+    Spans belong to a text, whatever its doc_id, which may be null or repeat; the
+    doc_id takes no part.  A null text becomes an empty one, and a column named
+    ``sanitised`` is replaced.
+    """
     general = {**GENERAL, "term": "" if remove_terms else GENERAL["term"]}
+    spans = personal_spans(docs, keyed=True, **limits).where("spans <> ''")
+    spans = spans.groupBy(F.col("text_sha256").alias("__text_key")).agg(F.max("spans").alias("__span_list"))
 
     @F.arrow_udf("string")
     def rewrite(texts: pa.Array, lists: pa.Array) -> pa.Array:
@@ -221,5 +243,5 @@ def sanitise(docs: DataFrame, remove_terms: bool = False, **limits) -> DataFrame
             out.append(text)
         return pa.array(out, pa.string())
 
-    joined = docs.join(spans, docs["doc_id"] == F.col("span_id"), "left")
-    return joined.withColumn("sanitised", rewrite(F.col("text").cast("string"), F.col("span_list"))).drop("span_id", "span_list")
+    joined = docs.withColumn("__text_key", _text_key()).join(spans, "__text_key", "left")
+    return joined.withColumn("sanitised", rewrite(F.col("text").cast("string"), F.col("__span_list"))).drop("__text_key", "__span_list")
