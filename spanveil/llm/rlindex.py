@@ -2,9 +2,11 @@
 
 Every window of ``LENGTH`` bytes belongs to the smallest of the hashes of its
 ``GRAM``-byte grams, its anchor, so equal windows have equal anchors wherever
-they stand.  The windows of one anchor in a row are a segment.  Segments whose
-anchor stands elsewhere meet in one task by the anchor; a run-compressed
-Burrows-Wheeler transform of them, with the text places at both ends of each
+they stand.  The windows of one anchor in a row are a segment.  Segments equal
+in anchor and in the hash of all their bytes (128 bits together) are marked
+whole; they meet by both hashes, so that an anchor of many texts is spread over
+all tasks.  The distinct segments of an anchor meet in one task if they are few;
+a run-compressed Burrows-Wheeler transform of them, with the text places at both ends of each
 run sampled, gives every place's longest match elsewhere: at a sampled place by
 comparison with its neighbour in suffix order, at any other place as one less
 than the place before.  Places that match ``LENGTH`` bytes or more are marked.
@@ -87,100 +89,101 @@ def _merged(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
 
 _SENT = "bucket int, entries binary, row long, lo long, hi long"
 _TOLD = "kind string, row long, lo long, hi long, anchor long, many boolean"
+#: Segments that a sending task gathers before it hands them on.
+SEND_SEGMENTS = 1 << 18
 
 
 def _send(buckets: int):
-    """Segments to their anchor's bucket; of those that repeat in a batch one goes, and all are marked at once."""
+    """Segments to the bucket of both their hashes; of those that repeat in a task's reach one goes, and all are marked at once."""
+
+    def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        row, start, windows, anchor, mark = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((mark, anchor))
+        row, start, windows, anchor, mark = (x[order] for x in (row, start, windows, anchor, mark))
+        new = np.ones(len(row), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (mark[1:] != mark[:-1])
+        first = np.flatnonzero(new)
+        many = np.diff(np.append(first, len(row))) > 1
+        again = np.repeat(many, np.diff(np.append(first, len(row))))
+        own = _merged(row[again], start[again], start[again] + windows[again] - 1 + LENGTH)
+        n = len(own[0])
+        if n:
+            spread = (own[0] % buckets).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(n, pa.binary()), *map(pa.array, own)], ["bucket", "entries", "row", "lo", "hi"])
+        sent = [x[first] for x in (anchor, mark, row.view(_U))] + [(start[first] << 16 | windows[first] << 1 | many).astype(_U)]
+        bucket = (mix(sent[0] ^ mix(sent[1])) % _U(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        table = np.stack(sent)[:, order]
+        full = np.flatnonzero(np.diff(cuts))
+        none = pa.nulls(len(full), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([table[:, cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()), none, none, none], ["bucket", "entries", "row", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            parts = []
             for lo, at, data, offsets in _stretches(batch.column(1)):
                 text, start, windows, anchor, mark = segments(data, offsets)
                 parts.append((ids[lo + text], start + at, windows, anchor, mark))
-            if not parts:
-                continue
-            row, start, windows, anchor, mark = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((mark, anchor))
-            row, start, windows, anchor, mark = (x[order] for x in (row, start, windows, anchor, mark))
-            new = np.ones(len(row), bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (mark[1:] != mark[:-1])
-            first = np.flatnonzero(new)
-            many = np.diff(np.append(first, len(row))) > 1
-            again = np.repeat(many, np.diff(np.append(first, len(row))))
-            own = _merged(row[again], start[again], start[again] + windows[again] - 1 + LENGTH)
-            n = len(own[0])
-            if n:
-                spread = (own[0] % buckets).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(n, pa.binary()), *map(pa.array, own)], ["bucket", "entries", "row", "lo", "hi"])
-            sent = [x[first] for x in (anchor, mark, row.view(_U))] + [(start[first] << 16 | windows[first] << 1 | many).astype(_U)]
-            bucket = (mix(sent[0]) % _U(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            table = np.stack(sent)[:, order]
-            full = np.flatnonzero(np.diff(cuts))
-            none = pa.nulls(len(full), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([table[:, cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()), none, none, none], ["bucket", "entries", "row", "lo", "hi"])
+                if sum(len(p[0]) for p in parts) > SEND_SEGMENTS:
+                    yield from flush(parts)
+                    parts = []
+        if parts:
+            yield from flush(parts)
 
     return run
 
 
-def _tell(most: int):
-    """Which segments repeat whole ("all"), which need an index ("index") and which have too common an anchor ("window")."""
+def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Intervals of segments that repeat whole ("all"), and one of each distinct segment ("one")."""
+    held = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+    def rows(kind: str, row, lo, hi, anchor=None, many=None) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(row), 1 << 18):
+            cut = slice(k, k + (1 << 18))
+            n = len(row[cut])
+            columns = [pa.array([kind] * n, pa.string()), pa.array(row[cut]), pa.array(lo[cut]), pa.array(hi[cut]), pa.nulls(n, pa.int64()) if anchor is None else pa.array(anchor[cut]), pa.nulls(n, pa.bool_()) if many is None else pa.array(many[cut])]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "row", "lo", "hi", "anchor", "many"])
 
-        def rows(kind: str, row, lo, hi, anchor=None, many=None) -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(row), 1 << 18):
-                cut = slice(k, k + (1 << 18))
-                n = len(row[cut])
-                columns = [pa.array([kind] * n, pa.string()), pa.array(row[cut]), pa.array(lo[cut]), pa.array(hi[cut]), pa.nulls(n, pa.int64()) if anchor is None else pa.array(anchor[cut]), pa.nulls(n, pa.bool_()) if many is None else pa.array(many[cut])]
-                yield pa.RecordBatch.from_arrays(columns, ["kind", "row", "lo", "hi", "anchor", "many"])
+    for batch in batches:
+        plain = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+        if plain.any():
+            own = batch.filter(pa.array(plain))
+            yield from rows("all", *(own.column(k).to_numpy() for k in (2, 3, 4)))
+        held += [np.frombuffer(x, _U).reshape(4, -1) for x in batch.column(1).drop_null().to_pylist()]
+    if not held:
+        return
+    anchor, mark, row, place = np.concatenate(held, axis=1)
+    held.clear()
+    order = np.lexsort((mark, anchor))
+    anchor, mark, row, place = anchor[order], mark[order], row[order].view(np.int64), place[order].astype(np.int64)
+    start, windows, many = place >> 16, (place & 0xFFFF) >> 1, (place & 1).astype(bool)
+    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (mark[1:] != mark[:-1])])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(row)))
+    repeated = (size > 1) | np.bitwise_or.reduceat(many, first)
+    all_of = np.repeat(repeated, size) & ~many
+    yield from rows("all", *_merged(row[all_of], start[all_of], (start + windows - 1 + LENGTH)[all_of]))
+    yield from rows("one", row[first], start[first], (start + windows - 1 + LENGTH)[first], anchor[first].view(np.int64), repeated)
 
-        for batch in batches:
-            plain = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            if plain.any():
-                own = batch.filter(pa.array(plain))
-                yield from rows("all", *(own.column(k).to_numpy() for k in (2, 3, 4)))
-            held += [np.frombuffer(x, _U).reshape(4, -1) for x in batch.column(1).drop_null().to_pylist()]
-        if not held:
-            return
-        anchor, mark, row, place = np.concatenate(held, axis=1)
-        held.clear()
-        order = np.lexsort((mark, anchor))
-        anchor, mark, row, place = anchor[order], mark[order], row[order].view(np.int64), place[order].astype(np.int64)
-        start, windows, many = place >> 16, (place & 0xFFFF) >> 1, (place & 1).astype(bool)
-        head = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        new = head.copy()
-        new[1:] |= mark[1:] != mark[:-1]
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(row)))
-        repeated = (size > 1) | np.bitwise_or.reduceat(many, first)
-        all_of = np.repeat(repeated, size) & ~many
-        yield from rows("all", *_merged(row[all_of], start[all_of], (start + windows - 1 + LENGTH)[all_of]))
-        group = np.cumsum(head[first]) - 1
-        distinct = np.bincount(group)[group]
-        for kind, chosen in (("index", (distinct > 1) & (distinct <= most)), ("window", distinct > most)):
-            own = first[chosen]
-            yield from rows(kind, row[own], start[own], (start + windows - 1 + LENGTH)[own], anchor[own].view(np.int64), repeated[chosen])
 
-    return run
+#: Stands between segments and is no byte, so that a match of bytes never crosses it.
+SEPARATOR = 256
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling from eight bytes; only suffixes that still tie are sorted again."""
+    """Suffix array of symbols up to 510, by prefix doubling from seven of them; only suffixes that still tie are sorted again."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(_U)
+    padded = np.concatenate([text.astype(_U) + _U(1), np.zeros(7, _U)])
     key = np.zeros(n, _U)
-    for k in range(8):
-        key = key << _U(8) | padded[k : k + n]
+    for k in range(7):
+        key = key << _U(9) | padded[k : k + n]
     order = np.argsort(key, kind="stable")
     new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    wide = 8
+    wide = 7
     while wide < 2 * n:
         tied = ~new
         tied[:-1] |= ~new[1:]
@@ -226,7 +229,7 @@ class RunLengthIndex:
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common bytes from two places on, compared eight at a time."""
         n = len(self.text)
-        eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([self.text, np.zeros(8, np.uint8)]), 8)
+        eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([self.text, np.zeros(8, self.text.dtype)]), 8)
         out, left = np.zeros(len(a), np.int64), np.arange(len(a))
         while len(left):
             x, y = a[left] + out[left], b[left] + out[left]
@@ -238,7 +241,11 @@ class RunLengthIndex:
 
 def repeated_windows(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each part, the starts of its windows that start anywhere else in the parts too."""
-    text = np.frombuffer(b"\0" + b"\0".join(parts) + b"\0", np.uint8)
+    text = np.full(1 + sum(len(p) + 1 for p in parts), SEPARATOR, np.uint16)
+    at = 1
+    for p in parts:
+        text[at : at + len(p)] = np.frombuffer(p, np.uint8)
+        at += len(p) + 1
     match = RunLengthIndex(text).matching_statistics()
     out, at = [], 1
     for p in parts:
@@ -313,9 +320,13 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = partitions(spark, size // 80, REDUCE_SEGMENTS)
-    told = docs.mapInArrow(_send(buckets), _SENT).repartition(buckets, "bucket").mapInArrow(_tell(ANCHOR_SEGMENTS), _TOLD)
+    told = docs.mapInArrow(_send(buckets), _SENT).repartition(buckets, "bucket").mapInArrow(_tell, _TOLD)
     told = materialise(told, "segments")
-    need = told.where("kind <> 'all'").groupBy("row").agg(F.collect_list(F.struct("kind", "anchor", "lo", "hi", "many")).alias("some"))
+    # counted before they move, so that an anchor of most segments is one row a task
+    shared = told.where("kind = 'one'").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    kind = F.when(F.col("n") <= ANCHOR_SEGMENTS, "index").otherwise("window").alias("kind")
+    need = told.where("kind = 'one'").join(shared, "anchor").select("row", kind, "anchor", "lo", "hi", "many")
+    need = need.groupBy("row").agg(F.collect_list(F.struct("kind", "anchor", "lo", "hi", "many")).alias("some"))
     cut = docs.dropna(subset=["text"]).join(need, "row").select("row", F.col("text").cast("binary").alias("text"), "some")
     cut = materialise(cut.mapInArrow(_cut, "kind string, anchor long, row long, lo long, part binary, many boolean"), "cut")
     indexed = cut.where("kind = 'index'").select("anchor", "row", "lo", "part", "many").repartition(buckets, "anchor").sortWithinPartitions("anchor").mapInArrow(_index, "row long, lo long, hi long")
