@@ -30,8 +30,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the payloads as they stand in the records that the archive gives back; a revisit's is the one it refers to."""
     path = warc.write_archive(_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
-    return warc.read_archive(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back = warc.read_archive(spark, path)
+    heads = F.length("warc_header") + F.length("http_header")
+    inside = F.substring("record", heads + 1, F.length("record") - heads - 4)
+    body = F.when(F.col("record_type") == "response", inside).otherwise(F.col("payload"))
+    return back.select("page_id", F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"), "record_type", "refers_to")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ its payload.  Joined, they give back every original record byte for byte.
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ _CRLF = "\r\n"
 _NO_ID = -(2**63)
 
 
-def _warc_header(kind: Column, page_id: Column, url: Column, sha1: Column, refers_to: Column, block: Column) -> Column:
+def _warc_header(kind: Column, page_id: Column, url: Column, sha1: Column, refers_to: Column, block: Column, date: str) -> Column:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(_CRLF))
     record_id = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     revisit = kind == "revisit"
@@ -25,6 +27,7 @@ def _warc_header(kind: Column, page_id: Column, url: Column, sha1: Column, refer
         F.lit("WARC/1.1" + _CRLF),
         line("WARC-Type", kind),
         line("WARC-Record-ID", record_id(page_id)),
+        line("WARC-Date", F.lit(date)),
         # a line break in a URL would end its header early
         F.coalesce(line("WARC-Target-URI", F.regexp_replace(url, r"[\r\n]", "")), F.lit("")),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + _CRLF)).otherwise(""),
@@ -36,9 +39,11 @@ def _warc_header(kind: Column, page_id: Column, url: Column, sha1: Column, refer
     )
 
 
-def write_archive(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES) -> str:
+def write_archive(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES, date: str | None = None) -> str:
     """Writes ``pages`` (page_id, url, html) to the archive at ``path`` and returns the path.
 
+    ``date`` (UTC, as 2026-01-31T00:00:00Z) is when the records were made: now, if not given.
+
     Of records with equal payloads of at least ``revisit_bytes`` bytes, that
     with the largest page_id is a response and the others revisit it; smaller
     ones are responses.  Null html is an empty payload; a null url leaves its
@@ -47,6 +52,7 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTE
     empty table gives an empty archive.  Payloads move once, to the task that
     keeps their digest; a digest's copies within a task go first.
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
     facts = {"sha256": F.sha2("payload", 256), "sha1": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long"), "rank": F.coalesce("page_id", F.lit(_NO_ID))}
@@ -58,7 +64,7 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTE
     http = F.concat(F.lit("HTTP/1.1 200 OK" + _CRLF + "Content-Type: text/html; charset=utf-8" + _CRLF + "Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(_CRLF * 2))
     heads = heads.withColumns({"record_type": F.when(revisits, "revisit").otherwise("response"), "refers_to": F.when(revisits, F.col("keeper")), "http_header": http})
     block = F.length("http_header") + F.when(revisits, F.lit(0)).otherwise(F.col("payload_bytes"))
-    heads = heads.withColumn("warc_header", _warc_header(F.col("record_type"), F.col("page_id"), F.col("url"), F.col("sha1"), F.col("refers_to"), block))
+    heads = heads.withColumn("warc_header", _warc_header(F.col("record_type"), F.col("page_id"), F.col("url"), F.col("sha1"), F.col("refers_to"), block, date))
     heads.select(
         "page_id", F.col("warc_header").cast("binary").alias("warc_header"), F.col("http_header").cast("binary").alias("http_header"), "sha256", "record_type", "refers_to"
     ).write.parquet(f"{path}/records", compression="zstd")
