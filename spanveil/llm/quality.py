@@ -1,9 +1,9 @@
 """Quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader.
 
-A text's tokens are runs of letters and digits and runs of signs.  Each token
-counts by its lower-cased bytes and by its shape (case, length class, signs),
-shapes also in pairs and triples, and a token that repeats its neighbour or the
-one before counts as such.  The score is the logistic of a sparse dot product
+A text's tokens are runs of letters and digits and runs of signs.  Tokens count
+singly, in pairs and in triples, by their lower-cased bytes and by their shapes
+(case, length class, signs), and a token that repeats its neighbour or the one
+before counts as such.  The score is the logistic of a sparse dot product
 of hashed counts, scaled to unit length.
 """
 
@@ -23,7 +23,9 @@ BITS = 18
 #: Labelled rows the fit takes at most, those of the smallest hashes of doc_id.
 FIT_ROWS = 6000
 FOLDS, HELD = 5, 0
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.3, 1.0
+#: Pairs and triples of words, most of which stand in one text only, count by this share.
+GRAM_SCALE = 0.2
+EPOCHS, ALPHA, BETA, L1, L2 = 5, 0.5, 1.0, 0.3, 1.0
 
 _U = np.uint64
 _WORD = np.zeros(256, bool)
@@ -53,21 +55,25 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     shape = (np.minimum(up, 2) + 3 * (up * 2 > size) + 6 * (dig > 0) + 12 * np.minimum(size // 4, 3)).astype(_U)
     shape = mix(np.where(kind == 1, token, shape) + _U(11))
     parts = [mix(token + _U(1)), mix(shape + _U(2))]
-    texts = [text, text]
+    texts, scales = [text, text], [1.0, 1.0]
     for back in (1, 2):
         same = text[back:] == text[:-back]
         again = same & (token[back:] == token[:-back])
         parts.append(np.full(int(again.sum()), back, _U) + _U(3))
         texts.append(text[back:][again])
-        gram = shape[back:] * _U(31)
-        for k in range(1, back + 1):
-            gram = mix(gram + shape[back - k : len(shape) - k])
-        parts.append(gram[same])
-        texts.append(text[back:][same])
+        scales.append(1.0)
+        for own, salt, scale in ((shape, 31, 1.0), (token, 37, GRAM_SCALE)):
+            gram = own[back:] * _U(salt)
+            for k in range(1, back + 1):
+                gram = mix(gram + own[back - k : len(own) - k])
+            parts.append(gram[same])
+            texts.append(text[back:][same])
+            scales.append(scale)
     column = (np.concatenate(parts) >> _U(64 - BITS)).astype(np.int64)
-    key, value = np.unique(np.concatenate(texts) << BITS | column, return_counts=True)
+    scale = np.repeat(scales, [len(t) for t in texts])
+    key, first, value = np.unique(np.concatenate(texts) << BITS | column, return_index=True, return_counts=True)
     text, column = key >> BITS, key & ((1 << BITS) - 1)
-    value = np.log1p(value)
+    value = np.log1p(value) * scale[first]
     length = np.sqrt(np.bincount(text, value * value, n))
     return text, column, value / length[text]
 
