@@ -4,6 +4,10 @@ The index keeps 16-bit fingerprints in buckets of four slots and, beside each
 fingerprint, the full key: a fingerprint hit is only a hint until the stored
 key confirms it.  Keys can be deleted again; when an insertion finds no room
 after the usual evictions, the table doubles and refills from its stored keys.
+
+Digests that several rows share are verified against content: their texts meet
+in buckets of the digest, the least and the greatest of each task's own first,
+and must be one text.  Texts of single rows never move.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -161,6 +166,21 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield index.batch()
 
 
+def verified(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """``groups`` (digest and others) of which every row's text (lower-cased A-Z) is the same; others stop the job.
+
+    Only texts with such a digest are compared; a task sends the least and the
+    greatest of each digest, so a hot group moves as two texts a task.
+    """
+    low = F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase)
+    own = texts.select(low.alias("low")).withColumn("digest", F.unhex(F.sha2(F.col("low").cast("binary"), 256)))
+    own = own.join(groups.select("digest"), "digest", "left_semi")
+    ends = own.groupBy("digest").agg(F.min("low").alias("least"), F.max("low").alias("greatest"))
+    same = F.when(F.col("least") == F.col("greatest"), True).otherwise(F.raise_error(F.lit("texts of one digest differ")))
+    # an inner join, so that the check is not skipped: each group has its texts
+    return groups.join(ends.select("digest", same.alias("same")), "digest").where("same").drop("same")
+
+
 def exact_dedup(docs: DataFrame, retired: DataFrame | None = None) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -172,8 +192,8 @@ def exact_dedup(docs: DataFrame, retired: DataFrame | None = None) -> DataFrame:
     doc_id is smaller than any other, and such a row stays only where its group
     has no other.  Rows that repeat a doc_id and a text count singly and share
     one decision.  An empty table gives an empty result; other columns are
-    ignored.  A text's bytes reach one Python task at a time; only digests are
-    shuffled.
+    ignored.  A text's bytes reach one Python task at a time; digests are
+    shuffled, and of texts with a shared digest what ``verified`` says.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -182,10 +202,12 @@ def exact_dedup(docs: DataFrame, retired: DataFrame | None = None) -> DataFrame:
     else:
         gone = retired.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("gone")).distinct()
         rows = rows.join(gone, "doc_id", "left").select("doc_id", "text", F.col("gone").isNull().alias("live"))
+    texts = rows.select("text")
     rows = materialise(rows.mapInArrow(_digests, "doc_id long, digest binary, live boolean"), "digests")
     parts = rows.mapInArrow(_combine, _GROUPS)
     n = partitions(spark, rows.count(), REDUCE_KEYS)
-    groups = parts.repartition(n, "digest").mapInArrow(_merge, _GROUPS)
+    groups = materialise(parts.repartition(n, "digest").mapInArrow(_merge, _GROUPS), "groups")
+    groups = groups.where("group_size < 2").unionByName(verified(texts, groups.where("group_size > 1")))
     return rows.join(groups, "digest", "left").select(
         "doc_id",
         F.when(F.col("live"), F.col("keep_id")).alias("keep_id"),
