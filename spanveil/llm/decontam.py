@@ -1,12 +1,18 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
 Texts and items become words (runs of letters and digits, lower-cased) and
-five-word shingles.  A window as long as an item is a candidate where the item's shingles
-it holds have at least the share of the item's weight that the similarity
-demands: the shared weight is at most theirs, so no other window can reach it.  Each candidate gets a 64-bit SimHash of its weighted
-shingles.  Fingerprints within ``RADIUS`` agree in one of ``RADIUS`` + 1 blocks
-at least, so equality of a block finds them all; Hamming distance and then the
-exact weighted Jaccard similarity of the shingles decide.
+five-word shingles.  A window as long as an item is fingerprinted where the
+item's shingles it holds have at least the share of the item's weight that the
+similarity demands: the shared weight is at most theirs, so no other window can
+reach it.  Each such window gets a 64-bit SimHash of its weighted shingles.
+Fingerprints within ``RADIUS`` agree in one of ``RADIUS`` + 1 blocks at least,
+so equality of a block finds them all; Hamming distance and then the exact
+weighted Jaccard similarity of the shingles decide.  At a similarity of 0.75 the
+radius must be wide (fingerprints differ in 11 bits of 64 on average), so the
+blocks are of two or three bits and it is the weight bound that prunes.
+
+Items of under five words have one shingle, so a window is as similar only if it
+is the item: they are met by the hash of the whole window, at any place.
 """
 
 from __future__ import annotations
@@ -65,13 +71,14 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
     n_words count words; of windows of one similarity the first is taken.  Texts
     and items that are null or without words match nothing, as do rows with a
     null id.  A document with fewer words than an item is one window.  Items of
-    under five words match by their whole sequence only where a document is that
-    sequence.  Repeated rows give one result; a doc_id with several texts is
+    under five words match wherever their words stand in a row.  Repeated rows give one result; a doc_id with several texts is
     judged by each.  Empty tables give an empty result; other columns are
     ignored.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("words")).where("item_id is not null and size(words) > 0")
-    items = items.select("item_id", F.size("words").alias("item_words"), F.explode(shingle_hashes("words")).alias("shingle"))
+    items = materialise(items, "item_words")
+    brief = items.where(F.size("words") < SHINGLE)
+    items = items.where(F.size("words") >= SHINGLE).select("item_id", F.size("words").alias("item_words"), F.explode(shingle_hashes("words")).alias("shingle"))
     items = materialise(items.groupBy("item_id", "item_words", "shingle").agg(F.count("*").alias("weight")), "items")
     sizes = items.groupBy("item_id", "item_words").agg(F.sum("weight").alias("item_total"))
     n = items.count()
@@ -114,4 +121,17 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
     both = both.groupBy("item_id", *keys).agg(F.sum(F.least("weight", F.coalesce("item_weight", F.lit(0)))).alias("shared"), F.sum("weight").alias("total"))
     both = both.join(_by_size(weights, n), "item_id").withColumn("similarity", F.col("shared") / (F.col("total") + F.col("item_total") - F.col("shared")))
     best = both.where(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.least("doc_words", "item_words").alias("n_words"))).alias("best"))
-    return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("start"), F.col("best.n_words").alias("n_words"))
+    best = best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("start"), F.col("best.n_words").alias("n_words"))
+    return best.unionByName(_brief_windows(rows, brief))
+
+
+def _brief_windows(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """The first place of each item of under five words in each of ``rows`` (doc_id, words)."""
+    lengths = sorted(r[0] for r in items.select(F.size("words")).distinct().collect())  # one to four
+    marked = items.select("item_id", F.size("words").alias("n_words"), F.xxhash64("words").alias("window"))
+    places = lambda n: F.transform(F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(F.lit(n).alias("n_words"), F.xxhash64(F.slice("words", k + 1, F.lit(n))).alias("window"), k.alias("start")))
+    if not lengths:
+        return rows.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(1.0).alias("similarity"), F.lit(0).alias("start"), F.lit(0).alias("n_words"))
+    each = rows.select("doc_id", F.inline(F.concat(*map(places, lengths))))
+    found = each.join(_by_size(marked, items.count()), ["n_words", "window"])
+    return found.groupBy("doc_id", "item_id").agg(F.lit(1.0).alias("similarity"), F.min("start").alias("start"), F.first("n_words").alias("n_words"))
