@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import duckdb
@@ -45,6 +46,17 @@ def test_exact_dedup_odd_rows(odd_docs):
     assert cuckoo.exact_dedup(odd_docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_stops_where_content_differs(spark):
+    texts = spark.createDataFrame([("a",), ("A",), ("b",)], "text string")
+    sha = lambda s: hashlib.sha256(s).digest()
+    groups = spark.createDataFrame([(bytearray(sha(b"a")), 1, 2)], "digest binary, keep_id long, group_size long")
+    assert cuckoo.verified(texts, groups).count() == 1
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(cuckoo.F, "sha2", lambda c, n: cuckoo.F.lit(sha(b"a").hex()))
+        with pytest.raises(Exception, match="texts of one digest differ"):
+            cuckoo.verified(texts, groups).collect()
+
+
 def test_exact_dedup_retires(spark, odd_docs):
     gone = spark.createDataFrame([(2,)], "doc_id long")
     got = {(r.doc_id, r.text_sha256[:4]): r for r in cuckoo.exact_dedup(odd_docs, gone).collect()}
@@ -61,6 +73,7 @@ def test_warc_round_trip(spark):
     for r in got:
         assert r.payload_bytes == len(r.payload) and r.payload_digest == hashlib.sha1(r.payload).hexdigest()
         head = bytes(r.warc_header).decode()
+        assert re.search(r"WARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r\n", head)
         assert head.startswith("WARC/1.1\r\n") and head.endswith("\r\n\r\n")
         block = bytes(r.record)[len(r.warc_header) : -4]
         assert f"Content-Length: {len(block)}\r\n" in head

@@ -39,15 +39,18 @@ def brute_repeats(docs, length=200):
 
 def test_suffix_order():
     rng = random.Random(1)
-    for text in (b"banana", b"a" * 300, bytes(rng.choice(b"ab") for _ in range(400)), b"\0ab\0ab\0", b"x"):
+    for text in (b"banana", b"a" * 300, bytes(rng.choice(b"ab") for _ in range(400)), b"\0ab\0ab\0", b"x", b"\xff\0\xff\xff\0"):
         assert rlindex.suffix_order(np.frombuffer(text, np.uint8)).tolist() == sorted(range(len(text)), key=lambda k: text[k:])
 
 
 def test_run_length_index_matching_statistics():
     rng = random.Random(2)
-    for _ in range(30):
-        base = bytes(rng.choice(b"abc") for _ in range(40))
-        parts = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(30))) + base[rng.randrange(20) :] for _ in range(5)]
+    one, two = (bytes(rng.choice(b"abcd") for _ in range(30)) for _ in range(2))
+    # a part that holds what two others make with a NUL between them
+    assert [x.tolist() for x in rlindex.repeated_windows([one, two, one[10:] + b"\0" + two[:20]], 12)][2] == [*range(9), *range(21, 30)]
+    for alphabet in (b"abc", b"a\0") * 15:
+        base = bytes(rng.choice(alphabet) for _ in range(40))
+        parts = [bytes(rng.choice(alphabet) for _ in range(rng.randrange(30))) + base[rng.randrange(20) :] for _ in range(5)]
         seen = Counter(p[k : k + 12] for p in parts for k in range(len(p) - 11))
         want = [[k for k in range(len(p) - 11) if seen[p[k : k + 12]] > 1] for p in parts]
         assert [x.tolist() for x in rlindex.repeated_windows(parts, 12)] == want
@@ -111,6 +114,13 @@ def test_decontamination_matches_brute_force(spark):
     assert decontam.contaminated_windows(df.limit(0), bench).count() == 0 and decontam.contaminated_windows(df, bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_within_texts(spark):
+    items = [(1, "capital of France"), (2, "42"), (3, "x y z w"), (4, "one two three four five six")]
+    docs = [(1, "the Capital of france is"), (2, "it is 42, 42"), (3, "x y z"), (4, "x y z w"), (5, ""), (6, None), (7, "one two three four five six")]
+    found = decontam.contaminated_windows(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.similarity, r.start, r.n_words) for r in found} == {(1, 1, 1.0, 1, 3), (2, 2, 1.0, 2, 1), (4, 3, 1.0, 0, 4), (7, 4, 1.0, 0, 6)}
+
+
 def test_decontamination_plan_is_native(spark):
     df = queries.op4_decontamination(spark, SF)
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
@@ -188,6 +198,14 @@ def brute_base(text):
     return sorted(out)
 
 
+def test_pii_long_runs(spark):
+    zeros = "0" * 5000
+    text = f"{zeros}1.2.3.4 and {zeros}9.{zeros}300.1.1 " + "a@b.cc " * 3000
+    spans = pii.base_spans(text)
+    assert spans[0] == (0, 1, 5007) and len(spans) == 3001
+    assert pii.personal_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().n_ip == 1
+
+
 def test_pii_base_matches_patterns(spark):
     rng = random.Random(8)
     pieces = ["a@b.c", "@", ".", "1.2.3.4", "256.1.1.1", "4111 1111-1111 1111", "+1 (555) 222-3333", "x", " ", "-", "12", "é", "..", "%+", "a@b", "0", "+", "1.2.3.4.5.6.7.8"]
@@ -214,6 +232,8 @@ def test_pii_terms_disclose(spark, odd_docs):
     clean = {r.doc_id: r.sanitised for r in pii.sanitise(df.withColumn("spans", df.doc_id)).collect()}
     assert "<TERM> <TERM>" in clean[0] and "<EMAIL>" in clean[0] and "zanzibar" not in clean[0] and clean[7] == dict(docs)[7]
     assert "<TERM>" not in {r.sanitised for r in pii.sanitise(df, remove_terms=True).collect()}.pop()
+    twice = spark.createDataFrame([(None, "mail jo@x.org"), (1, "to ann@yy.org now"), (1, "call +1 555 222 3333"), (1, "call +1 555 222 3333"), (2, None)], "doc_id long, text string").selectExpr("*", "1 as span_id", "2 as span_list")
+    assert sorted(r.sanitised for r in pii.sanitise(twice, disclosure=2.0).collect()) == ["", "call <PHONE>", "call <PHONE>", "mail <EMAIL>", "to <EMAIL> now"]
     assert pii.personal_spans(odd_docs).count() == 10 and pii.personal_spans(odd_docs.limit(0)).count() == 0
 
 
