@@ -44,7 +44,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parity.similar_components(_table(spark, sf_dir, "documents"))
+    return parity.similar_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,31 @@ QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_warc, op4_
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    # every window of 200 bytes, as hex, told apart by its digest
+    "op1_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        s AS (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS k FROM d WHERE length(h) >= 400),
+        m AS (SELECT r, k, md5(substr(h, 2 * k + 1, 400)) AS w FROM s),
+        g AS (SELECT r, k FROM m QUALIFY count(*) OVER (PARTITION BY w) > 1),
+        i AS (SELECT *, CASE WHEN k > lag(k) OVER (PARTITION BY r ORDER BY k) + 200 THEN 1 ELSE 0 END AS new FROM g),
+        j AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM i),
+        u AS (SELECT r, run, min(k) AS lo, max(k) + 200 AS hi FROM j GROUP BY r, run),
+        p AS (SELECT u.r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY u.r ORDER BY lo), 0) AS past FROM u),
+        k AS (SELECT p.r, sum(hi - lo) AS gone, count(*) AS n, string_agg(substr(h, 2 * past + 1, 2 * (lo - past)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept FROM p JOIN d ON d.r = p.r GROUP BY p.r)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM d LEFT JOIN k ON d.r = k.r""",
+    # all pairs of texts with a shingle in common, and what their links reach
+    "op5_parity_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        e AS (SELECT DISTINCT doc_id, md5(CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[k:k + 4], ' ') END) AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS k FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY 1),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+        g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a)
+        SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, coalesce(min(r.b), w.doc_id) AS component_id
+        FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN r ON r.a = w.doc_id GROUP BY w.doc_id""",
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keeper FROM pages)
         SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
