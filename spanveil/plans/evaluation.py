@@ -49,7 +49,7 @@ def read_labelled_table(spark: SparkSession, path: str, rows: int | None = None,
     table = table.orderBy("conv_id").limit(rows) if rows else table
     kind = "array<struct<entity: string, types: array<string>>>"
     found = table.select("conv_id", "text", F.explode(F.from_json(F.translate(F.col("entities").cast("string"), "'", '"'), kind)).alias("e"))
-    places = found.select("conv_id", F.locate(F.col("e.entity"), F.col("text")).alias("at"), F.length("e.entity").alias("n"), F.upper(F.get("e.types", F.lit(0))).alias("entity")).where("at > 0")
+    places = found.select("conv_id", F.expr("locate(e.entity, text)").alias("at"), F.length("e.entity").alias("n"), F.upper(F.get("e.types", F.lit(0))).alias("entity")).where("at > 0")
     gold = places.select("conv_id", F.col("at").alias("ord"), (F.col("at") - 1).cast("int").alias("start"), (F.col("at") - 1 + F.col("n")).cast("int").alias("end"), "entity")
     return loaders.from_turns(table.withColumn("turn", F.lit(0)).withColumn("role", F.lit("SPEAKER_UNKNOWN"))), gold
 

@@ -490,3 +490,40 @@ def test_odd_rows(spark):
     out = Engine(spark).deidentify(loaders.from_turns(table)).collect()
     assert sorted(str(r.conv_id) for r in out) == ["2", "None"] and max(r.stats.turns for r in out) == 2
     assert Engine(spark).deidentify(loaders.from_turns(table.limit(0))).count() == 0
+
+
+def test_synthetic_benchmark(spark, tmp_path):
+    from spanveil.plans import synthetic
+
+    for k in range(12):
+        for spoken in (False, True):
+            c = synthetic.conversation(k, spoken)
+            text = "\n".join(t["text"] for t in c["turns"])
+            assert [text[s["start"] : s["end"]] for s in c["spans"]] and all(text[s["start"] : s["end"]] in {w[spoken] for w in synthetic.SLOTS[next(n for n, (e, _) in synthetic.SLOTS.items() if e == s["entity"])][1]} for s in c["spans"])
+    path = str(tmp_path / "gold")
+    synthetic.conversations(spark, 24).union(synthetic.conversations(spark, 8, negative=True)).write.text(path)
+    turns, gold = evaluation.read_gold(spark, path)
+    texts = loaders.flat_text(turns.drop("language", "known", "overrides")).select("conv_id", "text")
+    results = Engine(spark).deidentify(turns)
+    row = evaluation.benchmark(gold, texts, results).first()
+    assert row.documents == 32 and row.direct_identifier_documents == 24 and row.passed + row.review + row.blocked == 32
+    assert row.retained_direct_surface_documents == 0 and row.passed_with_retained_direct_surface == 0
+    assert row.negative_redacted_character_fraction == 0 and row.latency_ms_p50 <= row.latency_ms_p95 and row.characters_per_second > 0
+    overall = {r["mode"]: r.recall for r in evaluation.score(gold, results)["overall"].collect()}
+    assert overall["untyped_partial"] >= overall["partial"] >= overall["exact"] > 0.6
+
+
+def test_labels_of_models(spark):
+    rows = [("a", 0, 5, "FIRSTNAME", 0.4), ("a", 0, 5, "name", 0.9), ("a", 6, 9, "sex", 0.9), ("a", 9, 12, "phone", 0.5), ("a", 9, 12, "nonsense", 0.5)]
+    found = models.map_labels(spark.createDataFrame(rows, "conv_id string, start int, end int, raw_label string, score double"), Config(), "openmed")
+    assert sorted((r.start, r.entity, r.score) for r in models.best_claims(found).collect()) == [(0, "PERSON_NAME", 0.9), (9, "PHONE", 0.5)]
+
+
+def test_labelled_table_and_word_errors(spark, tmp_path):
+    path = str(tmp_path / "t")
+    entities = "[{'entity': 'Ann', 'types': ['child_name']}, {'entity': 'nowhere', 'types': ['city']}]"
+    spark.createDataFrame([("I am Ann.", entities, "x"), (None, None, "x")], "text string, entities string, domain string").write.parquet(path)
+    turns, gold = evaluation.read_labelled_table(spark, path)
+    assert [(r.start, r.end, r.entity) for r in gold.collect()] == [(5, 8, "CHILD_NAME")] and turns.count() == 1
+    words = spark.createDataFrame([("u", ["my", "name", "is", "nafisa"], ["my", "name", "is", "nafeesa"], [3])], "utt_id string, ref array<string>, hyp array<string>, pii_idx array<int>")
+    assert tuple(evaluation.word_errors(words).first()) == ("u", 1.0, 0.25, 1)
