@@ -6,10 +6,12 @@ item's shingles it holds have at least the share of the item's weight that the
 similarity demands: the shared weight is at most theirs, so no other window can
 reach it.  Each such window gets a 64-bit SimHash of its weighted shingles.
 Fingerprints within ``RADIUS`` agree in one of ``RADIUS`` + 1 blocks at least,
-so equality of a block finds them all; Hamming distance and then the exact
-weighted Jaccard similarity of the shingles decide.  At a similarity of 0.75 the
-radius must be wide (fingerprints differ in 11 bits of 64 on average), so the
-blocks are of two or three bits and it is the weight bound that prunes.
+so a pair with no equal block is out; Hamming distance and then the exact
+weighted Jaccard similarity of the shingles decide.  At a similarity of 0.75
+fingerprints differ in 11 bits of 64 on average, so the radius must be wide and
+the blocks are of two or three bits: as an index they would pair all windows
+with all items of their length.  So pairs come from the shingles, and blocks and
+radius sift them.
 
 Items of under five words have one shingle, so a window is as similar only if it
 is the item: they are met by the hash of the whole window, at any place.
@@ -101,7 +103,7 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
     reach = F.greatest(F.col("item_words") - SHINGLE, F.lit(0))
     starts = kept.select("doc_id", "item_id", "item_words", "item_total", "shingle", "weight", F.explode(F.sequence(F.greatest(F.col("place") - reach, F.lit(0)), F.col("place"))).alias("start"))
     starts = starts.distinct().groupBy("doc_id", "item_id", "item_words", "item_total", "start").agg(F.sum("weight").alias("held"))
-    starts = starts.where(F.col("held") >= similarity * F.col("item_total"))
+    starts = materialise(starts.where(F.col("held") >= similarity * F.col("item_total")).select("doc_id", "item_id", "item_words", "start"), "starts")
     windows = starts.select("doc_id", "item_words", "start").distinct().join(texts, "doc_id")
     span = F.greatest(F.col("item_words") - SHINGLE + 1, F.lit(1))
     # past the end a window would be another's part; the last whole one has those shingles
@@ -111,10 +113,11 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
     parts = windows.select(*keys, F.explode("shingles").alias("shingle")).groupBy(*keys, "shingle").agg(F.count("*").alias("weight"))
     parts = materialise(parts, "windows")
 
-    marks = fingerprints(parts, keys).select(*keys, "fingerprint", F.explode(hamming_blocks(F.col("fingerprint"), radius)).alias("b"))
-    item_marks = fingerprints(items, ["item_id", "item_words"]).select("item_id", "item_words", F.col("fingerprint").alias("item_print"), F.explode(hamming_blocks(F.col("fingerprint"), radius)).alias("b"))
-    near = marks.join(_by_size(item_marks, n), ["item_words", "b"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= radius)
-    near = near.select(*keys, "item_id").distinct()
+    # only pairs that the weight bound allows: those of which a block agrees, then those within the radius
+    marks = fingerprints(parts, keys).join(starts, ["doc_id", "item_words", "start"])
+    item_marks = fingerprints(items, ["item_id"]).select("item_id", F.col("fingerprint").alias("item_print"))
+    near = marks.join(_by_size(item_marks, n), "item_id").where(F.arrays_overlap(hamming_blocks(F.col("fingerprint"), radius), hamming_blocks(F.col("item_print"), radius)))
+    near = near.where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= radius).select(*keys, "item_id").distinct()
 
     both = near.join(parts, keys).join(_by_size(items.select("item_id", "shingle", F.col("weight").alias("item_weight")), n), ["item_id", "shingle"], "left")
     weights = items.groupBy("item_id").agg(F.sum("weight").alias("item_total"))
