@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.storage import scratch_path
 
@@ -52,6 +54,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Hands memory that a task no longer needs back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def partitions(spark: SparkSession, rows: int, each: int) -> int:
     """Enough partitions for ``each`` rows in one, and no fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
@@ -156,3 +166,47 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 def unsigned(h: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(h, np.int64).view(U64)
+
+
+class IdFilter:
+    """Bloom filter of ids with a fixed bound on its size; past that bound it lets more through, and exact joins drop it."""
+
+    MOST_BITS = 1 << 26
+
+    def __init__(self, n: int):
+        self.bits = 1 << max(10, min(self.MOST_BITS, 12 * max(n, 1)).bit_length())
+        self.held = np.zeros(self.bits // 8, np.uint8)
+
+    def _places(self, ids: np.ndarray) -> list[np.ndarray]:
+        h = mix(unsigned(ids))
+        return [((h >> U64(s)) & U64(self.bits - 1)).astype(np.int64) for s in (0, 17, 34)]
+
+    def add(self, ids: np.ndarray) -> None:
+        for p in self._places(ids):
+            np.bitwise_or.at(self.held, p >> 3, (1 << (p & 7)).astype(np.uint8))
+
+    def may_hold(self, ids: np.ndarray) -> np.ndarray:
+        out = np.ones(len(ids), bool)
+        for p in self._places(ids):
+            out &= (self.held[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def id_filter(ids: DataFrame) -> IdFilter:
+    """The filter of a one-column DataFrame; each task sends its own filter, never ids."""
+    n = ids.count()
+    size = IdFilter(n)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = IdFilter(n)
+        for b in batches:
+            own.add(b.column(0).to_numpy())
+        at = np.flatnonzero(own.held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(own.held[at].astype(np.int16), pa.int16())], ["at", "bits"])
+
+    merged = ids.mapInArrow(build, "at long, bits smallint").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    with small_batches(ids.sparkSession):
+        merged = merged.toArrow()
+    for batch in merged.to_batches():
+        size.held[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype(np.uint8)
+    return size

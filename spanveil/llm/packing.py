@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, utf8
+from .common import chunks, materialise, release, utf8
 
 SEQUENCE = 4096
 #: Text bytes whose runs are told apart at once.
@@ -34,6 +34,11 @@ CACHE_WORDS = 500_000
 RANK_ROWS = 1_000_000
 
 
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    """``a`` with room for n at least, doubled where it is too small."""
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
 class WordIds:
     """Token ids of texts, found once for each distinct run between ASCII spaces.
 
@@ -63,6 +68,7 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
+        self.last: tuple[np.ndarray, list[str]] = np.zeros(0, np.int64), []
         self.at: dict[str, int] = {}
         self.part: dict[str, bytes] = {}
         self.flat = np.empty(1 << 16, np.uint32)
@@ -89,22 +95,21 @@ class WordIds:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
         k, total = len(self.at), int(sizes.sum())
         start = int(self.ends[k])
-        while start + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while k + len(new) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat, self.ends = _grown(self.flat, start + total), _grown(self.ends, k + len(new) + 1)
         self.flat[start : start + total] = np.frombuffer(b"".join(lists), np.uint32)
         self.ends[k + 1 : k + 1 + len(new)] = start + np.cumsum(sizes)
         self.at.update(zip(new, range(k, k + len(new)), strict=True))
 
-    def _shrink(self, k: np.ndarray, distinct: list[str]) -> None:
-        """Forgets the runs but ``distinct``, whose places are ``k``."""
+    def shrink(self) -> None:
+        """Forgets the runs but those of the last call."""
+        k, distinct = self.last
         first, size = self.ends[k], self.ends[k + 1] - self.ends[k]
         past = np.cumsum(size)
         flat = self.flat[np.repeat(first - past + size, size) + np.arange(int(size.sum()))]
         self._forget()
         self.flat, self.ends = flat, np.concatenate([[0], past])
         self.at = dict(zip(distinct, range(len(distinct)), strict=True))
+        self.last = np.arange(len(distinct)), distinct
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and their len+1 offsets."""
@@ -120,8 +125,9 @@ class WordIds:
         past = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(first - past[:-1], size) + np.arange(past[-1])]
         counts = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
+        self.last = own, distinct
         if len(self.at) > CACHE_WORDS or len(self.part) > CACHE_WORDS:
-            self._shrink(own, distinct)
+            self.shrink()
         return ids, past[counts]
 
 
@@ -159,6 +165,8 @@ def _pieces(tokenizer: str, end_id: int, sequence: int):
                         for column, x in zip(out, (doc_id, start, length, check, total), strict=True):
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        ids_of.shrink()  # the next task on this worker starts with frequent runs, and other operators' find room
+        release()
 
     return run
 
