@@ -15,13 +15,14 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterator
-from string import ascii_lowercase, ascii_uppercase
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialise, partitions, utf8
+from .common import LOWER, id_filter, materialise, partitions, utf8
 
 #: Live digests that one map-side index gathers before it is handed on.
 MAP_KEYS = 1 << 16
@@ -166,19 +167,47 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield index.batch()
 
 
+def _shared(wanted: Broadcast):
+    """(digest, lower-cased bytes) of texts whose digest may be one that several rows have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = utf8(b.column(0))
+            low = LOWER[data].tobytes()
+            texts = [low[s:e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            found = [hashlib.sha256(t).digest() for t in texts]
+            marks = np.frombuffer(b"".join(d[:8] for d in found), ">i8").astype(np.int64)
+            keep = np.flatnonzero(wanted.value.may_hold(marks)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in keep], pa.binary()) for x in (found, texts)], ["digest", "low"])
+
+    return run
+
+
 def verified(texts: DataFrame, groups: DataFrame) -> DataFrame:
     """``groups`` (digest and others) of which every row's text (lower-cased A-Z) is the same; others stop the job.
 
-    Only texts with such a digest are compared; a task sends the least and the
-    greatest of each digest, so a hot group moves as two texts a task.
+    Only texts that may have such a digest leave their task, and a task sends the
+    least and the greatest of each digest, so a hot group moves as two texts a task.
     """
-    low = F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase)
-    own = texts.select(low.alias("low")).withColumn("digest", F.unhex(F.sha2(F.col("low").cast("binary"), 256)))
-    own = own.join(groups.select("digest"), "digest", "left_semi")
+    mark = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
+    wanted = texts.sparkSession.sparkContext.broadcast(id_filter(groups.select(mark.alias("mark"))))
+    own = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(_shared(wanted), "digest binary, low binary")
     ends = own.groupBy("digest").agg(F.min("low").alias("least"), F.max("low").alias("greatest"))
     same = F.when(F.col("least") == F.col("greatest"), True).otherwise(F.raise_error(F.lit("texts of one digest differ")))
     # an inner join, so that the check is not skipped: each group has its texts
-    return groups.join(ends.select("digest", same.alias("same")), "digest").where("same").drop("same")
+    return groups.join(ends, "digest").withColumn("same", same).where("same").drop("same", "least", "greatest")
+
+
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text with A-Z lower-cased; a null text counts as empty."""
+
+    @F.arrow_udf("binary")
+    def digest(column: pa.Array) -> pa.Array:
+        data, offsets = utf8(column)
+        low = LOWER[data].tobytes()
+        return pa.array([hashlib.sha256(low[s:e]).digest() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
+
+    return digest(text.cast("string"))
 
 
 def exact_dedup(docs: DataFrame, retired: DataFrame | None = None) -> DataFrame:
@@ -207,7 +236,8 @@ def exact_dedup(docs: DataFrame, retired: DataFrame | None = None) -> DataFrame:
     parts = rows.mapInArrow(_combine, _GROUPS)
     n = partitions(spark, rows.count(), REDUCE_KEYS)
     groups = materialise(parts.repartition(n, "digest").mapInArrow(_merge, _GROUPS), "groups")
-    groups = groups.where("group_size < 2").unionByName(verified(texts, groups.where("group_size > 1")))
+    shared = materialise(verified(texts, groups.where("group_size > 1")), "verified")
+    groups = groups.where("group_size < 2").unionByName(shared)
     return rows.join(groups, "digest", "left").select(
         "doc_id",
         F.when(F.col("live"), F.col("keep_id")).alias("keep_id"),

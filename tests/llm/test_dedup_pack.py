@@ -51,8 +51,13 @@ def test_exact_dedup_stops_where_content_differs(spark):
     sha = lambda s: hashlib.sha256(s).digest()
     groups = spark.createDataFrame([(bytearray(sha(b"a")), 1, 2)], "digest binary, keep_id long, group_size long")
     assert cuckoo.verified(texts, groups).count() == 1
+    # a digest that two texts share, as if the hash had failed
+    def same(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sha(b"a")] * len(b), pa.binary()), b.column(0).cast(pa.binary())], ["digest", "low"])
+
     with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(cuckoo.F, "sha2", lambda c, n: cuckoo.F.lit(sha(b"a").hex()))
+        patch.setattr(cuckoo, "_shared", lambda wanted: same)
         with pytest.raises(Exception, match="texts of one digest differ"):
             cuckoo.verified(texts, groups).collect()
 
@@ -175,6 +180,14 @@ def test_packing_ids_of_odd_texts():
     got, at = ids(pa.array(texts, pa.large_string()))
     for k, text in enumerate(texts):
         assert got[at[k] : at[k + 1]].tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids, text
+    # forgetting, also of nothing, changes no ids
+    for some in (texts[:2], [], texts[2:]):
+        ids.shrink()
+        got, at = ids(pa.array(some, pa.large_string()))
+        assert [got[at[k] : at[k + 1]].tolist() for k in range(len(some))] == [ids.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+    ids(pa.array([], pa.large_string()))
+    ids.shrink()
+    assert len(ids(pa.array(["a b"], pa.large_string()))[0]) == 2
 
 
 @pytest.mark.parametrize("histogram", [{10: 1000, 4000: 3}, {1: 9000}, {4096: 5}, {2049: 7, 2047: 7}, {}])
