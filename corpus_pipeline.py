@@ -49,10 +49,9 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A null doc_id ranks below all others.  All empty and null texts are one group.
     """
-    low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda doc_id, sha: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), sha)
     kept = cuckoo.exact_dedup(docs).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias(_KEY)).distinct()
-    named = docs.withColumn(_KEY, key(F.col("doc_id"), F.sha2(low.cast("binary"), 256)))
+    named = docs.withColumn(_KEY, key(F.col("doc_id"), F.lower(F.hex(cuckoo.text_digest(F.col("text"))))))
     return named.join(kept, _KEY, "left_semi").dropDuplicates([_KEY]).drop(_KEY)
 
 
