@@ -17,13 +17,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 #: Share of the entity's information from which a term discloses it.
 DISCLOSURE = 0.9
@@ -120,45 +118,26 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(own | more)
 
 
-class TermFilter:
-    """Fixed-size bit set of term hashes: lets other terms through as it fills, never holds a wanted one back."""
+#: Distinct terms that a task counts before it hands their counts on.
+COUNT_TERMS = 1 << 18
 
-    BITS = 1 << 24
 
-    def __init__(self):
-        self.held = np.zeros(self.BITS, bool)
+def _count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, texts that hold it), summed in each task; rows grow as the texts do."""
+    counts: Counter[str] = Counter()
 
-    @staticmethod
-    def place(term: str) -> int:
-        """Spark's xxhash64 of the term, cut to the bits."""
-        return xxhash.xxh64_intdigest(term.encode(), 42) & (TermFilter.BITS - 1)
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n_texts"])
 
-
-def _count_texts(places):
-    """(term, texts that hold it) of the terms at wanted places, summed in each task in bounded batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(np.frombuffer(places.value, np.uint8)).astype(bool)
-        known: dict[str, bool] = {}
-        counts: Counter[str] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n_texts"])
-
-        for b in batches:
-            for text in b.column(0):
-                found = {t.lower() for t in set(TERM.findall(text.as_py() or ""))}
-                if len(known) > 400_000:
-                    known = {}
-                for t in found.difference(known):
-                    known[t] = bool(held[TermFilter.place(t)])
-                counts.update(t for t in found if known[t])
-            if len(counts) > 1 << 17:
+    for b in batches:
+        for text in b.column(0):
+            counts.update({t.lower() for t in set(TERM.findall(text.as_py() or ""))})
+            if len(counts) > COUNT_TERMS:
                 yield out()
-                counts = Counter()
-        yield out()
-
-    return run
+                counts.clear()
+    yield out()
+    counts.clear()
+    release()
 
 
 def disclosing_terms(docs: DataFrame, entities: DataFrame, terms: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -167,14 +146,8 @@ def disclosing_terms(docs: DataFrame, entities: DataFrame, terms: DataFrame, dis
     ``entities`` (row, entity) and ``terms`` (row, term) have each entity of a
     row, and each term of the rows with entities, once.
     """
-    spark = docs.sparkSession
-    held = TermFilter()
-    place = F.xxhash64("term").bitwiseAND(F.lit(TermFilter.BITS - 1)).cast("int")
-    for batch in terms.select(place.alias("at")).distinct().toArrow().to_batches():
-        held.held[batch.column(0).to_numpy()] = True
-    places = spark.sparkContext.broadcast(np.packbits(held.held).tobytes())
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    counts = texts.mapInArrow(_count_texts(places), "term string, n_texts long").groupBy("term").agg(F.sum("n_texts").alias("n_texts"))
+    counts = texts.mapInArrow(_count_texts, "term string, n_texts long").groupBy("term").agg(F.sum("n_texts").alias("n_texts"))
     total = docs.count()
     alone = F.least(F.lit(0.5), F.col("n_entity") / F.lit(float(max(total, 2))))
     # p(e|t) is at most n(e) / n(t), so terms of many more texts than any entity of the row has disclose none
