@@ -105,6 +105,7 @@ def sounds_like(a: str, b: str) -> bool:
     return bool(x and y) and (x == y or min(len(x), len(y)) >= 4 and edits(x, y, 1) <= 1)
 
 
+@lru_cache(1 << 17)
 def fuzzy(a: str, b: str, threshold: float = 0.82, phonetic: bool = True) -> str | None:
     """How two strings match: exact, fuzzy, phonetic or not at all."""
     a, b = normalize(a), normalize(b)

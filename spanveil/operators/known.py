@@ -117,10 +117,12 @@ class Known:
         self.threshold, self.least = float(spec.get("fuzzy_threshold", 0.82)), int(spec.get("min_token_len", 3))
         self.values = expanded(pairs)
         self.said = [v for v in self.values if v.entity in DICTATED]
-        self.starts: dict[str, list[Value]] = {}
-        for v in self.values:
+        # values by what they may start with, people's names apart: numbers of the values
+        self.starts: dict[str, dict[bool, list[int]]] = {}
+        for k, v in enumerate(self.values):
             for start in {v.tokens[0], "".join(v.tokens[:2])}:
-                self.starts.setdefault(start, []).append(v)
+                self.starts.setdefault(start, {}).setdefault(v.entity.endswith("_NAME"), []).append(k)
+        self.pair_sizes = {len(v.tokens[0]) + d for v in self.values for d in range(-2, 3)}
         self.index = Index(self.starts, self.threshold if self.fuzzy else 1.0, self.fuzzy and self.phonetic)
 
     def compare(self, want: str, got: str, merged: bool = False, named: bool = False) -> str | None:
@@ -154,18 +156,25 @@ class Known:
         return None
 
     def _candidates(self, tokens: list[str]) -> dict[int, set[int]]:
-        """Places where each value (by number) may start."""
-        number = {id(v): k for k, v in enumerate(self.values)}
+        """Places where each value (by number) may start: where its first word, or its first two, match a word there, or its first word two."""
         out: dict[int, set[int]] = {}
-        places: dict[str, list[int]] = {}
+        alone: dict[str, list[int]] = {}
+        joined: dict[str, list[int]] = {}
         for t, token in enumerate(tokens):
-            places.setdefault(token, []).append(t)
+            alone.setdefault(token, []).append(t)
             if t + 1 < len(tokens):
-                places.setdefault(token + tokens[t + 1], []).append(t)
-        for form, where in places.items():
-            for start in self.index.near(form):
-                for v in self.starts[start]:
-                    out.setdefault(number[id(v)], set()).update(where)
+                joined.setdefault(token + tokens[t + 1], []).append(t)
+        for forms, merged in ((alone, False), (joined, True)):
+            for form, where in forms.items():
+                if merged and len(form) not in self.pair_sizes:
+                    continue
+                for start in self.index.near(form):
+                    if merged and abs(len(form) - len(start)) > 2:
+                        continue
+                    for named, numbers in self.starts[start].items():
+                        if self.compare(start, form, merged, named):
+                            for k in numbers:
+                                out.setdefault(k, set()).update(where)
         return out
 
     def claims(self, text: str) -> list[Claim]:
