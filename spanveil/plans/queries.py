@@ -298,6 +298,14 @@ ORACLE_SQL = {
     "exact_match_metrics": f"""WITH {_GOLD}, a AS (SELECT conv_id, entity, start, "end", count(*) AS n FROM g GROUP BY ALL), b AS (SELECT conv_id, entity, start, "end", count(*) AS m FROM p GROUP BY ALL),
         t AS (SELECT entity, CASE entity WHEN 'CITY' THEN 'quasi' ELSE 'direct' END AS tier, least(coalesce(n, 0), coalesce(m, 0)) AS tp, greatest(coalesce(m, 0) - coalesce(n, 0), 0) AS fp, greatest(coalesce(n, 0) - coalesce(m, 0), 0) AS fn
             FROM a FULL JOIN b USING (conv_id, entity, start, "end")), {_RATES}""",
+    # spans of one length in order of their starts: the first free one that overlaps is the next that does not end too early
+    "partial_match_metrics": f"""WITH RECURSIVE {_GOLD}, a AS (SELECT conv_id, entity, list(start ORDER BY start) AS gs FROM g GROUP BY ALL), b AS (SELECT conv_id, entity, list(start ORDER BY start) AS ps FROM p GROUP BY ALL),
+        z AS (SELECT conv_id, entity, coalesce(gs, []) AS gs, coalesce(ps, []) AS ps FROM a FULL JOIN b USING (conv_id, entity)),
+        s AS (SELECT conv_id, entity, 1 AS i, 1 AS j, 0 AS tp FROM z UNION ALL
+            SELECT conv_id, entity, i + CASE WHEN ps[j] + 5 <= gs[i] THEN 0 ELSE 1 END, j + CASE WHEN gs[i] + 5 <= ps[j] THEN 0 ELSE 1 END, tp + CASE WHEN ps[j] + 5 <= gs[i] OR gs[i] + 5 <= ps[j] THEN 0 ELSE 1 END
+            FROM s JOIN z USING (conv_id, entity) WHERE i <= len(gs) AND j <= len(ps)),
+        m AS (SELECT conv_id, entity, max(tp) AS tp FROM s GROUP BY ALL),
+        t AS (SELECT entity, CASE entity WHEN 'CITY' THEN 'quasi' ELSE 'direct' END AS tier, tp, len(ps) - tp AS fp, len(gs) - tp AS fn FROM m JOIN z USING (conv_id, entity)), {_RATES}""",
     "latency_percentiles": "WITH v AS (SELECT event_type, list_sort(list(value)) AS l FROM events GROUP BY 1) SELECT event_type, l[CAST(floor((len(l) - 1) * 0.5) AS INTEGER) + 1] AS p50, l[CAST(floor((len(l) - 1) * 0.95) AS INTEGER) + 1] AS p95 FROM v",
     "age_buckets": "SELECT printf('<AGE_%d_%d>', CAST(l_quantity AS INTEGER) // 3 * 3, CAST(l_quantity AS INTEGER) // 3 * 3 + 2) AS bucket, count(*) AS n FROM lineitem GROUP BY 1",
     "dayparts": """WITH h AS (SELECT CASE WHEN hour(ts) <= 7 THEN hour(ts) + 12 ELSE hour(ts) END AS h FROM events)
