@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import shlex
+from bisect import bisect_left, bisect_right
 
 from ..plans.policy import Config
 from .resolve import Span
@@ -44,9 +45,11 @@ def plan(turns: list[dict], spans: list[Span], config: Config) -> list[dict]:
         raise ValueError("audio padding must be finite and not negative")
     if not config.get("audio.enabled", True) or not has_timings(turns):
         return []
-    words, out = _timed(turns), []
+    words, out = _timed(turns), []  # in order, and none overlaps the next
+    starts, ends = [w["char_start"] for w in words], [w["char_end"] for w in words]
     for s in spans:
-        own = [w for w in words if w["char_start"] < s.end and w["char_end"] > s.start and w["start"] is not None and w["end"] is not None] if s.action != "keep" else []
+        under = words[bisect_right(ends, s.start) : bisect_left(starts, s.end)] if s.action != "keep" else []
+        own = [w for w in under if w["start"] is not None and w["end"] is not None]
         if own:
             start, end = max(0.0, min(w["start"] for w in own) - pad), max(w["end"] for w in own) + pad
             out.append({"start": round(start, 3), "end": round(end, 3), "entity": s.entity, "action": s.action, "mode": config.get("audio.mode", "mute"), "turn_index": s.turn, "words": len(own)})

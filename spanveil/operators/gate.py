@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 from ..functions.lexicon import STOP_CAPS
 from ..functions.plain import normalize
@@ -52,8 +53,10 @@ def residual_checks(claims: list[Claim], sanitized: str, config: Config) -> list
     """What detectors still claim in the output, outside placeholders and known values."""
     out, direct = [], 0
     safe = [m.span() for m in PLACEHOLDER.finditer(sanitized)]
+    starts = [lo for lo, _ in safe]
     for c in claims:
-        if c.value is not None or c.score < config.threshold(c.entity) or any(lo <= c.start and c.end <= hi for lo, hi in safe):
+        k = bisect_right(starts, c.start) - 1
+        if c.value is not None or c.score < config.threshold(c.entity) or k >= 0 and c.end <= safe[k][1]:
             continue
         if config.policy(c.entity).tier == "direct":
             direct += 1
@@ -94,7 +97,10 @@ def span_checks(turns: list[dict], text: str, spans: list[Span], config: Config)
     words = [w for t in turns for w in t.get("words") or ()]
     if not words:
         return out
-    sure = [w["conf"] for w in words if w["conf"] is not None and any(w["char_start"] < s.end and w["char_end"] > s.start for s in spans)]
+    under = bytearray(len(text))
+    for s in spans:
+        under[s.start : s.end] = b"\1" * (s.end - s.start)
+    sure = [w["conf"] for w in words if w["conf"] is not None and w["char_start"] >= 0 and any(under[w["char_start"] : w["char_end"]])]
     least = float(config.get("qa.min_asr_confidence", 0.5))
     low = sum(c < least for c in sure)
     if low:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import time
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -97,8 +98,11 @@ class Worker:
         self.values = values
 
     def _found(self, text: str, turns: list[dict]) -> list[Claim]:
+        starts = [t["char_start"] for t in turns]
+
         def role_at(at: int) -> str | None:
-            return next((t["role"] for t in turns if t["char_start"] <= at <= t["char_end"]), None)
+            t = turns[max(0, bisect_right(starts, at) - 1)] if turns else None
+            return t["role"] if t and t["char_start"] <= at <= t["char_end"] else None
 
         out = []
         for find in self.finders:
