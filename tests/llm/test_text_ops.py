@@ -263,3 +263,26 @@ def test_decontamination_of_items_that_repeat_a_phrase(spark):
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
     got = {(r.doc_id, r.similarity, r.start) for r in decontam.contaminated_windows(*frames).collect()}
     assert got == {(1, 32 / 40, 26), (2, 1.0, 0)}
+
+
+def test_pii_terms_match_brute_force(spark):
+    import math
+
+    docs = rows_of("documents", "doc_id, text")
+    held = {d: {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t or "")} for d, t in docs}
+    n_texts = Counter(w for own in held.values() for w in own)
+    surface = lambda k, s: s.lower() if k == 0 else s if k == 1 else re.sub("[^0-9]", "", s)
+    entities = {d: {(k, surface(k, t[s:e])) for s, k, e in brute_base(t or "")} for d, t in docs}
+    n_entity = Counter(e for own in entities.values() for e in own)
+    n_both = Counter((e, w) for d, own in entities.items() for e in own for w in held[d])
+    tells = lambda e, w: 1 - math.log(min(1, n_both[e, w] / n_texts[w])) / math.log(min(0.5, n_entity[e] / len(docs))) >= 0.9 - 1e-12
+    got = {r.doc_id: r.spans for r in pii.personal_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = 0
+    for d, t in docs:
+        base = brute_base(t or "")
+        told = {w for w in held[d] if any(tells(e, w) for e in entities[d])}
+        terms = [(m.start(), 4, m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t or "") if m[0].lower() in told and not any(s < m.end() and m.start() < e for s, _, e in base)]
+        found += len(terms)
+        want = ",".join(f"{(*pii.KINDS, 'term')[k]}:{s}:{e}" for s, k, e in sorted(base + terms))
+        assert got[d] == want, d
+    assert found > 1000
