@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, chunks, mix, prefix_hash, range_hash, runs, utf8
 
-BITS = 18
+BITS = 19
 #: Labelled rows the fit takes at most, those of the smallest hashes of doc_id.
 FIT_ROWS = 6000
 FOLDS, HELD = 5, 0
@@ -55,25 +55,26 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     shape = (np.minimum(up, 2) + 3 * (up * 2 > size) + 6 * (dig > 0) + 12 * np.minimum(size // 4, 3)).astype(_U)
     shape = mix(np.where(kind == 1, token, shape) + _U(11))
     parts = [mix(token + _U(1)), mix(shape + _U(2))]
-    texts, scales = [text, text], [1.0, 1.0]
+    texts, lights = [text, text], [0, 0]
     for back in (1, 2):
         same = text[back:] == text[:-back]
         again = same & (token[back:] == token[:-back])
         parts.append(np.full(int(again.sum()), back, _U) + _U(3))
         texts.append(text[back:][again])
-        scales.append(1.0)
-        for own, salt, scale in ((shape, 31, 1.0), (token, 37, GRAM_SCALE)):
+        lights.append(0)
+        for own, salt, light in ((shape, 31, 0), (token, 37, 1)):
             gram = own[back:] * _U(salt)
             for k in range(1, back + 1):
                 gram = mix(gram + own[back - k : len(own) - k])
             parts.append(gram[same])
             texts.append(text[back:][same])
-            scales.append(scale)
+            lights.append(light)
     column = (np.concatenate(parts) >> _U(64 - BITS)).astype(np.int64)
-    scale = np.repeat(scales, [len(t) for t in texts])
-    key, first, value = np.unique(np.concatenate(texts) << BITS | column, return_index=True, return_counts=True)
+    # odd columns are for pairs and triples of words, which count less
+    column = column & ~1 | np.repeat(np.array(lights), [len(t) for t in texts])
+    key, value = np.unique(np.concatenate(texts) << BITS | column, return_counts=True)
     text, column = key >> BITS, key & ((1 << BITS) - 1)
-    value = np.log1p(value) * scale[first]
+    value = np.log1p(value) * np.where(column & 1, GRAM_SCALE, 1.0)
     length = np.sqrt(np.bincount(text, value * value, n))
     return text, column, value / length[text]
 
