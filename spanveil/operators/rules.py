@@ -75,6 +75,40 @@ NOT_SCHOOL = re.compile(r"(?i)(?:the|a|an|my|our|his|her|school|bed|sleep|work)\
 Verdict = tuple[str, float, int] | None  # entity, score and end, or dropped
 
 
+class _Runs:
+    """Finds ``\\b[\\w and signs]+`` and then a pattern that starts with none of them.
+
+    A run is entered once, not at each of its words: where the pattern fails
+    after it, it fails from every place in it.
+    """
+
+    def __init__(self, signs: str, rest: re.Pattern):
+        self.run, self.rest = re.compile(rf"[\w{re.escape(signs)}]++"), rest
+
+    def finditer(self, text: str) -> Iterator[_Met]:
+        at = 0
+        while run := self.run.search(text, at):
+            lo, at = run.span()
+            # right after a word, which only a match before leaves, a sign is a start too
+            after_word = lo > 0 and _WORD_CHAR.match(text, lo - 1)
+            first = run if after_word else _WORD_CHAR.search(text, lo, at)
+            if first and (met := self.rest.match(text, at)):
+                at = met.end()
+                yield _Met(first.start(), at)
+
+
+_WORD_CHAR = re.compile(r"\w")
+
+
+@dataclass(slots=True)
+class _Met:
+    first: int
+    past: int
+
+    def span(self, group: int = 0) -> tuple[int, int]:
+        return self.first, self.past
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -85,13 +119,15 @@ class Rule:
     value: bool = False
     check: Callable[[str, int, int, str, float], Verdict] | None = None
     ignore_case: bool = True
-    find: re.Pattern = field(init=False, compare=False)
+    signs: str = ""  # a run of word characters and these comes before the pattern
+    find: re.Pattern | _Runs = field(init=False, compare=False)
 
     def __post_init__(self):
-        object.__setattr__(self, "find", re.compile(self.pattern, re.I if self.ignore_case else 0))
+        pattern = re.compile(self.pattern, re.I if self.ignore_case else 0)
+        object.__setattr__(self, "find", _Runs(self.signs, pattern) if self.signs else pattern)
 
     def __reduce__(self):
-        return Rule, (self.name, self.entity, self.score, self.pattern, self.needs, self.value, self.check, self.ignore_case)
+        return Rule, (self.name, self.entity, self.score, self.pattern, self.needs, self.value, self.check, self.ignore_case, self.signs)
 
 
 def _before(text: str, at: int, size: int, words: str) -> bool:
@@ -161,9 +197,10 @@ def _city(text, lo, hi, entity, score):
     return entity, score, lo + words[0].end() if normalize(words[-1][0]) in AFTER_PLACE and len(words) == 2 else hi
 
 
+#: Name, entity, score and pattern of each rule.
 RULES = [
-    Rule("email", "EMAIL", 0.99, r"\b[\w.!#$%&'*+/=?^`{|}~-]+@[\w-]+(?:\.[\w-]+)+\b", "@"),
-    Rule("email_spoken", "EMAIL", 0.9, rf"\b[\w.'-]+(?:\s+{SIGN}\s+[\w.'-]+)*\s+at\s+[\w-]+(?:\s+dot\s+[\w-]+)+\b", "dot", check=_said_email),
+    Rule("email", "EMAIL", 0.99, r"@[\w-]+(?:\.[\w-]+)+\b", "@", signs=".!#$%&'*+/=?^`{|}~-"),
+    Rule("email_spoken", "EMAIL", 0.9, rf"(?:\s+{SIGN}\s+[\w.'-]+)*\s+at\s+[\w-]+(?:\s+dot\s+[\w-]+)+\b", "dot", check=_said_email, signs=".'-"),
     Rule("url", "URL", 0.97, r"\b(?:https?://|www\.)[^\s<>\"')]+", "http www."),
     Rule("url_spoken", "URL", 0.85, r"\b(?:www|double\s+u\s+double\s+u\s+double\s+u)\s+dot\s+[\w-]+(?:\s+dot\s+[\w-]+)+\b", "dot"),
     Rule("ipv4", "IP_ADDRESS", 0.97, rf"\b(?:{OCTET}\.){{3}}{OCTET}\b", "0"),
@@ -224,7 +261,7 @@ RULES = [
     Rule("city_lower", "CITY", 0.5, r"\b(?:we|i|they|she|he)\s+(?:live|lives|lived|moved|grew\s+up)\s+(?:in|to|from|near)\s+((?:[\w'-]+)(?:\s+[\w'-]+)?)\b", "live moved grew", True, _city),
     Rule("bus_route", "BUS_ROUTE", 0.7, r"\b(?:(?:the\s+)?(?:number\s+)?\d{1,3}\s+bus|bus\s+(?:number\s+)?\d{1,3}|route\s+\d{1,3})\b", "bus route"),
     Rule("multilingual_spoken_phone", "PHONE", 0.96, rf"(?<!\w){either(NUMBERS_ABROAD)}(?:[ \t,-]+{either(NUMBERS_ABROAD)}){{6,}}(?!\w)"),
-    Rule("multilingual_spoken_email", "EMAIL", 0.96, rf"\b[\w.'-]+(?:[ \t]+{DOTS}[ \t]+[\w.'-]+)*[ \t]+{ATS}[ \t]+[\w-]+(?:[ \t]+{DOTS}[ \t]+[\w-]+)+\b", "dot punto point punkt punt ponto точка"),
+    Rule("multilingual_spoken_email", "EMAIL", 0.96, rf"(?:[ \t]+{DOTS}[ \t]+[\w.'-]+)*[ \t]+{ATS}[ \t]+[\w-]+(?:[ \t]+{DOTS}[ \t]+[\w-]+)+\b", "dot punto point punkt punt ponto точка", signs=".'-"),
     Rule("spoken_initial_name", "PERSON_NAME", 0.92, r"\b(?:doctor|dr|mister|mr|miss|ms|mrs|professor)[ \t]+[a-z][ \t]+[a-z]{2,20}\b", "do dr mi mr ms pro"),
     Rule("multilingual_titled_name", "PERSON_NAME", 0.9, rf"\b(?:(?:la|el|le|il|lo|a|o)[ \t]+)?{TITLES_ABROAD}[ \t]+{NAME_ABROAD}(?:[ \t]+{NAME_ABROAD}){{0,2}}", "señor senyor doctor madame monsieur docteur frau herr doktor maestr dottor juf meester dokter doutor professora"),
 ]

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from hypothesis import given
@@ -105,6 +106,17 @@ def test_rules_leave(text):
     assert not entities(text)
 
 
+def test_runs_before_a_sign_are_entered_once():
+    rng = random.Random(2)
+    own = next(r for r in rules.RULES if r.name == "email")
+    plain = re.compile(r"\b[\w.!#$%&'*+/=?^`{|}~-]+@[\w-]+(?:\.[\w-]+)+\b", re.I)
+    pieces = ["a", "é", "'", ".", "-", "@", "@", "x.y", " ", "b@c.d", "!", "+", ",", "<"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(14)))
+        assert [(c.start, c.end) for c in rules.scan(text, [own])] == [m.span() for m in plain.finditer(text)], text
+    assert len(list(rules.scan("a." * 100_000 + " b@c.de at x dot com", rules.RULES))) >= 1
+
+
 def test_rules_as_table(spark):
     convs = spark.createDataFrame([("0", "mail jo@x.org"), ("1", None), ("2", ""), ("3", "x" * 200_000 + " 12/03/2016")], "conv_id string, text string")
     got = {(r.conv_id, r.raw_label, r.surface) for r in rules.detect_rules(convs, [{"name": "x", "pattern": "mail", "entity": "SECRET"}]).collect()}
