@@ -203,14 +203,18 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
 
 
 class RunLengthIndex:
-    """Run-compressed transform of a text with the places at both ends of each run, and their neighbours in suffix order."""
+    """The runs of a text's Burrows-Wheeler transform: the text places at both ends of each run, and their neighbours in suffix order.
+
+    Within a run the place before each has the same symbol as its neighbour's, so
+    its match there is one longer: only the ends of runs need be compared.
+    """
 
     def __init__(self, text: np.ndarray):
         order = suffix_order(text)
         bwt = text[order - 1]
         change = np.flatnonzero(bwt[1:] != bwt[:-1]) + 1
         head, tail = np.append(0, change), np.append(change, len(bwt)) - 1
-        self.text, self.symbols, self.lengths = text, bwt[head], np.diff(np.append(head, len(bwt)))
+        self.text = text
         self.sampled, self.neighbour = [], []
         for end, step in ((head, -1), (tail, 1)):
             end = end[(end + step >= 0) & (end + step < len(order))]
