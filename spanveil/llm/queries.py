@@ -86,6 +86,19 @@ ORACLE_SQL = {
         k AS (SELECT p.r, sum(hi - lo) AS gone, count(*) AS n, string_agg(substr(h, 2 * past + 1, 2 * (lo - past)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept FROM p JOIN d ON d.r = p.r GROUP BY p.r)
         SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
         FROM d LEFT JOIN k ON d.r = k.r""",
+    # every window of an item's length in the texts that hold enough of its shingles; all items have five words or more
+    "op4_decontamination": r"""
+        WITH d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+        b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+        dg AS (SELECT doc_id, k - 1 AS place, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d)),
+        ig AS (SELECT item_id, array_to_string(w[k:k + 4], ' ') AS s, count(*) AS weight FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS k FROM b) GROUP BY 1, 2),
+        i AS (SELECT item_id, any_value(len(w)) AS n, any_value(len(w)) - 4 AS total FROM b GROUP BY 1),
+        h AS (SELECT doc_id, item_id, sum(weight) AS held FROM (SELECT DISTINCT doc_id, item_id, s, weight FROM dg JOIN ig USING (s)) GROUP BY 1, 2),
+        p AS (SELECT h.doc_id, h.item_id, i.n, i.total, len(d.w) AS words, unnest(range(0, greatest(len(d.w) - i.n, 0) + 1)) AS start FROM h JOIN i USING (item_id) JOIN d USING (doc_id) WHERE held >= 0.75 * i.total),
+        g AS (SELECT p.doc_id, p.item_id, p.n, p.total, p.words, p.start, dg.s, count(*) AS weight FROM p JOIN dg ON dg.doc_id = p.doc_id AND dg.place BETWEEN p.start AND p.start + p.n - 5 GROUP BY ALL),
+        m AS (SELECT g.doc_id, g.item_id, g.n, g.total, g.words, g.start, sum(g.weight) AS own, sum(least(g.weight, coalesce(ig.weight, 0))) AS shared FROM g LEFT JOIN ig ON ig.item_id = g.item_id AND ig.s = g.s GROUP BY ALL)
+        SELECT doc_id, item_id, shared / (own + total - shared) AS similarity, CAST(start AS INTEGER) AS start, CAST(least(words, n) AS INTEGER) AS n_words
+        FROM m WHERE shared >= 0.75 * (own + total - shared) QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1""",
     # all pairs of texts with a shingle in common, and what their links reach
     "op5_parity_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
