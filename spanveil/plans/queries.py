@@ -187,6 +187,11 @@ def _deidentified(spark, d, **settings):
     return Engine(spark, Config().with_(**settings)).deidentify(_turns(spark, d), _own_known(spark, d))
 
 
+def deid_results(spark, d):
+    """Results without text: how each conversation fared."""
+    return _deidentified(spark, d).select("conv_id", "status", "risk", "stats")
+
+
 def deidentified(spark, d):
     return release_view(_deidentified(spark, d), allow_review=True)
 
