@@ -1,8 +1,9 @@
 """Pattern detector: one pass of all rules over a text, with each rule's own check of what it met.
 
 A rule's pattern may capture the value itself as group 1, after the words that
-announce it.  ``needs`` holds literals of which every match has one, so that a
-text without any skips the rule; "0" stands for a digit.
+announce it.  ``needs`` holds literals of which every match has one, and
+``words`` sets of words of each of which it has one, so that a text without any
+skips the rule; "0" stands for a digit.
 """
 
 from __future__ import annotations
@@ -72,6 +73,17 @@ MAIL_HOSTS = re.compile("(?i)@(?:gmail|yahoo|hotmail|outlook|icloud)")
 NOT_AGE = re.compile(r"\s*(?:o'?clock|am|pm|p\.m|a\.m|minutes?|seconds?|hours?|pounds?|dollars?|percent|times?)")
 NOT_SCHOOL = re.compile(r"(?i)(?:the|a|an|my|our|his|her|school|bed|sleep|work)\b")
 
+#: Words that matches of the patterns above hold whole, for ``Rule.words``.
+W_NUMBER = frozenset(re.findall(r"\w+", (ONES + " " + TENS).replace("?:", "")))
+W_ORDINAL = frozenset(re.findall(r"[a-z]+", ORDINAL.split(")?", 1)[1].replace("?:", "")))
+W_STREET = frozenset(STREETS.replace("gardens?", "garden gardens").split())
+W_SCHOOL = frozenset("school academy college primary secondary nursery preschool pre kindergarten daycare day montessori grammar elementary institute".split())
+W_TEAM = frozenset("fc f united rovers tigers lions eagles hawks sharks dragons warriors panthers wolves bears colts cubs rangers athletic".split())
+W_ABROAD = frozenset(NUMBERS_ABROAD.split())
+W_TITLE = frozenset("doctor dr mister mr miss ms mrs professor".split())
+W_TITLE_ABROAD = frozenset(re.findall(r"\w+", TITLES_ABROAD.replace("?:", "")))
+W_DOT = frozenset({"dot"})
+
 Verdict = tuple[str, float, int] | None  # entity, score and end, or dropped
 
 
@@ -120,6 +132,7 @@ class Rule:
     check: Callable[[str, int, int, str, float], Verdict] | None = None
     ignore_case: bool = True
     signs: str = ""  # a run of word characters and these comes before the pattern
+    words: tuple[frozenset[str], ...] = ()  # of each set a match has a word
     find: re.Pattern | _Runs = field(init=False, compare=False)
 
     def __post_init__(self):
@@ -127,7 +140,7 @@ class Rule:
         object.__setattr__(self, "find", _Runs(self.signs, pattern) if self.signs else pattern)
 
     def __reduce__(self):
-        return Rule, (self.name, self.entity, self.score, self.pattern, self.needs, self.value, self.check, self.ignore_case, self.signs)
+        return Rule, (self.name, self.entity, self.score, self.pattern, self.needs, self.value, self.check, self.ignore_case, self.signs, self.words)
 
 
 def _before(text: str, at: int, size: int, words: str) -> bool:
@@ -200,9 +213,9 @@ def _city(text, lo, hi, entity, score):
 #: Name, entity, score and pattern of each rule.
 RULES = [
     Rule("email", "EMAIL", 0.99, r"@[\w-]+(?:\.[\w-]+)+\b", "@", signs=".!#$%&'*+/=?^`{|}~-"),
-    Rule("email_spoken", "EMAIL", 0.9, rf"(?:\s+{SIGN}\s+[\w.'-]+)*\s+at\s+[\w-]+(?:\s+dot\s+[\w-]+)+\b", "dot", check=_said_email, signs=".'-"),
+    Rule("email_spoken", "EMAIL", 0.9, rf"(?:\s+{SIGN}\s+[\w.'-]+)*\s+at\s+[\w-]+(?:\s+dot\s+[\w-]+)+\b", "dot", check=_said_email, signs=".'-", words=(W_DOT,)),
     Rule("url", "URL", 0.97, r"\b(?:https?://|www\.)[^\s<>\"')]+", "http www."),
-    Rule("url_spoken", "URL", 0.85, r"\b(?:www|double\s+u\s+double\s+u\s+double\s+u)\s+dot\s+[\w-]+(?:\s+dot\s+[\w-]+)+\b", "dot"),
+    Rule("url_spoken", "URL", 0.85, r"\b(?:www|double\s+u\s+double\s+u\s+double\s+u)\s+dot\s+[\w-]+(?:\s+dot\s+[\w-]+)+\b", "dot", words=(W_DOT,)),
     Rule("ipv4", "IP_ADDRESS", 0.97, rf"\b(?:{OCTET}\.){{3}}{OCTET}\b", "0"),
     Rule("ipv6", "IP_ADDRESS", 0.95, r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b", ":"),
     Rule("mac", "MAC_ADDRESS", 0.97, r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", ": -"),
@@ -224,9 +237,9 @@ RULES = [
     Rule("student_id", "STUDENT_ID", 0.9, rf"\b(?:student|pupil|admission|enrol(?:l)?ment|roll|register|upn)\s*{NUMBERED}{IS}\s*([\w-]{{3,20}})\b", "student pupil admission enrol roll register upn", True),
     Rule("account_id", "ACCOUNT_ID", 0.88, rf"\b(?:account|customer|reference|policy|case|member(?:ship)?|order|booking|ticket)\s*(?:id|number|no\.?|#|code){IS}\s*([\w-]{{3,24}})\b", "account customer reference policy case member order booking ticket", True),
     Rule("medical_id", "MEDICAL_ID", 0.88, rf"\b(?:nhs|medicare|medicaid|patient|medical\s*record|mrn|chart|insurance)\s*{NUMBERED}{IS}\s*([\w-]{{3,20}})\b", "nhs medic patient mrn chart insurance", True),
-    Rule("street_full", "STREET_ADDRESS", 0.85, rf"\b(?:{UNIT}\s*\d+[a-z]?\s*,?\s*)?\d{{1,4}}[a-z]?\s+(?:{CAP}\s+){{0,3}}{STREET}\b\.?", "0"),
-    Rule("street_spoken", "STREET_ADDRESS", 0.6, rf"\b{NUMBER}\s+(?:[\w'-]+\s+){{0,2}}{STREET}\b"),
-    Rule("street_named", "STREET_ADDRESS", 0.5, rf"\b(?:{CAP}\s+){{1,3}}(?-i:{either(STREETS.title())})\b", check=_named_street),
+    Rule("street_full", "STREET_ADDRESS", 0.85, rf"\b(?:{UNIT}\s*\d+[a-z]?\s*,?\s*)?\d{{1,4}}[a-z]?\s+(?:{CAP}\s+){{0,3}}{STREET}\b\.?", "0", words=(W_STREET,)),
+    Rule("street_spoken", "STREET_ADDRESS", 0.6, rf"\b{NUMBER}\s+(?:[\w'-]+\s+){{0,2}}{STREET}\b", words=(W_NUMBER, W_STREET,)),
+    Rule("street_named", "STREET_ADDRESS", 0.5, rf"\b(?:{CAP}\s+){{1,3}}(?-i:{either(STREETS.title())})\b", check=_named_street, words=(W_STREET,)),
     Rule("postcode_uk", "POSTCODE", 0.92, r"(?-i:\b[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}\b)", "0"),
     Rule("postcode_us", "POSTCODE", 0.4, r"\b\d{5}(?:-\d{4})?\b", "0", check=_zip),
     Rule("postcode_ca", "POSTCODE", 0.85, r"(?-i:\b[A-Z]\d[A-Z]\s?\d[A-Z]\d\b)", "0"),
@@ -243,43 +256,53 @@ RULES = [
         "birth d o.b born",
         True,
     ),
-    Rule("date_spoken", "PRECISE_DATE", 0.8, rf"\b{DATE_SAID}\b", "of"),
+    Rule("date_spoken", "PRECISE_DATE", 0.8, rf"\b{DATE_SAID}\b", "of", words=(W_ORDINAL,)),
     Rule("time_clock", "PRECISE_TIME", 0.85, rf"\b(?:[01]?\d|2[0-3])[:.][0-5]\d\s?{AMPM}?\b", "0"),
     Rule("time_ampm", "PRECISE_TIME", 0.8, rf"\b(?:1[0-2]|0?[1-9])\s?{AMPM}\b", "0"),
     Rule("time_spoken", "PRECISE_TIME", 0.8, rf"\b{either('quarter half ten twenty five twenty-five')}\s+(?:past|to|after)\s+{either('one two three four five six seven eight nine ten eleven twelve')[:-1]}|\d{{1,2}})\b", "past to after"),
     Rule("age_digit", "EXACT_AGE", 0.7, r"\b(?:(?:i'?m|im|i am|he'?s|she'?s|they'?re|is|was|aged?|turning|turns?)\s+)(\d{1,2})(?![\d/.:-])(?:\s*(?:years?\s*old|yrs?|y/?o))?\b", "0", True, _age),
     Rule("age_years", "EXACT_AGE", 0.9, r"\b(\d{1,2})\s*(?:years?\s*old|yrs?\s*old|y/?o)\b", "0", True),
-    Rule("age_word", "EXACT_AGE", 0.6, rf"\b(?:(?:i'?m|im|i am|he'?s|she'?s|(?:\w+)\s+(?:is|was)|aged?|turning|turns?)\s+)((?:twenty[\s-])?(?:{ONES[3:-1]}|twenty))(?:\s*years?\s*old)?\b", "", True, _age),
+    Rule("age_word", "EXACT_AGE", 0.6, rf"\b(?:(?:i'?m|im|i am|he'?s|she'?s|(?:\w+)\s+(?:is|was)|aged?|turning|turns?)\s+)((?:twenty[\s-])?(?:{ONES[3:-1]}|twenty))(?:\s*years?\s*old)?\b", "", True, _age, words=(W_NUMBER,)),
     Rule("year_group", "CLASS_NAME", 0.6, r"\b(?:year|grade|class|form)\s+(?:\d{1,2}|(?-i:[A-Z])\b|one|two|three|four|five|six)|\breception\s+class\b", "year grade class form"),
-    Rule("school_named", "SCHOOL_NAME", 0.8, rf"(?-i:\b(?:[A-Z][\w'&-]+\s+){{1,4}}(?:{SCHOOLS})\b)"),
+    Rule("school_named", "SCHOOL_NAME", 0.8, rf"(?-i:\b(?:[A-Z][\w'&-]+\s+){{1,4}}(?:{SCHOOLS})\b)", words=(W_SCHOOL,)),
     Rule("school_lower", "SCHOOL_NAME", 0.5, rf"\b(?:at|to|from|in|attends?|enrolled\s+at)\s+((?:[\w'&-]+\s+){{1,3}}{either(SCHOOLS_LOW)})\b", SCHOOLS_LOW, True, _low_school),
     Rule("school_ctx", "SCHOOL_NAME", 0.4, rf"\b(?:goes?\s+to|attends?|starts?\s+at|enrolled\s+(?:at|in)|transferred\s+to)\s+((?:{CAP}\s?){{1,4}})\b", "go attend start enrolled transferred", True, _school_after),
-    Rule("team_named", "SPORTS_TEAM", 0.7, rf"(?-i:\b(?:[A-Z][\w'-]+\s+){{1,2}}(?:{TEAMS})\b)"),
+    Rule("team_named", "SPORTS_TEAM", 0.7, rf"(?-i:\b(?:[A-Z][\w'-]+\s+){{1,2}}(?:{TEAMS})\b)", words=(W_TEAM,)),
     Rule("team_ctx", "SPORTS_TEAM", 0.65, rf"\b(?:under[\s-]?\d{{1,2}}|u\d{{1,2}})s?\s+((?:{CAP}\s?){{1,2}})", "0", True),
     Rule("club_lower", "CLUB_NAME", 0.5, rf"\b(?:at|joins?|joined|goes?\s+to|attends?|plays?\s+for|member\s+of|training\s+at)\s+((?:the\s+)?(?:[\w'-]+\s+){{1,3}}{either(CLUBS)})\b", CLUBS, True),
     Rule("landmark_lower", "LOCAL_LANDMARK", 0.5, rf"\b(?:near|opposite|behind|next\s+to|beside|across\s+from|by)\s+((?:the\s+)?(?:[\w'-]+\s+){{1,3}}{either(LANDMARKS)})\b", LANDMARKS.replace("?", "").replace("gardens", "garden"), True),
     Rule("city_lower", "CITY", 0.5, r"\b(?:we|i|they|she|he)\s+(?:live|lives|lived|moved|grew\s+up)\s+(?:in|to|from|near)\s+((?:[\w'-]+)(?:\s+[\w'-]+)?)\b", "live moved grew", True, _city),
     Rule("bus_route", "BUS_ROUTE", 0.7, r"\b(?:(?:the\s+)?(?:number\s+)?\d{1,3}\s+bus|bus\s+(?:number\s+)?\d{1,3}|route\s+\d{1,3})\b", "bus route"),
-    Rule("multilingual_spoken_phone", "PHONE", 0.96, rf"(?<!\w){either(NUMBERS_ABROAD)}(?:[ \t,-]+{either(NUMBERS_ABROAD)}){{6,}}(?!\w)"),
+    Rule("multilingual_spoken_phone", "PHONE", 0.96, rf"(?<!\w){either(NUMBERS_ABROAD)}(?:[ \t,-]+{either(NUMBERS_ABROAD)}){{6,}}(?!\w)", words=(W_ABROAD,)),
     Rule("multilingual_spoken_email", "EMAIL", 0.96, rf"(?:[ \t]+{DOTS}[ \t]+[\w.'-]+)*[ \t]+{ATS}[ \t]+[\w-]+(?:[ \t]+{DOTS}[ \t]+[\w-]+)+\b", "dot punto point punkt punt ponto точка", signs=".'-"),
-    Rule("spoken_initial_name", "PERSON_NAME", 0.92, r"\b(?:doctor|dr|mister|mr|miss|ms|mrs|professor)[ \t]+[a-z][ \t]+[a-z]{2,20}\b", "do dr mi mr ms pro"),
-    Rule("multilingual_titled_name", "PERSON_NAME", 0.9, rf"\b(?:(?:la|el|le|il|lo|a|o)[ \t]+)?{TITLES_ABROAD}[ \t]+{NAME_ABROAD}(?:[ \t]+{NAME_ABROAD}){{0,2}}", "señor senyor doctor madame monsieur docteur frau herr doktor maestr dottor juf meester dokter doutor professora"),
+    Rule("spoken_initial_name", "PERSON_NAME", 0.92, r"\b(?:doctor|dr|mister|mr|miss|ms|mrs|professor)[ \t]+[a-z][ \t]+[a-z]{2,20}\b", "do dr mi mr ms pro", words=(W_TITLE,)),
+    Rule("multilingual_titled_name", "PERSON_NAME", 0.9, rf"\b(?:(?:la|el|le|il|lo|a|o)[ \t]+)?{TITLES_ABROAD}[ \t]+{NAME_ABROAD}(?:[ \t]+{NAME_ABROAD}){{0,2}}", "señor senyor doctor madame monsieur docteur frau herr doktor maestr dottor juf meester dokter doutor professora", words=(W_TITLE_ABROAD,)),
 ]
 RULE_NAMES = [r.name for r in RULES]
 
 
-def _literals(text: str) -> str:
-    """Letters as a pattern without case takes them."""
-    low = text.casefold()
-    return low if low.isascii() else low.replace("i̇", "i").replace("ı", "i")
+class _Words:
+    """A text's letters as a pattern without case takes them, and its words."""
+
+    def __init__(self, text: str):
+        low = text.casefold()
+        self.low = low if low.isascii() else low.replace("i̇", "i").replace("ı", "i")
+        self.digit = any(map(str.isdecimal, text))
+        self.all = re.findall(r"\w+", self.low)
+        self.distinct = frozenset(self.all)
 
+    def may_meet(self, rule: Rule) -> bool:
+        needs = rule.needs.split()
+        if needs and not any(self.digit if x == "0" else x in self.low for x in needs):
+            return False
+        return not any(self.distinct.isdisjoint(w) for w in rule.words)
 
-def scan(text: str, rules: list[Rule], detector: str = "rules") -> Iterator[Claim]:
+
+def scan(text: str, rules: list[Rule], detector: str = "rules", own: _Words | None = None) -> Iterator[Claim]:
     """Claims of ``rules`` on a text."""
-    low, digit = _literals(text), any(map(str.isdecimal, text))
+    words = own or _Words(text)
     for rule in rules:
-        needs = rule.needs.split()
-        if needs and not any(digit if x == "0" else x in low for x in needs):
+        if not words.may_meet(rule):
             continue
         for m in rule.find.finditer(text):
             own = 1 if rule.value and m.end(1) > m.start(1) else 0
@@ -292,6 +315,7 @@ def scan(text: str, rules: list[Rule], detector: str = "rules") -> Iterator[Clai
 
 
 _DIGIT_RUN = re.compile(rf"\b{DIGIT}(?:[\s,-]+{DIGIT}){{5,}}\b", re.I)
+_DIGIT_SAID = frozenset("zero oh nought naught one two three four five six seven eight nine double triple treble".split())
 _CODE_UNIT = rf"(?:[a-z]|{NUMBER}|hundred|thousand|double|triple|oh|zero|nought|\d{{1,4}})"
 _CODE_RUN = re.compile(rf"\b{_CODE_UNIT}(?:[\s,-]+{_CODE_UNIT}){{4,}}\b", re.I)
 #: Words before a run and what they make of it.
@@ -304,16 +328,19 @@ def _cued(text: str, at: int, size: int, cues: list, otherwise: tuple[str, float
     return next(((entity, score) for cue, entity, score in cues if re.search(cue, before)), otherwise)
 
 
-def spoken_runs(text: str, detector: str = "rules") -> Iterator[Claim]:
+def spoken_runs(text: str, detector: str = "rules", own: _Words | None = None) -> Iterator[Claim]:
     """Numbers dictated digit by digit, and codes spelled letter by letter."""
-    for m in _DIGIT_RUN.finditer(text):
+    said = (own or _Words(text)).all
+    digits = sum(w in _DIGIT_SAID or w.isdigit() for w in said)
+    letters = sum(len(w) == 1 and w.isalpha() for w in said)
+    for m in _DIGIT_RUN.finditer(text) if digits >= 6 else ():
         words = [w for w in re.split(r"[\s,-]+", m[0]) if w]
         digits = len(spoken_digits(words))
         said = sum(w.lower() in DIGIT_WORDS or w.lower() in TIMES_WORDS or w.isdigit() for w in words)
         if said >= 6 and digits >= 6:
             entity, score = _cued(text, m.start(), 32, _RUN_CUES, ("PHONE", 0.8 if digits >= 9 else 0.75))
             yield Claim(m.start(), m.end(), entity, score, detector, "spoken_digits")
-    for m in _CODE_RUN.finditer(text):
+    for m in _CODE_RUN.finditer(text) if letters >= 2 else ():
         words = re.findall(r"\w+", m[0])
         if len(words) >= 5 and sum(len(w) == 1 and w.isalpha() for w in words) >= 2:
             entity, score = _cued(text, m.start(), 60, _CODE_CUES, ("ACCOUNT_ID", 0.6))
@@ -326,7 +353,8 @@ def user_rules(specs: list[dict]) -> list[Rule]:
 
 
 def claims(text: str, extra: list[Rule] = (), detector: str = "rules") -> list[Claim]:
-    return [*scan(text, [*RULES, *extra], detector), *spoken_runs(text, detector)]
+    own = _Words(text)
+    return [*scan(text, [*RULES, *extra], detector, own), *spoken_runs(text, detector, own)]
 
 
 def detections(convs: DataFrame, find: Callable[[str], list[Claim]]) -> DataFrame:

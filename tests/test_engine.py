@@ -539,3 +539,15 @@ def test_labelled_table_and_word_errors(spark, tmp_path):
     assert [(r.start, r.end, r.entity) for r in gold.collect()] == [(5, 8, "CHILD_NAME")] and turns.count() == 1
     words = spark.createDataFrame([("u", ["my", "name", "is", "nafisa"], ["my", "name", "is", "nafeesa"], [3])], "utt_id string, ref array<string>, hyp array<string>, pii_idx array<int>")
     assert tuple(evaluation.word_errors(words).first()) == ("u", 1.0, 0.25, 1)
+
+
+def test_skipped_rules_would_meet_nothing():
+    """Whatever a rule's gates skip, its pattern finds nothing there."""
+    rng = random.Random(12)
+    words = "twenty one first of march 3 12 Oak Street street park the Elm Academy day care Day Care pre-school Hawks F.C. fc uno dos tres cuatro cinco seis siete ocho dr b smith señora Garcia dot at gmail underscore nine years old aged a b c six 07700 900123 post code l s born on DOB ſix Kelvin".split(" ")
+    gates = lambda r: rules.Rule(r.name, r.entity, r.score, r.pattern, "", r.value, r.check, r.ignore_case, r.signs)
+    free = [gates(r) for r in rules.RULES]
+    key = lambda claims: sorted((c.start, c.end, c.entity, c.label) for c in claims)
+    for _ in range(1500):
+        text = rng.choice([" ", " ", ", "]).join(rng.choice(words) for _ in range(rng.randrange(1, 12)))
+        assert key(rules.scan(text, rules.RULES)) == key(rules.scan(text, free)), text
