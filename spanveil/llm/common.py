@@ -46,10 +46,10 @@ def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None
             spark.conf.set(name, before)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, batch: int = BATCH_BYTES) -> DataFrame:
     """Writes ``df`` to the shared scratch folder and reads it back: lineage ends there, so lost executors cost no recomputation."""
     path = scratch_path(df.sparkSession, name)
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession, batch):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

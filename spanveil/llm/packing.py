@@ -27,7 +27,7 @@ from .common import chunks, materialise, release, utf8
 
 SEQUENCE = 4096
 #: Text bytes whose runs are told apart at once.
-WORD_BYTES = 1 << 22
+WORD_BYTES = 1 << 23
 #: Distinct words whose ids a worker remembers.
 CACHE_WORDS = 500_000
 #: Rows of one length that one sorting task should rank.
@@ -256,7 +256,7 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = materialise(rows.mapInArrow(_pieces(tokenizer, end_id, sequence), _PIECES), "pieces")
+    pieces = materialise(rows.mapInArrow(_pieces(tokenizer, end_id, sequence), _PIECES), "pieces", WORD_BYTES)
     # ranks within a length come from ranks within (length, part): a length may hold most pieces
     n = pieces.count()
     parts = max(16, -(-n // RANK_ROWS))
