@@ -22,6 +22,8 @@ from .quality import held_out
 DIMENSIONS = 1024
 #: Distinct trigrams whose vectors are in memory at once.
 BLOCK = 4096
+#: Texts whose trigrams are counted in one table, of so many rows and ``BLOCK`` columns.
+TEXTS = 1024
 UNKNOWN = "und"
 _SPACE = 32
 
@@ -95,8 +97,10 @@ def bundle(letters: Letters, codes: np.ndarray, row: np.ndarray, trigram: np.nda
 
 
 def _parts(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
-    for lo, hi, _, _ in chunks(*utf8(column), 1 << 20):
-        yield lo, hi, [t or "" for t in column[lo:hi].to_pylist()]
+    for first, past, _, _ in chunks(*utf8(column), 1 << 20):
+        for lo in range(first, past, TEXTS):
+            hi = min(lo + TEXTS, past)
+            yield lo, hi, [t or "" for t in column[lo:hi].to_pylist()]
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -139,6 +139,15 @@ def test_language_held_out(spark, odd_docs):
     assert language.identify(odd_docs.limit(0).selectExpr("*", "'a' as lang")).count() == 0
 
 
+def test_language_parts_have_few_texts():
+    import pyarrow as pa
+
+    texts = [None, ""] + [f"t{k}" for k in range(3000)] + ["x" * (1 << 21)] + ["y"] * 5
+    parts = list(language._parts(pa.array(texts)))
+    assert [t for _, _, own in parts for t in own] == [t or "" for t in texts] and max(hi - lo for lo, hi, _ in parts) <= language.TEXTS
+    assert [lo for lo, _, _ in parts] == [0, *(hi for _, hi, _ in parts[:-1])]
+
+
 def test_language_vectors_match_definition():
     texts = ["Ab, c", "", "ééa"]
     codes, row, trigram, count, known = language.trigram_counts(texts)
