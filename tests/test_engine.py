@@ -551,3 +551,15 @@ def test_skipped_rules_would_meet_nothing():
     for _ in range(1500):
         text = rng.choice([" ", " ", ", "]).join(rng.choice(words) for _ in range(rng.randrange(1, 12)))
         assert key(rules.scan(text, rules.RULES)) == key(rules.scan(text, free)), text
+
+
+def test_job_on_a_folder(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "private-person.txt").write_text("KID: hello there.\nMUM: mail jo@x.org")
+    (source / "b.json").write_text('{"text": "KID: see <CHILD_01>", "language": "fr"}')
+    assert main(["run", str(source), "-o", out], spark) == 10
+    rows = {r.status: r for r in spark.read.json(out).collect()}
+    assert rows["passed"].sanitized_text == "hello there.\nmail <EMAIL_01>" and rows["review"].sanitized_text is None
+    assert not any("private-person" in str(r) or "jo@x" in str(r) for r in rows.values())
+    assert main(["run", str(source)], spark) == 2
