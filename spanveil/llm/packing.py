@@ -27,9 +27,9 @@ from .common import chunks, materialise, release, utf8
 
 SEQUENCE = 4096
 #: Text bytes whose runs are told apart at once.
-WORD_BYTES = 1 << 23
+WORD_BYTES = 1 << 22
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Rows of one length that one sorting task should rank.
 RANK_ROWS = 1_000_000
 
@@ -164,6 +164,7 @@ def _pieces(tokenizer: str, end_id: int, sequence: int):
                             check = zlib.crc32(end, check)
                         for column, x in zip(out, (doc_id, start, length, check, total), strict=True):
                             column.append(x)
+            release()
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
         ids_of.shrink()  # the next task on this worker starts with frequent runs, and other operators' find room
         release()
