@@ -174,7 +174,7 @@ def known_value_hits(spark, d):
 def known_value_exact(spark, d):
     """Places where a known value stands exactly, accents and case aside."""
     flat = loaders.flat_text(_turns(spark, d)).select("conv_id", "text")
-    return known.detect_known(flat, _known(spark, d)).where("channel = 'exact'").select("conv_id", "start", "end", "surface")
+    return known.detect_known(flat, _known(spark, d), exact=True).select("conv_id", "start", "end", "surface")
 
 
 def _own_known(spark, d):

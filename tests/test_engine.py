@@ -273,6 +273,38 @@ def test_known_index_loses_nothing():
         assert got == sorted((c.value, c.start, c.end, c.channel) for c in known.claims(text))
 
 
+def _near_known(rng, n=6, letters="aeioubdgkstrn"):
+    """Values of one to four words, and a text of words near to theirs, some split, joined or said again."""
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 13)))
+    values = [(rng.choice(["CHILD_NAME", "SCHOOL_NAME", "HOME_ADDRESS", "EMAIL"]), " ".join(word() for _ in range(rng.choice([1, 1, 1, 2, 4])))) for _ in range(n)]
+    values += [("CHILD_NAME", values[0][1].upper()), ("EMAIL", "jo@x.org"), ("CHILD_NAME", "Mei-Ling")]
+    near = [w for _, v in values for w in v.split()]
+    edit = lambda w: w if rng.random() < 0.5 else (lambda k: w[:k] + rng.choice(["", rng.choice(letters), w[k : k + 1] + " "]) + w[k + 1 :])(rng.randrange(len(w)))
+    text = " ".join(rng.choice(["a ", "", "", "- "]) + edit(rng.choice(near)) if rng.random() < 0.7 else rng.choice(values)[1] if rng.random() < 0.5 else word() for _ in range(60))
+    return values, f"{text} jo at x dot org"
+
+
+def test_exact_known_values_alone(spark):
+    """Found alone, the same exact claims as among all, also where one before them takes their first word."""
+    from spanveil.plans import queries
+
+    rng = random.Random(11)
+    held = 0
+    for _ in range(150):
+        values, text = _near_known(rng)
+        known = Known(values)
+        assert known.exact(text) == [c for c in known.claims(text) if c.channel == "exact"]
+        held += len(known.exact(text))
+    assert held > 500
+    known = Known([("CHILD_NAME", "Ertion")])
+    assert [(c.start, c.channel) for c in known.claims("a ertion")] == [(0, "merged")] and known.exact("a ertion") == []
+    assert len(known.exact("ertion " * 20000)) == 20000
+    sf = "/root/testdata/sf0.01"
+    flat = loaders.flat_text(queries._turns(spark, sf)).select("conv_id", "text")
+    among = detect_known(flat, queries._known(spark, sf)).where("channel = 'exact'").select("conv_id", "start", "end", "surface")
+    assert sorted(queries.known_value_exact(spark, sf).collect()) == sorted(among.collect()) != []
+
+
 def test_known_value_query_takes_every_value(spark):
     from spanveil.plans import queries
 
