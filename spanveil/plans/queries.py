@@ -168,7 +168,7 @@ def _known(spark, d):
 
 def known_value_hits(spark, d):
     flat = loaders.flat_text(_turns(spark, d)).select("conv_id", "text")
-    return known.detect_known(flat, _known(spark, d)).groupBy("entity", "channel").agg(F.count("*").alias("n"))
+    return known.count_known(flat, _known(spark, d))
 
 
 def known_value_exact(spark, d):

@@ -1,6 +1,7 @@
 import json
 import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given
@@ -13,7 +14,7 @@ from spanveil.job import main
 from spanveil.operators import audio, evaluate, intervals, models, resolve, roles, rules
 from spanveil.operators.claims import Claim
 from spanveil.operators.context import Context, detect_context
-from spanveil.operators.known import Known, detect_known
+from spanveil.operators.known import Known, Tally, count_known, detect_known
 from spanveil.plans import evaluation
 from spanveil.plans.engine import Engine
 from spanveil.plans.policy import TAXONOMY, Config, register
@@ -305,6 +306,29 @@ def test_exact_known_values_alone(spark):
     assert sorted(queries.known_value_exact(spark, sf).collect()) == sorted(among.collect()) != []
 
 
+def test_known_values_counted_without_claims(spark):
+    """As many by entity and channel as there are claims, with any settings, and the same in the query."""
+    from spanveil.plans import queries
+
+    rng = random.Random(13)
+    met = set()
+    for k in range(200):
+        values, text = _near_known(rng, 12, "aeoubdgkstrn" if k % 2 else "aeidtn")
+        spec = [{}, {}, {"phonetic": False}, {"fuzzy": False}, {"fuzzy_threshold": 0.6, "min_token_len": 1}][k % 5]
+        want = Counter((c.entity, c.channel) for c in Known(values, spec).claims(text))
+        tally = Tally(values, spec)
+        tally.most = rng.choice([1, 3, 10000])
+        assert tally.counts(text) == want == tally.counts(text)
+        met |= {c for _, c in want}
+    assert met == {"exact", "fuzzy", "phonetic", "merged", None}
+    assert Tally([]).counts("some text") == Counter()
+    sf = "/root/testdata/sf0.01"
+    flat = loaders.flat_text(queries._turns(spark, sf)).select("conv_id", "text")
+    among = detect_known(flat, queries._known(spark, sf)).groupBy("entity", "channel").count()
+    assert sorted(queries.known_value_hits(spark, sf).collect()) == sorted(among.collect()) != []
+    assert count_known(flat, queries._known(spark, sf).limit(0)).count() == 0
+
+
 def test_known_value_query_takes_every_value(spark):
     from spanveil.plans import queries
 
