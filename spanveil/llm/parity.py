@@ -45,8 +45,10 @@ REDUCE_WORDS = 1 << 21
 DIRECT = 4
 #: Nodes, and shingles of their sets, of one block of a large group.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
-#: Texts from which frequent shingles are told, and how many of them must hold one; they steer the order of words only, never what is found.
-FREQUENT_SAMPLE, FREQUENT_LEAST = 16000, 5
+#: A shingle is frequent that one in so many texts holds, and so many texts at least; they steer the order of words only, never what is found.
+FREQUENT_SHARE, FREQUENT_LEAST = 3200, 5
+#: Shingles that a counting task holds at once.
+COUNT_SHINGLES = 1 << 20
 #: Frequent shingles come in levels, each of fourfold frequency.
 LEVELS = 7
 
@@ -406,7 +408,7 @@ def similar_components(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
-    frequent = spark.sparkContext.broadcast(_frequent(rows, total))
+    frequent = spark.sparkContext.broadcast(_frequent(rows, total, size))
     buckets = partitions(spark, size // 12, REDUCE_WORDS)
     published_rows = rows.mapInArrow(_publish(frequent, buckets, similarity), _PUBLISHED)
     found = materialise(published_rows.repartition(buckets, "bucket").mapInArrow(_pair_up, _FOUND), "parity")
@@ -448,19 +450,71 @@ def similar_components(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linked, F.coalesce("n_tree_links", F.lit(0))).otherwise(0).alias("n_tree_links"))
 
 
-def _frequent(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that many texts share and their levels; at most FREQUENT_SAMPLE / FREQUENT_LEAST times a text's mean."""
-    share = max(1, total // FREQUENT_SAMPLE)
-    taken = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+def _count(buckets: int):
+    """The distinct shingles of some texts, packed by bucket, and how many of those texts hold each; one that a single text holds has no number."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        waiting = 0
+
+        def flush() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            # by bucket, in each those of one text first
+            place = (found % _U(buckets)).astype(np.int64) * 2 + (n > 1)
+            order = np.argsort(place, kind="stable")
+            found, n = found[order], n[order].astype(np.uint32)
+            cuts = np.searchsorted(place[order], np.arange(2 * buckets + 1))
+            full = np.flatnonzero(cuts[2::2] > cuts[:-1:2])
+            blobs = [[x[cuts[k] : cuts[k + 1]].tobytes() for k in 2 * full + late] for x, late in ((found, 0), (found, 1), (n, 1))]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["bucket", "once", "more", "times"])
+
+        for batch in batches:
+            for _, own in _sets(batch.column(1)):
+                held.append(own)
+                waiting += len(own)
+                if waiting >= COUNT_SHINGLES:
+                    yield flush()
+                    waiting = 0
+        if waiting:
+            yield flush()
+        release()
+
+    return run
+
+
+def _frequent_of(least: int):
+    """The shingles of a task's buckets that ``least`` texts or more hold, and their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, more, times = [], [], []
         for batch in batches:
-            found = [own for _, own in _sets(batch.column(1))]
-            found, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, _U), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(n, pa.int64())], ["shingle", "n"])
+            for into, column, kind in ((once, 1, _U), (more, 2, _U), (times, 3, np.uint32)):
+                into += [np.frombuffer(x, kind) for x in batch.column(column).to_pylist()]
+        if not once:
+            return
+        shingle = np.concatenate(once + more)
+        n = np.concatenate([np.ones(sum(map(len, once)), np.uint32), *times])
+        once.clear()
+        more.clear()
+        order = np.argsort(shingle)
+        shingle = shingle[order]
+        first = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]])) if len(shingle) else np.zeros(0, np.int64)
+        n = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        keep = n >= least
+        yield pa.RecordBatch.from_arrays([pa.array(signed(shingle[first][keep])), pa.array(n[keep], pa.int64())], ["shingle", "n"])
+        del shingle, n, order, first
+        release()
+
+    return run
+
 
-    least = max(FREQUENT_LEAST, FREQUENT_LEAST * total // (share * FREQUENT_SAMPLE))
-    found = taken.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+def _frequent(rows: DataFrame, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that many texts share and their levels, counted over all texts; at most FREQUENT_SHARE times a text's mean."""
+    least = max(FREQUENT_LEAST, total // FREQUENT_SHARE)
+    buckets = partitions(rows.sparkSession, size // 6, REDUCE_WORDS)
+    counted = rows.mapInArrow(_count(buckets), "bucket int, once binary, more binary, times binary").repartition(buckets, "bucket")
+    found = counted.mapInArrow(_frequent_of(least), "shingle long, n long")
     found = found.select("shingle", F.least(1 + F.floor(F.log(F.col("n") / least) / F.log(F.lit(4.0))), F.lit(LEVELS)).cast("tinyint").alias("level"))
     with small_batches(rows.sparkSession):
         found = found.toArrow()

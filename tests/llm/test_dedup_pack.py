@@ -117,6 +117,25 @@ def test_parity_join_matches_brute_force(spark):
     assert got == want
 
 
+def test_frequent_shingles_are_counted_over_all_texts(spark, monkeypatch):
+    """The frequent shingles and their levels by brute force, however many texts there are."""
+    monkeypatch.setattr(parity, "FREQUENT_SHARE", 50)
+    rng = random.Random(3)
+    lines = [" ".join(f"w{rng.randrange(90)}" for _ in range(9)) for _ in range(12)]
+    texts = [" ".join(rng.choice(lines[: 1 + k % 12]) for _ in range(rng.randint(0, 5))) + f" own{k % 400} words of text {k}" for k in range(1500)]
+    texts += [None, "", "one", lines[0]]
+    held = {}
+    for _, own in parity._sets(pa.array(texts)):
+        for shingle in own.tolist():
+            held[shingle] = held.get(shingle, 0) + 1
+    least = len(texts) // 50
+    want = {x: min(1 + int(np.log(n / least) / np.log(4.0)), parity.LEVELS) for x, n in held.items() if n >= least}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    shingle, level = parity._frequent(rows, len(texts), sum(len(t or "") for t in texts))
+    assert dict(zip(shingle.tolist(), level.tolist(), strict=True)) == want and len(set(want.values())) > 1
+    assert (np.diff(shingle.view(np.int64)) != 0).all() and (shingle[1:] > shingle[:-1]).all()
+
+
 def test_parity_join_large_groups_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(parity, "DIRECT", 3)
     monkeypatch.setattr(parity, "BLOCK", 16)
