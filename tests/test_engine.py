@@ -274,6 +274,25 @@ def test_known_index_loses_nothing():
         assert got == sorted((c.value, c.start, c.end, c.channel) for c in known.claims(text))
 
 
+def test_leakage_does_not_depend_on_ties(spark, tmp_path):
+    """Events of which many share user and minute: the leaks of the query are those counted minute by minute, however rows lie."""
+    from spanveil.plans import queries
+
+    rng = random.Random(17)
+    events = [(k, 7 * (k % 5), 60 * rng.randrange(600) + rng.randrange(60)) for k in range(3000)]
+    kind = lambda k: "EMAIL" if k % 2 == 0 else "CITY" if k % 3 == 0 else "CHILD_NAME"
+    held = {(u, t // 60 + (k % 5 == 0) + m) for k, u, t in events if k % 7 for m in range(5)}
+    direct = [(u, t // 60) for k, u, t in events if kind(k) != "CITY"]
+    leaks = sum(any((u, t + m) not in held for m in range(5)) for u, t in direct)
+    assert 0 < leaks < len(direct)
+    for turn in range(2):
+        rng.shuffle(events)
+        rows = spark.createDataFrame(events, "event_id long, user_id long, t long").selectExpr("event_id", "user_id", "timestamp_seconds(t) as ts", "'x' as event_type", "1.0D as value")
+        rows.repartition(3 + turn).write.parquet(f"{tmp_path}/{turn}/events.parquet")
+        got = queries.span_leakage(spark, f"{tmp_path}/{turn}").first()
+        assert (got.direct_spans, got.leaked_spans) == (len(direct), leaks)
+
+
 def _near_known(rng, n=6, letters="aeioubdgkstrn"):
     """Values of one to four words, and a text of words near to theirs, some split, joined or said again."""
     word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 13)))
