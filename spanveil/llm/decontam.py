@@ -50,13 +50,16 @@ def _by_size(df: DataFrame, shingles: int) -> DataFrame:
 
 
 def fingerprints(shingles: DataFrame, keys: list[str]) -> DataFrame:
-    """64-bit SimHash, over each group of ``keys``, of rows (*keys, shingle, weight): bit b is the sign of the weights' sum."""
-    bit = lambda b: F.sum(F.when(F.expr(f"shingle & {1 << b if b < 63 else -(1 << 63)}L") != 0, F.col("weight")).otherwise(-F.col("weight")))
-    sums = shingles.groupBy(*keys).agg(*[bit(b).alias(f"b{b}") for b in range(63)], F.sum(F.when(F.col("shingle") < 0, F.col("weight")).otherwise(-F.col("weight"))).alias("b63"))
-    value = F.lit(0).cast("long")
-    for b in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return sums.select(*keys, value.alias("fingerprint"))
+    """64-bit SimHash, over each group of ``keys``, of rows (*keys, shingle, weight): bit b is the sign of the weights' sum.
+
+    Halves of one long have the weights of the shingles with bit b and with bit
+    b + 32: a group's weights, the shingles of one text, add up to less than 2**31.
+    """
+    pair = lambda b: F.sum(F.shiftrightunsigned("shingle", b).bitwiseAND(F.lit(1 << 32 | 1)) * F.col("weight"))
+    sums = shingles.groupBy(*keys).agg(F.sum("weight").alias("total"), *[pair(b).alias(f"b{b}") for b in range(32)])
+    bits = "transform(pairs, (p, b) -> if(2 * (p & 4294967295L) > total, shiftleft(1L, b), 0L) | if(2 * shiftrightunsigned(p, 32) > total, shiftleft(1L, b + 32), 0L))"
+    sums = sums.select(*keys, "total", F.array(*[f"b{b}" for b in range(32)]).alias("pairs"))
+    return sums.select(*keys, F.expr(f"aggregate({bits}, 0L, (a, x) -> a | x)").alias("fingerprint"))
 
 
 def hamming_blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
@@ -113,11 +116,13 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
     parts = windows.select(*keys, F.explode("shingles").alias("shingle")).groupBy(*keys, "shingle").agg(F.count("*").alias("weight"))
     parts = materialise(parts, "windows")
 
-    # only pairs that the weight bound allows: those of which a block agrees, then those within the radius
-    marks = fingerprints(parts, keys).join(starts, ["doc_id", "item_words", "start"])
-    item_marks = fingerprints(items, ["item_id"]).select("item_id", F.col("fingerprint").alias("item_print"))
+    # only pairs that the weight bound allows: those of which a block agrees, then those within the radius;
+    # written on their own, since the driver plans a query anew after each of its stages
+    marks = materialise(fingerprints(parts, keys), "marks").join(starts, ["doc_id", "item_words", "start"])
+    item_marks = materialise(fingerprints(items, ["item_id"]).select("item_id", F.col("fingerprint").alias("item_print")), "item_marks")
     near = marks.join(_by_size(item_marks, n), "item_id").where(F.arrays_overlap(hamming_blocks(F.col("fingerprint"), radius), hamming_blocks(F.col("item_print"), radius)))
     near = near.where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= radius).select(*keys, "item_id").distinct()
+    near = materialise(near, "near")
 
     both = near.join(parts, keys).join(_by_size(items.select("item_id", "shingle", F.col("weight").alias("item_weight")), n), ["item_id", "shingle"], "left")
     weights = items.groupBy("item_id").agg(F.sum("weight").alias("item_total"))

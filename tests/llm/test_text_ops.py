@@ -126,6 +126,29 @@ def test_decontamination_plan_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
 
 
+def test_decontamination_plan_stays_small(spark):
+    """The driver plans a query anew after each of its stages: 64 sums and conditions in the last one took its memory."""
+    name = "spark.sql.debug.maxToStringFields"
+    spark.conf.set(name, "100000")
+    try:
+        assert len(queries.op4_decontamination(spark, SF)._jdf.queryExecution().optimizedPlan().toString()) < 8000
+    finally:
+        spark.conf.unset(name)
+
+
+def test_fingerprints_match_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.getrandbits(64) - (1 << 63), rng.choice([1, 1, 2, 2**20])) for k in range(20) for _ in range(rng.choice([1, 2, 7, 40]))]
+    rows += [(20, -1, 1), (20, 0, 1), (21, -1, 2**31 - 1), (22, 1 << 31, 3), (22, -(1 << 63), 2), (23, 0, 5)]
+    want = {}
+    for key in {k for k, _, _ in rows}:
+        own = [(s, w) for k, s, w in rows if k == key]
+        value = sum(1 << b for b in range(64) if sum(w if s >> b & 1 else -w for s, w in own) > 0)
+        want[key] = value - (value >> 63 << 64)
+    got = decontam.fingerprints(spark.createDataFrame(rows, "k long, shingle long, weight long"), ["k"])
+    assert {r.k: r.fingerprint for r in got.collect()} == want
+
+
 def test_language_held_out(spark, odd_docs):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in queries.op6_language(spark, sf).collect()}
